@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hostsift import rules as R
 from hostsift.functions.brands import brand_in_domain, on_shared_hosting, subdomain_brand, typo_brand
 from hostsift.functions.features import any_keyword, with_features
+from hostsift.functions.numbers import round_score
 from hostsift.functions.urls import host_is_ip, host_is_loopback, normalize_url, parse_host, registrable_root_of_host
 from hostsift.operators.joins import blocklist_match
 from hostsift.operators.predicates import keyword_gate, structural_override
@@ -182,8 +183,8 @@ def verdict_record(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
             "scan_type": F.lit("url"),
             "input": F.col("norm"),
             "domain": F.col("host"),
-            "ml_probability": F.round("score", 4),
-            "risk_score": F.round(points, 2),
+            "ml_probability": round_score(F.col("score"), 4),
+            "risk_score": round_score(points, 2),
             "result": result,
             "reasons": _reasons(rules),
             "meta": F.struct(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostsift.functions.numbers import round_score
 from hostsift.functions.urls import csv_safe, normalize_url, parse_host
 
 
@@ -27,8 +28,8 @@ def scan_log_rows(verdicts: DataFrame, ts: str = "ts") -> DataFrame:
         F.lit("url").alias("type"),
         F.substring("input", 1, 500).alias("content"),
         "result",
-        F.round("risk_score", 4).alias("risk_score"),
-        F.round("response_time", 4).alias("response_time"),
+        round_score(F.col("risk_score"), 4).alias("risk_score"),
+        round_score(F.col("response_time"), 4).alias("response_time"),
         F.col(ts).alias("ts"),
         F.to_date(ts).alias("event_date"),
     )

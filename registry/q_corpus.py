@@ -10,7 +10,7 @@ from hostsift.operators import augment as A
 from hostsift.operators import sampling as Z
 from hostsift.plans import corpus as C
 from hostsift.plans import verdict as V
-from hostsift.session import scratch_path
+from hostsift.session import scratch_path, staged
 from hostsift.sources import feeds, sinks
 from registry.base import h, hosted, netloc, no_brackets, parsed, query, sql_in, sql_list, strip, with_scheme
 from registry.corpus import RULES, derived, given, with_duck
@@ -422,7 +422,8 @@ CORPUS = [
 )
 def build_training_corpus(spark, sf):
     base = derived(spark, sf, "fx_urls").filter("source <> 'pages'")
-    synthetic = A.synthesize_adversarial(given(spark, sf, "part"), "p_partkey")
+    # Generated once and stored, as a corpus job would.
+    synthetic = staged(A.synthesize_adversarial(given(spark, sf, "part"), "p_partkey"), "synthetic")
     return C.training_corpus(base, synthetic, given(spark, sf, "pages"))
 
 
