@@ -11,6 +11,8 @@ zero bits count the matched brand letters, folded over the letters of the piece.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,13 +24,16 @@ RATIO_PERCENT = 85
 
 
 def brand_dimension(brands: tuple[str, ...]) -> Column:
-    """Literal array of (brand, length, all-ones mask, letter -> mask of its positions)."""
+    """Literal array of (brand, length, edit limit, all-ones mask, letter -> position mask)."""
     rows = []
     for brand in brands:
         n = len(brand)
         masks = {ch: sum(1 << i for i, b in enumerate(brand) if b == ch) for ch in brand}
         entries = ", ".join(f"'{ch}', {mask}L" for ch, mask in masks.items())
-        rows.append(f"named_struct('brand', '{brand}', 'n', {n}, 'full', {(1 << n) - 1}L, 'masks', map({entries}))")
+        rows.append(
+            f"named_struct('brand', '{brand}', 'n', {n}, 'limit', {max_edit_distance(brand)}, "
+            f"'full', {(1 << n) - 1}L, 'masks', map({entries}))"
+        )
     return F.expr(f"array({', '.join(rows)})")
 
 
@@ -46,40 +51,40 @@ def lcs_length(piece: Column, brand: Column) -> Column:
     return brand["n"] - F.bit_count(state)
 
 
-def max_edit_distance(brands: tuple[str, ...]) -> int:
-    """Largest insert/delete distance that can still exceed the ratio.
+def max_edit_distance(brand: str) -> int:
+    """Largest insert/delete distance to a brand that can still exceed the ratio.
 
-    d < (1-r)(la+lb) and |la-lb| <= d give d < 2(1-r)/r * lb; Levenshtein never
+    d < (1-r)(la+lb) and |la-lb| <= d give d < 2(1-r)/r * lb.  Levenshtein never
     exceeds the insert/delete distance, so it is a safe and native pre-filter.
     """
     r = RATIO_PERCENT / 100
-    return int(2 * (1 - r) / r * max(map(len, brands)))
+    return int(2 * (1 - r) / r * len(brand))
 
 
 def brand_hits(pieces: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """All (piece, brand, similarity) pairs above the ratio, as an array of structs."""
     dim = brand_dimension(rules.brands)
-    limit = max_edit_distance(rules.brands)
 
-    def close(piece: Column):
+    def near(piece: Column):
         def test(b: Column) -> Column:
-            near = (F.abs(F.length(piece) - b["n"]) <= limit) & (F.levenshtein(piece, b["brand"], limit) >= 0)
-            return near & (lcs_length(piece, b) * 200 > (F.length(piece) + b["n"]) * RATIO_PERCENT)
+            similar_length = F.abs(F.length(piece) - b["n"]) <= b["limit"]
+            return similar_length & (F.call_function("levenshtein", piece, b["brand"], b["limit"]) >= 0)
 
         return test
 
-    return F.flatten(
-        F.transform(
-            pieces,
-            lambda p: F.transform(
-                F.filter(dim, close(p)),
-                lambda b: F.struct(
-                    p.alias("piece"),
-                    b["brand"].alias("brand"),
-                    (lcs_length(p, b) * 2 / (F.length(p) + b["n"])).alias("similarity"),
-                ),
-            ),
+    def measured(piece: Column):
+        return lambda b: F.struct(
+            piece.alias("piece"),
+            b["brand"].alias("brand"),
+            lcs_length(piece, b).alias("common"),
+            (F.length(piece) + b["n"]).alias("letters"),
         )
+
+    pairs = F.flatten(F.transform(pieces, lambda p: F.transform(F.filter(dim, near(p)), measured(p))))
+    hits = F.filter(pairs, lambda m: m["common"] * 200 > m["letters"] * RATIO_PERCENT)
+    return F.transform(
+        hits,
+        lambda m: F.struct(m["piece"], m["brand"], (m["common"] * 2 / m["letters"]).alias("similarity")),
     )
 
 
@@ -97,6 +102,10 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def any_of(flags: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, flags)
+
+
 def typo_brand(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """First brand at Levenshtein distance exactly 1 from the first host label, or NULL."""
     brands = F.expr("array(" + ", ".join(f"'{b}'" for b in rules.brands) + ")")
@@ -116,10 +125,16 @@ def subdomain_brand(url: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
 
 def brand_in_domain(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """A brand is part of the host and the host is not that brand's own."""
-    foreign = [rf"(?!{b}(?:\.com)?$|.*\.{b}\.com$).*{b}" for b in map(re.escape, rules.brands)]
-    return host.rlike(f"(?s)^(?:{'|'.join(foreign)})")
+
+    def foreign(h: Column, b: str) -> Column:
+        return h.contains(b) & ~(h.isin(b, f"{b}.com") | h.endswith(f".{b}.com"))
+
+    return bind(host, lambda h: any_of(foreign(h, b) for b in rules.brands))
 
 
 def on_shared_hosting(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    roots = "|".join(map(re.escape, rules.shared_hosting_roots))
-    return host.rlike(rf"(?:^|\.)(?:{roots})$")
+    return bind(host, lambda h: any_of((h == r) | h.endswith(f".{r}") for r in rules.shared_hosting_roots))
+
+
+def any_keyword(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    return bind(text, lambda t: any_of(t.contains(k) for k in rules.keywords))

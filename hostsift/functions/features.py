@@ -11,8 +11,6 @@ Order of the vector:
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +42,11 @@ def feature_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over the characters of a string, 0 when empty."""
     n = F.length(text).cast("double")
-    distinct = F.array_distinct(F.split(text, ""))
-    weighted = F.aggregate(
-        distinct,
-        F.lit(0.0),
-        lambda acc, ch: acc
-        + (F.length(text) - F.length(F.replace(text, ch, F.lit(""))))
-        * F.log2((F.length(text) - F.length(F.replace(text, ch, F.lit("")))).cast("double")),
+    counts = F.transform(
+        F.array_distinct(F.split(text, "")),
+        lambda ch: (F.length(text) - F.length(F.replace(text, ch, F.lit("")))).cast("double"),
     )
+    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)
 
 
@@ -60,10 +55,6 @@ def keyword_count(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return sum((text.contains(k).cast("int") for k in rules.keywords), F.lit(0))
 
 
-def any_keyword(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    return text.rlike("|".join(map(re.escape, rules.keywords)))
-
-
 def _flag(c: Column) -> Column:
     return c.cast("int")
 

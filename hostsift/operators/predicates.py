@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostsift.functions import brands as B
-from hostsift.functions.features import any_keyword
 from hostsift.functions.urls import host_is_ip
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
@@ -32,7 +31,7 @@ def shared_hosting(df: DataFrame, host: str = "host", rules: RuleSet = DEFAULT_R
 
 def keyword_gate(url: Column, prob: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Keywords only corroborate a model that already leans to phishing."""
-    return (prob >= rules.keyword_min_prob) & any_keyword(F.lower(url), rules)
+    return (prob >= rules.keyword_min_prob) & B.any_keyword(F.lower(url), rules)
 
 
 def structural_override(host: Column) -> Column:

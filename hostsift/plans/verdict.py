@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostsift import rules as R
-from hostsift.functions.brands import brand_in_domain, on_shared_hosting, subdomain_brand, typo_brand
-from hostsift.functions.features import any_keyword, with_features
+from hostsift.functions.brands import any_keyword, brand_in_domain, on_shared_hosting, subdomain_brand, typo_brand
+from hostsift.functions.features import with_features
 from hostsift.functions.numbers import round_score
 from hostsift.functions.urls import host_is_ip, host_is_loopback, normalize_url, parse_host, registrable_root_of_host
 from hostsift.operators.joins import blocklist_match

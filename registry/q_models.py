@@ -142,7 +142,7 @@ def score_batch(spark, sf):
     return L.score_batch(model(spark, sf), plain(spark, sf)).select("url_id", "raw_prob", "prob")
 
 
-@query("save_load_model")
+@query("save_load_model", with_duck(("fx_urls",), select="SELECT count(*) AS rows, 0 AS changed FROM fx_urls"))
 def save_load_model(spark, sf):
     """Rows whose score changes after saving and loading again: none."""
     first = model(spark, sf)

@@ -8,7 +8,7 @@ from hostsift.functions.hashing import hash32
 from hostsift.session import scratch_path
 from hostsift.streaming import jobs as S
 from registry.base import h, query, verdict_ctes
-from registry.corpus import derived, with_duck
+from registry.corpus import derived, given, with_duck
 
 ALL = {"availableNow": True}
 
@@ -55,14 +55,29 @@ def stream_dedup_ttl(spark, sf):
     return to_table(spark, S.stream_dedup(as_stream(spark, nav(spark, sf)))).select("id", "url")
 
 
-@query("stream_dedup_exact")
+@query(
+    "stream_dedup_exact",
+    """WITH RECURSIVE e AS (SELECT 'https://' || event_type || '.example.com/' AS url, epoch_us(ts) AS us FROM events),
+        nxt AS (SELECT a.url, a.us, min(b.us) AS following FROM (SELECT url, us, us + 60000000 AS due FROM e) a
+            ASOF LEFT JOIN e b ON b.url = a.url AND b.us >= a.due GROUP BY a.url, a.us),
+        kept AS (SELECT url, min(us) AS us FROM e GROUP BY url
+            UNION ALL SELECT n.url, n.following FROM kept k JOIN nxt n ON n.url = k.url AND n.us = k.us
+            WHERE n.following IS NOT NULL)
+        SELECT url, us FROM kept""",
+)
 def stream_dedup_exact(spark, sf):
-    """Exact form over the log in time order, one micro-batch per file."""
-    table = nav(spark, sf).select("url", "ts")
-    path = scratch_path(spark, "stream-in")
-    table.repartitionByRange(4, "ts").write.parquet(path)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return to_table(spark, S.stream_dedup_exact(stream)).select("url", F.unix_micros("ts").alias("at"))
+    """Exact form over page views of a few busy URLs, as a log that grows in time order."""
+    url = F.concat(F.lit("https://"), F.col("event_type"), F.lit(".example.com/"))
+    table = given(spark, sf, "events").select(url.alias("url"), "ts")
+    source, out, checkpoint = (scratch_path(spark, f"dedup-{x}") for x in ("in", "out", "cp"))
+    day = F.dayofmonth("ts")
+    for week in range(5):
+        table.filter((day > week * 7) & (day <= week * 7 + 7)).write.mode("append").parquet(source)
+        kept = S.stream_dedup_exact(spark.readStream.schema(table.schema).parquet(source))
+        writer = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(**ALL).start().awaitTermination()
+    stored = spark.read.schema("url string, ts timestamp").parquet(out)
+    return stored.select("url", F.unix_micros("ts").alias("us"))
 
 
 @query(
