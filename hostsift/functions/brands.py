@@ -11,12 +11,11 @@ zero bits count the matched brand letters, folded over the letters of the piece.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostsift.functions.literals import literal_array
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
 MIN_PIECE = 4
@@ -102,13 +101,9 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_of(flags: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)
-
-
 def typo_brand(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """First brand at Levenshtein distance exactly 1 from the first host label, or NULL."""
-    brands = F.expr("array(" + ", ".join(f"'{b}'" for b in rules.brands) + ")")
+    brands = literal_array(rules.brands)
     return bind(
         F.substring_index(host, ".", 1),
         lambda name: F.get(F.filter(brands, lambda b: F.levenshtein(name, b, 1) == 1), F.lit(0)),
@@ -123,18 +118,31 @@ def subdomain_brand(url: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def brand_in_domain(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+def _of_text(text: str, body: str) -> Column:
+    """``body`` over the variable ``t``, bound once to a column name or SQL expression.
+
+    The tests below are long chains over fixed lists: stated as text they are
+    parsed in one call, and a chain is faster than a lambda per list entry.
+    """
+    return F.expr(f"get(transform(array({text}), t -> {body}), 0)")
+
+
+def brand_in_domain(host: str = "host", rules: RuleSet = DEFAULT_RULES) -> Column:
     """A brand is part of the host and the host is not that brand's own."""
+    foreign = (
+        f"(contains(t, '{b}') AND NOT (t IN ('{b}', '{b}.com') OR endswith(t, '.{b}.com')))" for b in rules.brands
+    )
+    return _of_text(host, " OR ".join(foreign))
 
-    def foreign(h: Column, b: str) -> Column:
-        return h.contains(b) & ~(h.isin(b, f"{b}.com") | h.endswith(f".{b}.com"))
 
-    return bind(host, lambda h: any_of(foreign(h, b) for b in rules.brands))
+def on_shared_hosting(host: str = "host", rules: RuleSet = DEFAULT_RULES) -> Column:
+    return _of_text(host, " OR ".join(f"t = '{r}' OR endswith(t, '.{r}')" for r in rules.shared_hosting_roots))
 
 
-def on_shared_hosting(host: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    return bind(host, lambda h: any_of((h == r) | h.endswith(f".{r}") for r in rules.shared_hosting_roots))
+def any_keyword(text: str, rules: RuleSet = DEFAULT_RULES) -> Column:
+    return _of_text(text, " OR ".join(f"contains(t, '{k}')" for k in rules.keywords))
 
 
-def any_keyword(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    return bind(text, lambda t: any_of(t.contains(k) for k in rules.keywords))
+def keyword_count(text: str, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """How many of the listed keywords occur in the text."""
+    return _of_text(text, " + ".join(f"int(contains(t, '{k}'))" for k in rules.keywords))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hostsift.functions import brands as B
 from hostsift.functions.idn import with_idn
+from hostsift.functions.literals import literal_array
 from hostsift.functions.urls import count_char, ensure_scheme, label_count, netloc, py_strip, second_last_label, url_path
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
@@ -50,11 +51,6 @@ def entropy(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)
 
 
-def keyword_count(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """How many of the listed keywords occur in the text."""
-    return sum((text.contains(k).cast("int") for k in rules.keywords), F.lit(0))
-
-
 def _flag(c: Column) -> Column:
     return c.cast("int")
 
@@ -75,10 +71,11 @@ def lexical(df: DataFrame) -> DataFrame:
 
 def keywords(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     tokens = F.split(F.col("f_host"), r"[.\-]")
+    listed = literal_array(rules.keywords)
     return df.withColumns(
         {
-            "keywords": keyword_count(F.col("f_url"), rules),
-            "host_keywords": F.size(F.filter(tokens, lambda t: t.isin(*rules.keywords))),
+            "keywords": B.keyword_count("f_url", rules),
+            "host_keywords": F.size(F.filter(tokens, lambda t: F.array_contains(listed, t))),
         }
     )
 
@@ -140,8 +137,7 @@ def with_features(df: DataFrame, url_col: str = "url", rules: RuleSet = DEFAULT_
 def feature_vector(df: DataFrame, url_col: str = "url", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Add ``features``: 22 doubles in fixed order; a NULL URL gives 22 zeros."""
     out = with_features(df, url_col, rules)
-    known = F.col(url_col).isNotNull()
-    values = [
-        F.when(known, F.coalesce(F.col(n).cast("double"), F.lit(0.0))).otherwise(F.lit(0.0)) for n in FEATURE_NAMES
-    ]
-    return out.withColumn("features", F.array(*values)).select(*df.columns, "features")
+    numbers = F.expr("array(" + ", ".join(f"coalesce(cast({n} AS double), 0D)" for n in FEATURE_NAMES) + ")")
+    zeros = F.expr(f"array_repeat(0D, {len(FEATURE_NAMES)})")
+    vector = F.when(F.col(url_col).isNotNull(), numbers).otherwise(zeros)
+    return out.withColumn("features", vector).select(*df.columns, "features")

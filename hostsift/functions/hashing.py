@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostsift.functions.literals import literal_array
+
 HASH_SPACE = 1 << 32
 
 
@@ -20,5 +22,4 @@ def hash32(key: Column, salt: str = "") -> Column:
 
 def pick(values: tuple[str, ...], key: Column, salt: str) -> Column:
     """One entry of a fixed list, chosen by the hash of ``key || salt``."""
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (hash32(key, salt) % len(values) + 1).cast("int"))
+    return F.element_at(literal_array(values), (hash32(key, salt) % len(values) + 1).cast("int"))

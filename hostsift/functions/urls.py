@@ -87,6 +87,11 @@ def normalize_url(url: Column, max_len: int = 2048) -> Column:
     return py_strip(F.regexp_replace(u, r"(?<!:)/{2,}", "/"))
 
 
+def has_text(url: Column) -> Column:
+    """Would anything be left after normalisation?  A cheap test on the raw value."""
+    return url.rlike(r"[^\s\[\]]")
+
+
 def ensure_scheme(url: Column) -> Column:
     return F.regexp_replace(py_strip(F.coalesce(url, F.lit(""))), NO_SCHEME, "http://")
 

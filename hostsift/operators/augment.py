@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostsift import rules as R
 from hostsift.functions.hashing import hash32, pick
+from hostsift.functions.literals import literal_array
 from hostsift.functions.urls import leet_obfuscate, strip_to_host
 from hostsift.operators.predicates import drop_malformed_hosts
 
@@ -15,7 +16,7 @@ DEEP_PERCENT = 35
 
 def added_path(key: Column, salt: str = "") -> Column:
     """A realistic path: deep (2-7 segments) for 35 % of keys, else one of the pool."""
-    segments = F.array(*[F.lit(s) for s in R.DEEP_SEGMENTS])
+    segments = literal_array(R.DEEP_SEGMENTS)
     depth = (hash32(key, f"{salt}depth") % 6 + 2).cast("int")
     deep = F.array_join(
         F.transform(
@@ -75,7 +76,7 @@ def oversample(df: DataFrame, times: int = 2) -> DataFrame:
 
 def path_variant_grid(hosts: DataFrame, suffixes: list[str], host: str = "host") -> DataFrame:
     """Every host with every suffix; the suffix list is a literal array."""
-    forms = F.explode(F.array(*[F.lit(s) for s in suffixes])).alias("suffix")
+    forms = F.explode(literal_array(suffixes)).alias("suffix")
     grid = hosts.select(host, forms)
     return grid.withColumn("url", F.concat(F.lit("https://"), host, "suffix")).withColumn("bare", F.col("suffix") == "")
 
@@ -96,7 +97,7 @@ def synthesize_adversarial(
     # Distinct words without a shuffle: the list length is prime, so steps of any
     # stride from any start visit every word before repeating.
     start, stride = hash32(key, "start"), hash32(key, "stride") % (len(words) - 1) + 1
-    options = F.array(*[F.lit(w) for w in words])
+    options = literal_array(words)
     salad = F.array_join(
         F.transform(
             F.sequence(F.lit(0), (hash32(key, "words") % 3 + 1).cast("int")),

@@ -135,21 +135,21 @@ def fp_rate(df: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS) -> DataFrame:
     """False-positive and recall percentages at each threshold."""
-    counts = [F.count_if(F.col("label") == label).alias(f"_n{label}") for label in (0, 1)]
+    # One pass of conditional counts, stated as text: two per threshold.
+    counts = [F.expr(f"count_if(label = {label})").alias(f"_n{label}") for label in (0, 1)]
     for i, t in enumerate(thresholds):
-        for label in (0, 1):
-            counts.append(F.count_if((F.col("label") == label) & (F.col("prob") > t)).alias(f"_c{i}_{label}"))
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                F.round(percent(F.col(f"_c{i}_0"), F.col("_n0")), 4).alias("fp_pct"),
-                F.round(percent(F.col(f"_c{i}_1"), F.col("_n1")), 4).alias("recall_pct"),
-            )
-            for i, t in enumerate(thresholds)
+        counts += [
+            F.expr(f"count_if(label = {label} AND prob > {float(t)!r}D)").alias(f"_c{i}_{label}") for label in (0, 1)
         ]
+
+    def share(i: int, label: int) -> str:
+        return f"round(coalesce(try_divide(_c{i}_{label} * 100D, _n{label}), 0D), 4)"
+
+    lines = ", ".join(
+        f"named_struct('threshold', {float(t)!r}D, 'fp_pct', {share(i, 0)}, 'recall_pct', {share(i, 1)})"
+        for i, t in enumerate(thresholds)
     )
-    return df.agg(*counts).select(F.explode(lines).alias("r")).select("r.*")
+    return df.agg(*counts).select(F.expr(f"inline(array({lines}))"))
 
 
 GRID_START, GRID_STEP, GRID_STOP = 300, 5, 950

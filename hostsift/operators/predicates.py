@@ -22,16 +22,16 @@ def brand_in_subdomain(df: DataFrame, url: str = "url", rules: RuleSet = DEFAULT
 
 
 def brand_in_domain(df: DataFrame, host: str = "host", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    return df.withColumn("brand_flag", B.brand_in_domain(F.col(host), rules))
+    return df.withColumn("brand_flag", B.brand_in_domain(host, rules))
 
 
 def shared_hosting(df: DataFrame, host: str = "host", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    return df.withColumn("shared_host", B.on_shared_hosting(F.col(host), rules))
+    return df.withColumn("shared_host", B.on_shared_hosting(host, rules))
 
 
-def keyword_gate(url: Column, prob: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+def keyword_gate(url: str, prob: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Keywords only corroborate a model that already leans to phishing."""
-    return (prob >= rules.keyword_min_prob) & B.any_keyword(F.lower(url), rules)
+    return (prob >= rules.keyword_min_prob) & B.any_keyword(f"lower({url})", rules)
 
 
 def structural_override(host: Column) -> Column:

@@ -12,7 +12,7 @@ from hostsift import rules as R
 from hostsift.functions.brands import any_keyword, brand_in_domain, on_shared_hosting, subdomain_brand, typo_brand
 from hostsift.functions.features import with_features
 from hostsift.functions.numbers import round_score
-from hostsift.functions.urls import host_is_ip, host_is_loopback, normalize_url, parse_host, registrable_root_of_host
+from hostsift.functions.urls import has_text, host_is_ip, host_is_loopback, normalize_url, parse_host, registrable_root_of_host
 from hostsift.operators.joins import blocklist_match
 from hostsift.operators.predicates import keyword_gate, structural_override
 from hostsift.rules import DEFAULT_RULES, RuleSet
@@ -72,12 +72,12 @@ def rule_flags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """The cheap local signals of the ladder; reads norm, host and score."""
     return df.withColumns(
         {
-            "brand_flag": brand_in_domain(F.col("host"), rules),
+            "brand_flag": brand_in_domain("host", rules),
             "typo_brand": typo_brand(F.col("host"), rules),
             "sub_brand": subdomain_brand(F.col("norm"), rules),
             "ip_flag": host_is_ip(F.col("host")),
-            "keyword_flag": keyword_gate(F.col("norm"), F.col("score"), rules),
-            "shared_host": on_shared_hosting(F.col("host"), rules),
+            "keyword_flag": keyword_gate("norm", F.col("score"), rules),
+            "shared_host": on_shared_hosting("host", rules),
         }
     )
 
@@ -206,7 +206,7 @@ def verdicts(scored: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_R
         table = table.withColumn("age_days", F.lit(-1))
     if "ssl_valid" not in table.columns:
         table = table.withColumn("ssl_valid", F.lit(True))
-    table = parsed(table, "url", rules).filter(F.col("norm") != "")
+    table = parsed(table.filter(has_text(F.col("url"))), "url", rules)
     table = blocklist_match(table, blocklist)
     table = rule_flags(override_tier(table, rules), rules)
     return verdict_record(heuristic_score(gate_ladder(table, rules), rules), rules)
@@ -231,7 +231,7 @@ def with_weighted_ladder(scored: DataFrame, blocklist: DataFrame, rules: RuleSet
         | (F.col("punycode") == 1)
         | (F.col("non_ascii_host") == 1)
     )
-    brand, typo, sub = brand_in_domain(host, rules), typo_brand(host, rules), subdomain_brand(F.col("norm"), rules)
+    brand, typo, sub = brand_in_domain("host", rules), typo_brand(host, rules), subdomain_brand(F.col("norm"), rules)
     table = table.withColumns({"_brand": brand, "_typo": typo.isNotNull(), "_sub": sub.isNotNull()})
     quiet = ~(F.col("_brand") | F.col("_typo") | F.col("_sub"))
     fixed = (
@@ -251,7 +251,7 @@ def with_weighted_ladder(scored: DataFrame, blocklist: DataFrame, rules: RuleSet
         {
             "fixed": fixed,
             "points": points,
-            "has_keyword": any_keyword(F.lower(F.col("norm")), rules),
+            "has_keyword": any_keyword("lower(norm)", rules),
             "damped": prob < rules.dampener_threshold,
         }
     ).select(*scored.columns, "norm", "fixed", "points", "has_keyword", "damped")

@@ -215,7 +215,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if at not in _STAGED:
         df = _select(spark, sf_dir, name)
         path = scratch_path(spark, name)
-        df.write.parquet(path)
+        # One file per core: the jobs are CPU-bound, and these tables are far below a scan split.
+        df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _STAGED[at] = path
         _SCHEMA_OF[name] = df.schema
     return spark.read.schema(_SCHEMA_OF[name]).parquet(_STAGED[at])

@@ -292,7 +292,7 @@ def shared_hosting(spark, sf):
 )
 def keyword_gate(spark, sf):
     table = derived(spark, sf, "fx_scored")
-    return table.select("url_id", P.keyword_gate(F.col("url"), F.col("prob")).alias("keyword_flag"))
+    return table.select("url_id", P.keyword_gate("url", F.col("prob")).alias("keyword_flag"))
 
 
 @query(
