@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hostsift.functions.literals import literal_array
+from hostsift.functions.literals import literal_array, quoted
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
 MIN_PIECE = 4
@@ -129,20 +129,23 @@ def _of_text(text: str, body: str) -> Column:
 
 def brand_in_domain(host: str = "host", rules: RuleSet = DEFAULT_RULES) -> Column:
     """A brand is part of the host and the host is not that brand's own."""
-    foreign = (
-        f"(contains(t, '{b}') AND NOT (t IN ('{b}', '{b}.com') OR endswith(t, '.{b}.com')))" for b in rules.brands
-    )
-    return _of_text(host, " OR ".join(foreign))
+
+    def foreign(brand: str) -> str:
+        b, com, under = (quoted(x) for x in (brand, f"{brand}.com", f".{brand}.com"))
+        return f"(contains(t, {b}) AND NOT (t IN ({b}, {com}) OR endswith(t, {under})))"
+
+    return _of_text(host, " OR ".join(map(foreign, rules.brands)) or "false")
 
 
 def on_shared_hosting(host: str = "host", rules: RuleSet = DEFAULT_RULES) -> Column:
-    return _of_text(host, " OR ".join(f"t = '{r}' OR endswith(t, '.{r}')" for r in rules.shared_hosting_roots))
+    tests = (f"t = {quoted(r)} OR endswith(t, {quoted('.' + r)})" for r in rules.shared_hosting_roots)
+    return _of_text(host, " OR ".join(tests) or "false")
 
 
 def any_keyword(text: str, rules: RuleSet = DEFAULT_RULES) -> Column:
-    return _of_text(text, " OR ".join(f"contains(t, '{k}')" for k in rules.keywords))
+    return _of_text(text, " OR ".join(f"contains(t, {quoted(k)})" for k in rules.keywords) or "false")
 
 
 def keyword_count(text: str, rules: RuleSet = DEFAULT_RULES) -> Column:
     """How many of the listed keywords occur in the text."""
-    return _of_text(text, " + ".join(f"int(contains(t, '{k}'))" for k in rules.keywords))
+    return _of_text(text, " + ".join(f"int(contains(t, {quoted(k)}))" for k in rules.keywords) or "0")

@@ -30,6 +30,7 @@ from hostsift.functions.urls import has_path, normalize_url, registrable_root, s
 from hostsift.operators import metrics
 from hostsift.operators.joins import allowlist_match, novelty_flag
 from hostsift.rules import BLOCK_WEIGHTS, DEFAULT_RULES, RuleSet
+from hostsift.session import shared_dir
 
 SEED = 42
 
@@ -121,6 +122,7 @@ def train_boosted_trees(
     train: DataFrame, rounds: int = 400, depth: int = 7, step: float = 0.05, char_size: int = 3000, word_size: int = 1000
 ) -> PipelineModel:
     """Feature stages plus boosted trees; ``train`` comes from :func:`model_inputs`."""
+    shared_dir(train.sparkSession)  # tree building checkpoints there
     blocks = fit_blocks(train, char_size, word_size)
     trees = GBTClassifier(
         featuresCol="stacked", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED,
