@@ -94,7 +94,7 @@ def test_typo_and_subdomain(spark):
     )
     rows = df.select(B.typo_brand(F.col("host")), B.subdomain_brand(F.col("url"))).collect()
     assert [r[0] for r in rows] == ["google", "paypal", None, None]
-    assert [r[1] for r in rows] == ["paypal", None, None, None]
+    assert [r[1] for r in rows] == ["paypal", None, None, "github"]  # text after the last "//"
 
 
 def test_brand_in_domain(spark):
