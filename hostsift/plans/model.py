@@ -150,6 +150,19 @@ def score_batch(model: PipelineModel, df: DataFrame, url: str = "url", rules: Ru
     return scored.select(*df.columns, RAW, *[c for c in ("prob",) if c in scored.columns])
 
 
+def score_undecided(
+    model: PipelineModel, tiered: DataFrame, url: str = "norm", rules: RuleSet = DEFAULT_RULES
+) -> DataFrame:
+    """Score only the rows whose ``tier`` is ``model``; rows a rule decided keep a NULL score.
+
+    Model stages run on every row they are given, so the table is split first.
+    Both halves read ``tiered``: store it when it is costly to compute.
+    """
+    open_rows = F.col("tier") == "model"
+    scored = score_batch(model, tiered.filter(open_rows), url, rules)
+    return scored.unionByName(tiered.filter(~open_rows), allowMissingColumns=True)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

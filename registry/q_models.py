@@ -18,6 +18,7 @@ from hostsift.plans import model as L
 from hostsift.session import scratch_path, staged
 from registry.base import feature_ctes, h, hosted, query
 from registry.corpus import derived, with_duck
+from registry.q_tables import TIERS, tiered
 
 ROUNDS, DEPTH, CHARS, WORDS = 8, 4, 300, 100
 
@@ -142,6 +143,20 @@ def score_batch(spark, sf):
     return L.score_batch(model(spark, sf), plain(spark, sf)).select("url_id", "raw_prob", "prob")
 
 
+@query(
+    "score_undecided",
+    with_duck(
+        ("fx_scored",), *TIERS,
+        select="SELECT tier, tier = 'model' AS scored, count(*) AS urls FROM tiers GROUP BY tier",
+    ),
+)
+def score_undecided(spark, sf):
+    """Which rows reach the model: those no rule decides."""
+    tiers = staged(tiered(spark, sf).select("url_id", "norm", "tier"), "tiers")
+    out = L.score_undecided(model(spark, sf), tiers)
+    return out.groupBy("tier", F.col("prob").isNotNull().alias("scored")).agg(F.count(F.lit(1)).alias("urls"))
+
+
 @query("save_load_model", with_duck(("fx_urls",), select="SELECT count(*) AS rows, 0 AS changed FROM fx_urls"))
 def save_load_model(spark, sf):
     """Rows whose score changes after saving and loading again: none."""

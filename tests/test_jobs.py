@@ -201,6 +201,9 @@ def test_model_round_trip_and_monotone_calibration(spark, sf_dir, tmp_path):
     a = {r.url_id: (r.raw_prob, r.prob) for r in L.score_batch(model, table).collect()}
     b = {r.url_id: (r.raw_prob, r.prob) for r in L.score_batch(L.load_model(str(tmp_path / "m")), table).collect()}
     assert a == b and len(a) == table.count()
+    tiered = rows.select("url_id", "url", F.when(F.col("url_id") % 3 == 0, "trusted").otherwise("model").alias("tier"))
+    split = {r.url_id: (r.raw_prob, r.prob) for r in L.score_undecided(model, tiered, "url").collect()}
+    assert split == {i: (None, None) if i % 3 == 0 else v for i, v in a.items()}
     ordered = [p for _, p in sorted(a.values())]
     assert ordered == sorted(ordered) and all(0 <= p <= 1 for p in ordered)
     stacked = model.transform(rows).first().stacked
