@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostsift.llm.common import table
 from hostsift.llm.licenses import scan_licenses
+from hostsift.llm.lines import dedup_lines
+from hostsift.llm.packing import pack_documents
+from hostsift.llm.pieces import decode_pieces, encode_pieces
 from hostsift.llm.quality import quality_rules
 from hostsift.llm.sharding import shard_rows
 from hostsift.llm.simhash import simhash_groups
@@ -16,6 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Files that come with the tokenizers; every executor has the package.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -36,11 +46,57 @@ def op5_simhash_groups(spark, sf_dir):
     return simhash_groups(documents(spark, sf_dir))
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    cleaned = dedup_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+#: Pairs of lines within one edit share their first or last half, the halves cut by the longer one's length.
+ORACLES["op6_line_dedup"] = """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+spots AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs),
+lines AS (SELECT doc_id, i, ls[i] AS line, doc_id * 10000000 + i AS place FROM spots),
+firsts AS (SELECT line, length(line) AS n, min(place) AS place FROM lines WHERE length(line) >= 30 GROUP BY line),
+halves AS (
+    SELECT line, n, place, unnest(list_distinct([
+        'a' || substr(line, 1, n // 2), 'a' || substr(line, 1, (n + 1) // 2),
+        'z' || substr(line, n // 2 + 1), 'z' || substr(line, (n + 1) // 2)])) AS half
+    FROM firsts),
+near AS (
+    SELECT DISTINCT x.place FROM halves x JOIN halves y USING (half)
+    WHERE y.place < x.place AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1),
+kept AS (
+    SELECT l.doc_id, l.i, l.line FROM lines l
+    WHERE length(line) < 30 OR l.place IN (SELECT place FROM firsts EXCEPT SELECT place FROM near)),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.ls), 0) AS n_lines, coalesce(len(d.ls), 0) - coalesce(t.n, 0) AS n_dropped,
+    CASE WHEN d.ls IS NOT NULL THEN md5(coalesce(t.t, '')) END AS text_md5
+FROM docs d LEFT JOIN texts t USING (doc_id)
+"""
+
+
 @query
 def op7_feistel_shards(spark, sf_dir):
     return shard_rows(documents(spark, sf_dir))
 
 
+@query
+def op8_sentencepiece(spark, sf_dir):
+    both = decode_pieces(encode_pieces(documents(spark, sf_dir), PIECES), PIECES)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir)).drop("text")
+
+
+@query
+def op10_best_fit_packing(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir), WORDS)
