@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostsift.llm.common import table
+from hostsift.llm.language import fit_filters, held_out, identify_languages
 from hostsift.llm.licenses import scan_licenses
 from hostsift.llm.lines import dedup_lines
 from hostsift.llm.packing import pack_documents
@@ -16,6 +17,7 @@ from hostsift.llm.pieces import decode_pieces, encode_pieces
 from hostsift.llm.quality import quality_rules
 from hostsift.llm.sharding import shard_rows
 from hostsift.llm.simhash import simhash_groups
+from hostsift.llm.topk import integer_vectors, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,33 @@ def op1_license_scan(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 
 
+@query
+def op2_language_filters(spark, sf_dir):
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
+    found = identify_languages(documents(spark, sf_dir), fit_filters(labelled))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "known_share")
+
+
+@query
+def op3_threshold_top_k(spark, sf_dir):
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where("id % 50 = 0"))
+
+
+ORACLES["op3_threshold_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op5_simhash_groups(spark, sf_dir):
     return simhash_groups(documents(spark, sf_dir))
