@@ -17,6 +17,7 @@ from hostsift.llm.pieces import decode_pieces, encode_pieces
 from hostsift.llm.quality import quality_rules
 from hostsift.llm.sharding import shard_rows
 from hostsift.llm.simhash import simhash_groups
+from hostsift.llm.tokens import document_tokens
 from hostsift.llm.topk import integer_vectors, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {}
 
 #: Files that come with the tokenizers; every executor has the package.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -70,6 +72,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+@query
+def op4_token_counts(spark, sf_dir):
+    # The ranks end before the id that the files' end-of-document id takes.
+    return document_tokens(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN, end_id=50256)
+
+
 @query
 def op5_simhash_groups(spark, sf_dir):
     return simhash_groups(documents(spark, sf_dir))
