@@ -29,7 +29,7 @@ class QualityRules:
     base_repeat_percent: int = 50
     dup_line: float = 0.30
     dup_ngram: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
-    top_ngram: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
+    top_ngram: tuple[tuple[int, float], ...] = ((2, 0.35), (3, 0.30), (4, 0.25))
     symbols: float = 0.10
 
 
