@@ -15,26 +15,21 @@ DEEP_PERCENT = 35
 
 
 def added_path(key: Column, salt: str = "") -> Column:
-    """A realistic path: deep (2-7 segments) for 35 % of keys, else one of the pool."""
-    segments = literal_array(R.DEEP_SEGMENTS)
+    """A generated path: deep (2-7 segments) for 35 % of keys, else a section, a page in a section, or a section with a query."""
+
+    def word(name: str, *more: Column) -> Column:
+        number = hash32(F.concat(key, F.lit(f"{salt}{name}"), *more)) if more else hash32(key, f"{salt}{name}")
+        return F.element_at(literal_array(R.PATH_WORDS), (number % len(R.PATH_WORDS) + 1).cast("int"))
+
     depth = (hash32(key, f"{salt}depth") % 6 + 2).cast("int")
-    deep = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), depth),
-            lambda i: F.element_at(
-                segments,
-                (hash32(F.concat(key, F.lit(f"{salt}seg"), i.cast("string"))) % len(R.DEEP_SEGMENTS) + 1).cast("int"),
-            ),
-        ),
-        "/",
-    )
-    pooled = pick(R.PATH_POOL, key, f"{salt}pool")
-    shallow = pick(R.SHALLOW_PATHS, key, f"{salt}shallow")
-    return (
-        F.when(hash32(key, f"{salt}deep") % 100 < DEEP_PERCENT, F.concat(F.lit("/"), deep))
-        .when(pooled == "", shallow)
-        .otherwise(pooled)
+    deep = F.array_join(F.transform(F.sequence(F.lit(1), depth), lambda i: word("seg", i.cast("string"))), "/")
+    section, form = word("section"), hash32(key, f"{salt}form") % 3
+    shallow = (
+        F.when(form == 0, section)
+        .when(form == 1, F.concat(section, F.lit("/"), word("page")))
+        .otherwise(F.concat(section, F.lit("?item="), (hash32(key, f"{salt}item") % 10_000).cast("string")))
     )
+    return F.concat(F.lit("/"), F.when(hash32(key, f"{salt}deep") % 100 < DEEP_PERCENT, deep).otherwise(shallow))
 
 
 def add_path(url: Column, salt: str = "") -> Column:
@@ -84,16 +79,17 @@ def path_variant_grid(hosts: DataFrame, suffixes: list[str], host: str = "host")
 def synthesize_adversarial(
     ids: DataFrame, id_col: str = "id", salad_percent: int = 45, path_percent: int = 50, seed: str = "adv"
 ) -> DataFrame:
-    """One synthetic phishing URL per id: keyword salads and brand templates, deduplicated."""
+    """One synthetic phishing URL per id, deduplicated: keyword salads, and brands beside keywords.
+
+    A branded host puts a brand, as it is or with look-alike digits, before or after a keyword, joined by a hyphen or a dot,
+    with or without a tail; each choice is a hash of the id.
+    """
     key = F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":"))
-    words = R.GENERATOR_KEYWORDS
+    words = R.KEYWORDS
 
     def chance(salt: str, percent: int) -> Column:
         return hash32(key, salt) % 100 < percent
 
-    def of(values: tuple[str, ...], salt: str) -> Column:
-        return pick(values, key, salt)
-
     # Distinct words without a shuffle: the list length is prime, so steps of any
     # stride from any start visit every word before repeating.
     start, stride = hash32(key, "start"), hash32(key, "stride") % (len(words) - 1) + 1
@@ -105,26 +101,12 @@ def synthesize_adversarial(
         ),
         "-",
     )
-    benign, suspicious = R.GENERATOR_BENIGN_TLDS, R.GENERATOR_SUSPICIOUS_TLDS
-    any_tld = of(benign + suspicious, "tld")
-    brand, word = F.col("_brand"), of(words, "word")
-    obscured = leet_obfuscate(brand)
-    dot, dash = F.lit("."), F.lit("-")
-    templates = (
-        F.concat(brand, dash, word, dot, of(benign, "b")),
-        F.concat(obscured, dash, word, dot, any_tld),
-        F.concat(brand, F.lit("-secure-"), word, dot, any_tld),
-        F.concat(obscured, F.lit("-verify."), any_tld),
-        F.concat(F.lit("secure-"), brand, dash, word, dot, of(suspicious, "s")),
-        F.concat(brand, F.lit(".com.secure-"), word, dot, of(suspicious, "s")),
-        F.concat(F.lit("verify-"), brand, dash, word, dot, any_tld),
-        F.concat(obscured, F.lit("-signin."), any_tld),
-        F.concat(brand, dash, word, dash, of(("portal", "center", "team", "help"), "end"), dot, any_tld),
-        F.concat(of(("my", "secure", "online", "web"), "front"), dash, brand, dash, word, dot, any_tld),
-    )
-    branded = F.element_at(F.array(*templates), (hash32(key, "template") % len(templates) + 1).cast("int"))
-    salted = F.concat(salad, of(R.GENERATOR_TAILS, "tail"), dot, any_tld)
-    host = F.when(chance("kind", salad_percent), salted).otherwise(branded)
-    out = ids.withColumn("_brand", of(R.GENERATOR_BRANDS, "brand")).withColumn("_url", F.concat(F.lit("http://"), host))
+    brand = pick(R.BRANDS, key, "brand")
+    shown = F.when(chance("obscured", 50), leet_obfuscate(brand)).otherwise(brand)
+    word, joint = pick(words, key, "word"), F.when(chance("joint", 70), "-").otherwise(".")
+    branded = F.when(chance("front", 50), F.concat(shown, joint, word)).otherwise(F.concat(word, joint, shown))
+    name = F.when(chance("kind", salad_percent), salad).otherwise(branded)
+    host = F.concat(name, pick(R.HOST_TAILS, key, "tail"), F.lit("."), pick(R.GENERATOR_TLDS, key, "tld"))
+    out = ids.withColumn("_url", F.concat(F.lit("http://"), host))
     url = F.when(chance("pathed", path_percent), add_path(F.col("_url"), seed)).otherwise(F.col("_url"))
     return out.select(url.alias("url")).distinct().withColumn("type", F.lit("phishing"))

@@ -278,13 +278,16 @@ def sample_per_source(spark, sf):
 
 
 def added_path(key: str, salt: str = "") -> str:
-    pool, segs, shallow = sql_list(R.PATH_POOL), sql_list(R.DEEP_SEGMENTS), sql_list(R.SHALLOW_PATHS)
+    words, n = sql_list(R.PATH_WORDS), len(R.PATH_WORDS)
     hs = lambda s: h(f"{key} || '{salt}{s}'")
+    word = lambda number: f"({words})[{number} % {n} + 1]"
     seg = h(f"{key} || '{salt}seg' || i")
-    picked = f"({pool})[{hs('pool')} % 68 + 1]"
-    return f"""CASE WHEN {hs('deep')} % 100 < 35 THEN
-            '/' || array_to_string([({segs})[{seg} % 38 + 1] for i in range(1, {hs('depth')} % 6 + 3)], '/')
-        WHEN {picked} = '' THEN ({shallow})[{hs('shallow')} % 5 + 1] ELSE {picked} END"""
+    section = word(hs("section"))
+    return f"""'/' || CASE WHEN {hs('deep')} % 100 < 35 THEN
+            array_to_string([{word(seg)} for i in range(1, {hs('depth')} % 6 + 3)], '/')
+        WHEN {hs('form')} % 3 = 0 THEN {section}
+        WHEN {hs('form')} % 3 = 1 THEN {section} || '/' || {word(hs('page'))}
+        ELSE {section} || '?item=' || ({hs('item')} % 10000) END"""
 
 
 def bare_of(url: str) -> str:
@@ -349,27 +352,21 @@ def oversample(spark, sf):
 
 
 def synthetic_ctes(ids: str) -> list[str]:
-    words, tails = sql_list(R.GENERATOR_KEYWORDS), sql_list(R.GENERATOR_TAILS)
+    words, n = sql_list(R.KEYWORDS), len(R.KEYWORDS)
     hs = lambda s: h(f"key || '{s}'")
 
     def of(values, salt: str) -> str:
         return f"({sql_list(values)})[{hs(salt)} % {len(values)} + 1]"
 
-    benign, bad = R.GENERATOR_BENIGN_TLDS, R.GENERATOR_SUSPICIOUS_TLDS
-    n = len(R.GENERATOR_KEYWORDS)
     return [
-        f"""sy AS (SELECT 'adv:' || {ids} || ':' AS key, {of(R.GENERATOR_BRANDS, 'brand')} AS br,
-            translate(br, 'oleia', '01314') AS ob, {of(R.GENERATOR_KEYWORDS, 'word')} AS wd, {of(benign + bad, 'tld')} AS tld,
-            {of(benign, 'b')} AS tb, {of(bad, 's')} AS ts,
+        f"""sy AS (SELECT 'adv:' || {ids} || ':' AS key, {of(R.BRANDS, 'brand')} AS br, {of(R.KEYWORDS, 'word')} AS wd,
+            CASE WHEN {hs('obscured')} % 100 < 50 THEN translate(br, 'oleia', '01314') ELSE br END AS shown,
+            CASE WHEN {hs('joint')} % 100 < 70 THEN '-' ELSE '.' END AS joint,
             array_to_string([({words})[({hs('start')} + ({hs('stride')} % {n - 1} + 1) * i) % {n} + 1]
-                for i in range(0, {hs('words')} % 3 + 2)], '-') || {of(R.GENERATOR_TAILS, 'tail')} || '.' || tld AS salad,
-            [br || '-' || wd || '.' || tb, ob || '-' || wd || '.' || tld, br || '-secure-' || wd || '.' || tld,
-             ob || '-verify.' || tld, 'secure-' || br || '-' || wd || '.' || ts,
-             br || '.com.secure-' || wd || '.' || ts, 'verify-' || br || '-' || wd || '.' || tld, ob || '-signin.' || tld,
-             br || '-' || wd || '-' || {of(("portal", "center", "team", "help"), "end")} || '.' || tld,
-             {of(("my", "secure", "online", "web"), "front")} || '-' || br || '-' || wd || '.' || tld
-            ][{hs('template')} % 10 + 1] AS branded,
-            'http://' || CASE WHEN {hs('kind')} % 100 < 45 THEN salad ELSE branded END AS u FROM part)""",
+                for i in range(0, {hs('words')} % 3 + 2)], '-') AS salad,
+            CASE WHEN {hs('front')} % 100 < 50 THEN shown || joint || wd ELSE wd || joint || shown END AS branded,
+            'http://' || CASE WHEN {hs('kind')} % 100 < 45 THEN salad ELSE branded END || {of(R.HOST_TAILS, 'tail')} || '.'
+                || {of(R.GENERATOR_TLDS, 'tld')} AS u FROM part)""",
         f"synth AS (SELECT DISTINCT CASE WHEN {hs('pathed')} % 100 < 50 THEN {pathed('u', 'adv')} ELSE u END AS url FROM sy)",
     ]
 
