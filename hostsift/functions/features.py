@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hostsift.functions import brands as B
 from hostsift.functions.idn import with_idn
 from hostsift.functions.literals import literal_array
-from hostsift.functions.urls import count_char, ensure_scheme, label_count, netloc, py_strip, second_last_label, url_path
+from hostsift.functions.urls import count_char, ensure_scheme, label_count, netloc, py_strip, second_last_label, unparsable, url_path
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
 FEATURE_NAMES = (
@@ -135,9 +135,9 @@ def with_features(df: DataFrame, url_col: str = "url", rules: RuleSet = DEFAULT_
 
 
 def feature_vector(df: DataFrame, url_col: str = "url", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Add ``features``: 22 doubles in fixed order; a NULL URL gives 22 zeros."""
+    """Add ``features``: 22 doubles in fixed order; a NULL URL, or one that parsers refuse, gives 22 zeros."""
     out = with_features(df, url_col, rules)
     numbers = F.expr("array(" + ", ".join(f"coalesce(cast({n} AS double), 0D)" for n in FEATURE_NAMES) + ")")
     zeros = F.expr(f"array_repeat(0D, {len(FEATURE_NAMES)})")
-    vector = F.when(F.col(url_col).isNotNull(), numbers).otherwise(zeros)
+    vector = F.when(F.col(url_col).isNotNull() & ~unparsable(F.col("f_authority")), numbers).otherwise(zeros)
     return out.withColumn("features", vector).select(*df.columns, "features")

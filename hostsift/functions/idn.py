@@ -2,13 +2,14 @@
 
 Spark has no punycode or NFKD function, so this is the library's one Python
 function.  It is Arrow-batched and sees only hosts that need it: every plain
-ASCII host goes in as NULL and its answer is filled in on the JVM side.
+ASCII host goes in as NULL and its answer is filled in on the JVM side, and a
+host that comes again in a batch is folded once.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostsift.rules import CONFUSABLES
@@ -35,8 +36,11 @@ def _skeleton_udf():
             ascii_only = "".join(confusables.get(ch, ch if ch.isascii() else "") for ch in folded)
             return ascii_only, not shown.isascii()
 
-        rows = [skeleton(h) if h is not None else (None, None) for h in hosts]
-        return pd.DataFrame(rows, columns=["skeleton", "non_ascii"])
+        folded = {h: skeleton(h) for h in hosts.dropna().unique()}
+        return pd.DataFrame(
+            {"skeleton": hosts.map({h: s for h, (s, _) in folded.items()}), "non_ascii": hosts.map({h: n for h, (_, n) in folded.items()})},
+            dtype=object,
+        )
 
     return fold
 
@@ -55,7 +59,3 @@ def with_idn(df: DataFrame, host: str = "host") -> DataFrame:
 def idn_skeleton(df: DataFrame, host: str = "host") -> DataFrame:
     """Add ``skeleton``, the de-confused ASCII form of the host."""
     return with_idn(df, host).withColumnRenamed("host_skeleton", "skeleton").drop("host_non_ascii")
-
-
-def is_rare(host: Column) -> Column:
-    return host.rlike(NEEDS_DECODING)

@@ -11,6 +11,8 @@ and the generated code at every level of nesting.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,9 +78,14 @@ def count_char(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def normalize_url(url: Column, max_len: int = 2048) -> Column:
-    """De-fang and tidy a URL: ``hxxp``, ``[.]``, stray brackets, slash runs."""
-    u = F.substring(py_strip(F.coalesce(url, F.lit(""))), 1, max_len)
+def normalize_url(url: Column, max_len: int | None = None) -> Column:
+    """De-fang and tidy a URL: ``hxxp``, ``[.]``, stray brackets, slash runs.
+
+    ``max_len`` cuts the input, for entry points that limit what a user may send; jobs and keys use whole URLs.
+    """
+    u = py_strip(F.coalesce(url, F.lit("")))
+    if max_len is not None:
+        u = F.substring(u, 1, max_len)
     u = F.regexp_replace(u, r"^(?i:hxxp)", "http")
     u = F.regexp_replace(u, r"(?i)\[\s*dot\s*\]", ".")
     for fanged, plain in (("[.]", "."), ("(.)", "."), ("{.}", "."), ("[:]", ":"), ("[/]", "/")):
@@ -96,8 +103,27 @@ def ensure_scheme(url: Column) -> Column:
     return F.regexp_replace(py_strip(F.coalesce(url, F.lit(""))), NO_SCHEME, "http://")
 
 
+def parser_view(url: Column) -> Column:
+    """What a URL parser sees: tabs and line breaks inside a URL are not part of it."""
+    return F.translate(url, "\t\r\n", "")
+
+
 def netloc(url_with_scheme: Column) -> Column:
-    return F.regexp_extract(url_with_scheme, NETLOC, 1)
+    return F.regexp_extract(parser_view(url_with_scheme), NETLOC, 1)
+
+
+def _lookalike_delimiters() -> str:
+    """Characters that become a delimiter of the authority when compatibility forms are folded; parsers refuse them."""
+    folded = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
+    return "".join(ch for ch, plain in folded if any(d in plain for d in "/?#@:"))
+
+
+LOOKALIKE_DELIMITERS = _lookalike_delimiters()
+
+
+def unparsable(authority: Column) -> Column:
+    """Whether a parser refuses the authority."""
+    return authority.rlike(f"[{LOOKALIKE_DELIMITERS}]")
 
 
 def strip_www(host: Column) -> Column:
@@ -106,7 +132,7 @@ def strip_www(host: Column) -> Column:
 
 def parse_host(url: Column) -> Column:
     """Serving host: no userinfo, port or ``www.``; IPv6 literals are unwrapped."""
-    sound = F.regexp_replace(ensure_scheme(url), UNBALANCED, "")
+    sound = F.regexp_replace(parser_view(ensure_scheme(url)), UNBALANCED, "")
     return strip_www(F.regexp_replace(sound, HOST, "$1$2"))
 
 
@@ -158,7 +184,7 @@ def strip_to_host(url: Column) -> Column:
 
 def url_path(url_with_scheme: Column) -> Column:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url_with_scheme, AFTER_NETLOC, 1), r";[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(parser_view(url_with_scheme), AFTER_NETLOC, 1), r";[^/]*$", "")
 
 
 def has_path(url: Column, mode: str = "path_or_query") -> Column:

@@ -125,7 +125,7 @@ def domain_meta_enrich(
     ttl_seconds: int = DEFAULT_RULES.meta_cache_ttl_sec,
     salts: int = 4,
 ) -> DataFrame:
-    """As-of join: the newest metadata of the domain within the TTL before each scan.
+    """As-of join: the newest metadata of the domain less than the TTL before each scan.
 
     Scans and lookups are merged and ordered inside (domain, TTL-wide time
     slot, salt), so no pairs are formed and a hot domain spreads over its time
@@ -154,18 +154,10 @@ def domain_meta_enrich(
     )
     merged = left.unionByName(right, allowMissingColumns=True)
     seen = merged.withColumn("_last", F.last("_meta", ignorenulls=True).over(ordered)).filter("_scan = 1")
-    fresh = F.col("_last.checked") >= F.col("_at") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    fresh = F.col("_last.checked") > F.col("_at") - F.make_dt_interval(secs=F.lit(ttl_seconds))
     found = {name: F.when(fresh, F.col(f"_last.{name}")) for name in payload}
     if "age_days" in found:
         found["age_days"] = F.coalesce(found["age_days"], F.lit(-1))
     if "ssl_valid" in found:
         found["ssl_valid"] = F.coalesce(found["ssl_valid"], F.lit(False))
     return seen.withColumns(found).drop("_at", "_slot", "_salt", "_scan", "_meta", "_last")
-
-
-def with_root(df: DataFrame, url: str = "url") -> DataFrame:
-    return df.withColumn("root", registrable_root(F.col(url)))
-
-
-def with_host_root(df: DataFrame, host: str = "host") -> DataFrame:
-    return df.withColumn("root", registrable_root_of_host(F.col(host)))

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
 from hostsift.operators.selection import hash_top_n
+from hostsift.session import staged
 
+#: Bound on the labelled rows of a class that the classifier is fitted on.
 MAX_PER_CLASS = 150_000
 
 
 def balance_classes(df: DataFrame, cap: int = MAX_PER_CLASS, key: str = "url", seed: str = "bal") -> DataFrame:
     """Equal numbers of phishing and legitimate rows, at most ``cap`` each."""
-    both = df.filter(F.col("type").isin("phishing", "legitimate"))
+    both = staged(df.filter(F.col("type").isin("phishing", "legitimate")), "classes")  # counted, then selected from
     sizes = both.agg(
         F.count_if(F.col("type") == "phishing").alias("p"), F.count_if(F.col("type") == "legitimate").alias("l")
     )
@@ -46,7 +48,7 @@ def split_leakage(df: DataFrame, root: str = "root") -> DataFrame:
 
 def holdout_split(roots: DataFrame, cap: int = 5000, root: str = "root", seed: str = "hold") -> DataFrame:
     """``http://root`` rows in ``part`` holdout (at most a fifth) or train."""
-    distinct = roots.select(root).distinct()
+    distinct = staged(roots.select(root).distinct(), "roots")  # read four times below
     limit = distinct.agg(
         F.least(F.lit(cap).cast("bigint"), F.floor(F.count(F.lit(1)) / 5)).alias("_n")
     )

@@ -22,14 +22,15 @@ def date_key(ts: Column) -> Column:
 
 
 def fact_events(log: DataFrame) -> DataFrame:
-    """One row per event; content cut to 200 characters and guarded."""
+    """One row per event; the content guarded, whole and as its first 200 characters for display."""
     return log.select(
         "id",
         date_key(F.col("ts")).alias("date_key"),
         F.hour("ts").alias("hour"),
         "type",
         "result",
-        csv_safe(F.substring("content", 1, 200)).alias("content"),
+        csv_safe(F.col("content")).alias("content"),
+        csv_safe(F.substring("content", 1, 200)).alias("content_shown"),
         "risk_score",
         "response_time",
     )

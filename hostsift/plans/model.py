@@ -182,6 +182,11 @@ def compare_model_versions(a: PipelineModel, b: PipelineModel, df: DataFrame) ->
     return lines[0].unionByName(lines[1])
 
 
+def ship_decision(a: PipelineModel, b: PipelineModel, df: DataFrame) -> DataFrame:
+    """Whether model ``a`` replaces ``b``: more recall at equal false positives, with both operating points."""
+    return metrics.model_gate(score_batch(a, df), score_batch(b, df))
+
+
 def evaluate_sources(
     scored: DataFrame, train_roots: DataFrame, by: str = "source", rules: RuleSet = DEFAULT_RULES
 ) -> dict[str, DataFrame]:

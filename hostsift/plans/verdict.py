@@ -18,10 +18,14 @@ from hostsift.operators.predicates import keyword_gate, structural_override
 from hostsift.rules import DEFAULT_RULES, RuleSet
 
 
+#: Result of rows that have no score and that no rule decides.
+UNSCORED = "UNSCORED"
+
+
 def parsed(df: DataFrame, url: str = "url", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Add ``norm``, ``host`` and ``root``."""
+    """Add ``norm``, ``host`` and ``root``; whole URLs are read, so keys that differ late still differ."""
     return (
-        df.withColumn("norm", normalize_url(F.col(url), rules.max_url_len))
+        df.withColumn("norm", normalize_url(F.col(url)))
         .withColumn("host", parse_host(F.col("norm")))
         .withColumn("root", registrable_root_of_host(F.col("host")))
     )
@@ -83,7 +87,10 @@ def rule_flags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
 
 
 def gate_ladder(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Add ``gate``: which of the five gates decides.  Reads tier, flags, blocklisted."""
+    """Add ``gate``: which gate decides.  Reads tier, flags, blocklisted.
+
+    A row without a score that no rule decides goes to ``unscored``: nothing says that it is safe.
+    """
     trusted = F.col("tier") == "trusted"
     listed = F.col("blocklisted") & ((F.col("tier") == "model") | (trusted & F.col("shared_host")))
     quiet = ~F.col("brand_flag") & F.col("typo_brand").isNull() & F.col("sub_brand").isNull()
@@ -92,6 +99,7 @@ def gate_ladder(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         F.when(F.col("tier") == "critical", "critical")
         .when(listed, "blocklist")
         .when(trusted, "trusted")
+        .when(F.col("score").isNull(), "unscored")
         .when(confident, "safe")
         .otherwise("heuristic")
     )
@@ -112,7 +120,7 @@ def heuristic_score(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         + _bump(F.col("ip_flag"), rules.w_ip)
         + _bump(F.col("keyword_flag"), rules.w_keyword)
         + _bump(new_domain(rules), rules.w_new_domain)
-        + _bump(~F.col("ssl_valid"), rules.w_no_ssl)
+        + _bump(no_tls(), rules.w_no_ssl)
     )
     damped = F.when(F.col("score") < rules.dampener_threshold, points * 0.5).otherwise(points)
     return df.withColumn("heuristic_points", damped).withColumn(
@@ -124,9 +132,14 @@ def new_domain(rules: RuleSet = DEFAULT_RULES) -> Column:
     return (F.col("age_days") != -1) & (F.col("age_days") < rules.new_domain_max_age_days)
 
 
+def no_tls() -> Column:
+    """No valid certificate is known; an unknown state counts as none."""
+    return ~F.coalesce(F.col("ssl_valid"), F.lit(False))
+
+
 def result_of(points: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return (
-        F.when(points > rules.t_phishing, "PHISHING").when(points >= rules.t_suspicious, "SUSPICIOUS").otherwise("SAFE")
+        F.when(points.isNull(), UNSCORED).when(points > rules.t_phishing, "PHISHING").when(points >= rules.t_suspicious, "SUSPICIOUS").otherwise("SAFE")
     )
 
 
@@ -150,13 +163,14 @@ def _reasons(rules: RuleSet) -> Column:
         when(
             new_domain(rules), F.concat(F.lit("Domain only "), F.col("age_days").cast("string"), F.lit(" days old"))
         ),
-        when(~F.col("ssl_valid"), R.REASON_NO_SSL),
+        when(no_tls(), R.REASON_NO_SSL),
         when(score < rules.dampener_threshold, R.REASON_DAMPENED),
     )
     return (
         F.when(F.col("gate") == "critical", listed(F.col("override")))
         .when(F.col("gate") == "blocklist", listed(F.concat(F.lit(R.REASON_BLOCKLIST), shared)))
         .when(F.col("gate").isin("trusted", "safe"), listed(F.col("override"), F.lit(R.REASON_ML_LOW)))
+        .when(F.col("gate") == "unscored", listed(F.lit(R.REASON_UNSCORED)))
         .otherwise(heuristics)
     )
 
@@ -176,6 +190,7 @@ def verdict_record(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     result = (
         F.when(F.col("gate").isin("critical", "blocklist"), "PHISHING")
         .when(F.col("gate").isin("trusted", "safe"), "SAFE")
+        .when(F.col("gate") == "unscored", UNSCORED)
         .otherwise(F.col("heuristic_result"))
     )
     return df.withColumns(
@@ -198,14 +213,14 @@ def verdict_record(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
 def verdicts(scored: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Full ladder over a table with ``url`` and ``prob``; empty URLs are dropped.
 
-    ``age_days`` and ``ssl_valid`` are used when present, else taken as unknown
-    age and valid TLS.
+    ``age_days`` and ``ssl_valid`` are used when present; what wasn't looked up is
+    an unknown age and no valid TLS.
     """
     table = scored
     if "age_days" not in table.columns:
         table = table.withColumn("age_days", F.lit(-1))
     if "ssl_valid" not in table.columns:
-        table = table.withColumn("ssl_valid", F.lit(True))
+        table = table.withColumn("ssl_valid", F.lit(False))
     table = parsed(table.filter(has_text(F.col("url"))), "url", rules)
     table = blocklist_match(table, blocklist)
     table = rule_flags(override_tier(table, rules), rules)

@@ -1,17 +1,21 @@
-"""Session facts every job relies on: UTC, a shared folder, small-table joins."""
+"""Session facts every job relies on: UTC and a shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def path_is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there, and not for another reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def use_utc(spark: SparkSession) -> None:
     """Days, hours and TTLs are defined in UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -48,13 +52,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
-    """Join against a table expected to be small, broadcasting only if it is.
-
-    ``small`` is counted up to ``rows``; beyond that Spark shuffles both sides
-    and AQE splits skewed keys of ``df``.
-    """
-    fits = small.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(small) if fits else small, on, how)

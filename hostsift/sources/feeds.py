@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostsift.functions.urls import py_strip
+from hostsift.session import path_is_missing
 
 LABELLED = T.StructType([T.StructField("url", T.StringType()), T.StructField("type", T.StringType())])
 RANKED = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("domain", T.StringType())])
@@ -63,13 +64,14 @@ def read_mixed_labelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feed_glob(spark: SparkSession, primary: str, extra_glob: str, lower: bool = True) -> DataFrame:
-    """Primary feed plus drop-in files, with the name of the file of each entry."""
+    """Primary feed plus drop-in files, with the path of the file of each entry."""
     found = []
     for path in (primary, extra_glob):
         try:
-            found.append(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("feed_file")))
-        except AnalysisException:
-            continue
+            found.append(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("feed_file")))
+        except AnalysisException as error:
+            if not path_is_missing(error):
+                raise
     if not found:
         raise FileNotFoundError(f"no feed file at {primary} or {extra_glob}")
     lines = found[0] if len(found) == 1 else found[0].unionByName(found[1])
@@ -77,14 +79,17 @@ def read_feed_glob(spark: SparkSession, primary: str, extra_glob: str, lower: bo
 
 
 def feed_line_counts(feeds: DataFrame) -> DataFrame:
+    """Entries of each file."""
     return feeds.groupBy("feed_file").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def optional_source(spark: SparkSession, reader: Callable[[], DataFrame], schema: T.StructType = LABELLED) -> DataFrame:
-    """The table a reader gives, or an empty one of the same schema if it is missing."""
+    """The table a reader gives, or an empty one of the same schema if its path is missing; other faults are raised."""
     try:
         return reader()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not path_is_missing(error):
+            raise
         return spark.createDataFrame([], schema)
 
 

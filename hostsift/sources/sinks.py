@@ -13,6 +13,10 @@ from hostsift.functions.numbers import round_score
 from hostsift.functions.urls import csv_safe, normalize_url, parse_host
 
 
+#: Characters of a URL that displays of the log show.
+SHOWN = 500
+
+
 def write_labelled_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.select("url", "type").write.mode("overwrite")
     if fmt == "csv":
@@ -22,11 +26,12 @@ def write_labelled_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> No
 
 
 def scan_log_rows(verdicts: DataFrame, ts: str = "ts") -> DataFrame:
-    """Log rows of verdicts: URL cut to 500 characters, scores to four decimals."""
+    """Log rows of verdicts: the whole URL, its first 500 characters for display, scores to four decimals."""
     return verdicts.select(
         F.col("id").cast("bigint").alias("id"),
         F.lit("url").alias("type"),
-        F.substring("input", 1, 500).alias("content"),
+        F.col("input").alias("content"),
+        F.substring("input", 1, SHOWN).alias("content_shown"),
         "result",
         round_score(F.col("risk_score"), 4).alias("risk_score"),
         round_score(F.col("response_time"), 4).alias("response_time"),

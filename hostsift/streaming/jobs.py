@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostsift.plans.verdict import verdicts
 from hostsift.rules import DEFAULT_RULES, RuleSet
+from hostsift.session import path_is_missing
 from hostsift.sources.feeds import feed_entry
 from hostsift.sources.sinks import scan_log_rows
 
@@ -79,8 +80,12 @@ def stream_dedup_exact(scans: DataFrame, ts: str = "ts", url: str = "url", ttl_s
     return kept.select("url", F.timestamp_micros("at").alias("ts"))
 
 
-def stream_daily_kpis(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Running totals per day of a stream of log rows."""
+def stream_daily_kpis(log: DataFrame, lateness: str) -> DataFrame:
+    """Running totals per day of a stream of log rows.
+
+    Rows later than ``lateness`` behind the newest are not counted, so the caller has to say how late rows may be; the
+    query's progress reports what came later as ``numRowsDroppedByWatermark``.
+    """
     day = F.window("ts", "1 day")
     return (
         log.withWatermark("ts", lateness)
@@ -127,8 +132,9 @@ def stream_feed_refresh(lines: DataFrame, path: str, checkpoint: str, **trigger)
         try:
             known = blocklist_table(spark, path).filter(F.col("batch_id") < batch_id)
             fresh = fresh.join(known.select("url"), "url", "left_anti")
-        except AnalysisException:
-            pass  # first batch: no table yet
+        except AnalysisException as error:
+            if not path_is_missing(error):  # else the first batch: no table yet
+                raise
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -47,7 +47,7 @@ def with_scheme(x: str) -> str:
 
 
 def netloc(x: str) -> str:
-    return f"regexp_extract({x}, '{SCHEME}([^/?#]*)', 1)"
+    return f"regexp_extract(translate({x}, chr(9) || chr(10) || chr(13), ''), '{SCHEME}([^/?#]*)', 1)"
 
 
 def no_brackets(x: str) -> str:
@@ -83,7 +83,7 @@ def host_columns(url: str, prefix: str = "") -> str:
 
 def norm_columns(url: str) -> str:
     return rf"""
-        regexp_replace(substr({strip(f"coalesce({url}, '')")}, 1, 2048), '^(?i:hxxp)', 'http') AS n1,
+        regexp_replace({strip(f"coalesce({url}, '')")}, '^(?i:hxxp)', 'http') AS n1,
         replace(replace(replace(replace(replace(regexp_replace(n1, '(?i)\[\s*dot\s*\]', '.', 'g'),
             '[.]', '.'), '(.)', '.'), '{{.}}', '.'), '[:]', ':'), '[/]', '/') AS n2,
         CASE WHEN regexp_matches(n2, '\[[0-9a-fA-F:]+\]') THEN n2 ELSE {no_brackets("n2")} END AS n3,
@@ -260,7 +260,7 @@ def blocked_ctes(name: str, base: str) -> list[str]:
     ]
 
 
-def verdict_ctes(base: str, age: str = "-1", ssl: str = "TRUE") -> list[str]:
+def verdict_ctes(base: str, age: str = "-1", ssl: str = "FALSE") -> list[str]:
     """CTE chain ending in ``verdict``; ``base`` has url, prob and whatever age / ssl name."""
     r = RULES
     return [
@@ -277,19 +277,21 @@ def verdict_ctes(base: str, age: str = "-1", ssl: str = "TRUE") -> list[str]:
             CASE WHEN tier = 'critical' THEN 'critical'
                  WHEN blocklisted AND (tier = 'model' OR (tier = 'trusted' AND on_shared)) THEN 'blocklist'
                  WHEN tier = 'trusted' THEN 'trusted'
+                 WHEN score IS NULL THEN 'unscored'
                  WHEN pred = 0 AND score < {r.ml_safe_threshold} AND NOT brand_flag AND typo_b IS NULL
                       AND sub_b IS NULL THEN 'safe'
                  ELSE 'heuristic' END AS gate,
             score * 3.0 + CASE WHEN brand_flag THEN 3.0 ELSE 0.0 END + CASE WHEN typo_b IS NOT NULL THEN 3.0 ELSE 0.0 END
                 + CASE WHEN sub_b IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN ip_flag THEN 2.5 ELSE 0.0 END
                 + CASE WHEN keyword_flag THEN 1.5 ELSE 0.0 END + CASE WHEN young THEN 1.0 ELSE 0.0 END
-                + CASE WHEN NOT v_ssl THEN 0.5 ELSE 0.0 END AS raw_points,
+                + CASE WHEN coalesce(v_ssl, FALSE) THEN 0.0 ELSE 0.5 END AS raw_points,
             CASE WHEN score < {r.dampener_threshold} THEN raw_points * 0.5 ELSE raw_points END AS points
             FROM v_flags)""",
         f"""verdict AS (SELECT *,
             round(CASE gate WHEN 'critical' THEN 10.0 WHEN 'blocklist' THEN 9.0 WHEN 'heuristic' THEN points
                   ELSE score * 3.0 END, 2) AS risk_score,
             CASE WHEN gate IN ('critical', 'blocklist') THEN 'PHISHING' WHEN gate IN ('trusted', 'safe') THEN 'SAFE'
+                 WHEN gate = 'unscored' THEN 'UNSCORED'
                  WHEN points > {r.t_phishing} THEN 'PHISHING' WHEN points >= {r.t_suspicious} THEN 'SUSPICIOUS'
                  ELSE 'SAFE' END AS result,
             array_to_string(CASE
@@ -298,6 +300,7 @@ def verdict_ctes(base: str, age: str = "-1", ssl: str = "TRUE") -> list[str]:
                     CASE WHEN tier = 'trusted' THEN {quote(R.REASON_BLOCKLIST_SHARED)} ELSE '' END]
                 WHEN gate IN ('trusted', 'safe') THEN list_filter([override, {quote(R.REASON_ML_LOW)}],
                     lambda x: x IS NOT NULL)
+                WHEN gate = 'unscored' THEN [{quote(R.REASON_UNSCORED)}]
                 ELSE list_filter([override,
                     CASE WHEN score > 0.7 THEN {quote(R.REASON_ML_HIGH)}
                          WHEN score > 0.4 THEN {quote(R.REASON_ML_MODERATE)} END,
@@ -307,7 +310,7 @@ def verdict_ctes(base: str, age: str = "-1", ssl: str = "TRUE") -> list[str]:
                     CASE WHEN ip_flag THEN {quote(R.REASON_IP)} END,
                     CASE WHEN keyword_flag THEN {quote(R.REASON_KEYWORD)} END,
                     CASE WHEN young THEN 'Domain only ' || v_age || ' days old' END,
-                    CASE WHEN NOT v_ssl THEN {quote(R.REASON_NO_SSL)} END,
+                    CASE WHEN NOT coalesce(v_ssl, FALSE) THEN {quote(R.REASON_NO_SSL)} END,
                     CASE WHEN score < {r.dampener_threshold} THEN {quote(R.REASON_DAMPENED)} END],
                     lambda x: x IS NOT NULL) END, '|') AS reasons,
             CASE WHEN gate IN ('critical', 'blocklist', 'heuristic') THEN v_age ELSE -1 END AS domain_age_days,

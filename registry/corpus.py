@@ -93,7 +93,8 @@ def url_shape(d) -> str:
         f"'http://' || {b} || '-' || {w} || '.' || {t}",
         f"'http://' || substr({b}, 1, length({b}) - 1) || '1.com/' || {w}",
         f"'http://' || translate({b}, 'oleia', '01314') || '-' || {w} || '.com'",
-        f"'http://' || {b} || '.' || {nk} || '.com/' || {w}",
+        # A tab inside the authority, which parsers drop.
+        f"'http://' || {b} || '.' || {name} || CASE WHEN {d.div(k, 24)} % 3 = 0 THEN chr(9) ELSE '' END || {k} || '.com/' || {w}",
         f"'http://' || {w} || '-' || {w2} || '-now.' || {t}",
         f"'hxxp://' || {nk} || '[.]' || {t} || '/' || {w}",
         f"'https://' || {nk} || '[dot]com//////' || {w}",
@@ -152,7 +153,9 @@ def selects(d) -> dict[str, str]:
                    CASE WHEN e.event_type = 'error' THEN 'PHISHING' WHEN e.event_type = 'signup' THEN 'SUSPICIOUS'
                         ELSE 'SAFE' END AS result,
                    least(e.value / 50, 10.0) AS risk_score, e.value / 100 AS response_time, e.ts AS ts
-            FROM events e JOIN fx_urls u ON u.url_id = e.event_id % (SELECT count(*) FROM part)""",
+            FROM (SELECT *, (SELECT count(*) FROM part) AS n,
+                         event_id % ((SELECT count(*) FROM part) + (SELECT count(*) FROM pages)) AS at FROM events) e
+            JOIN fx_urls u ON u.url_id = CASE WHEN e.at < e.n THEN e.at ELSE 10000000 + e.at - e.n END""",
     }
     return out
 
@@ -227,9 +230,6 @@ _SCHEMA_OF: dict[str, T.StructType] = {}
 
 def _select(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = selects(Spark)[name]
-    if name == "fx_scan_log":
-        # part keys are dense from 0, so the modulus is the row count
-        text = text.replace("(SELECT count(*) FROM part)", str(given(spark, sf_dir, "part").count()))
     inputs: dict[str, DataFrame] = {}
     for table in (*VIEW_NAMES, "part", "pages", "events"):
         if table != name and f" {table}" in text.replace("\n", " "):

@@ -100,6 +100,24 @@ def read_feed_glob(spark, sf):
     return entries.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "feed_line_counts",
+    with_duck(
+        ("fx_feed_old", "fx_feed_new"),
+        select="""SELECT feed, count(*) AS entries FROM (SELECT 'active' AS feed, url FROM fx_feed_old UNION ALL
+            SELECT 'extra_a', url FROM fx_feed_new) WHERE contains(url, '.') GROUP BY feed""",
+    ),
+)
+def feed_line_counts(spark, sf):
+    """Entries per file, added up for each feed, which Spark writes as several files."""
+    base = scratch_path(spark, "feeds")
+    derived(spark, sf, "fx_feed_old").write.text(f"{base}/active")
+    derived(spark, sf, "fx_feed_new").write.text(f"{base}/extra_a")
+    counts = feeds.feed_line_counts(feeds.read_feed_glob(spark, f"{base}/active", f"{base}/extra_*"))
+    feed = F.substring_index(F.substring_index("feed_file", "/", -2), "/", 1).alias("feed")
+    return counts.groupBy(feed).agg(F.sum("entries").alias("entries"))
+
+
 @query("optional_source", with_duck(("fx_urls",), select="SELECT type, count(*) AS rows FROM fx_urls GROUP BY type"))
 def optional_source(spark, sf):
     missing = scratch_path(spark, "no-such-feed")

@@ -174,6 +174,19 @@ def compare_model_versions(spark, sf):
     return L.compare_model_versions(model(spark, sf), model(spark, sf, 3), plain(spark, sf))
 
 
+@query("ship_decision")
+def ship_decision(spark, sf):
+    return L.ship_decision(model(spark, sf), model(spark, sf, 3), plain(spark, sf))
+
+
+@query("evaluate_source_composition")
+def evaluate_source_composition(spark, sf):
+    table = plain(spark, sf)
+    roots = table.filter("split = 'train' AND label = 1").select("root")
+    scored = L.score_batch(model(spark, sf), table.drop("root").filter("label = 1"))
+    return L.evaluate_sources(scored, roots)["composition"]
+
+
 @query("evaluate_sources")
 def evaluate_sources(spark, sf):
     table = plain(spark, sf)

@@ -31,7 +31,7 @@ def nav(spark, sf):
         ("fx_scan_log", "fx_blocklist"),
         f"sc AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob FROM fx_scan_log)",
         *verdict_ctes("sc"),
-        select="SELECT id, substr(norm, 1, 500) AS content, result, risk_score FROM verdict",
+        select="SELECT id, norm AS content, result, risk_score FROM verdict",
     ),
 )
 def stream_scan(spark, sf):

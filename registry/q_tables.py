@@ -15,6 +15,7 @@ from hostsift.operators import metrics as M
 from hostsift.operators import ranking as K
 from hostsift.operators import sets as S
 from hostsift.plans import verdict as V
+from hostsift.session import scratch_path
 from registry.base import blocked_ctes, feature_ctes, h, parsed, query, sql_in, tier_cte
 from registry.corpus import AS_OF, RULES, derived, with_duck
 
@@ -199,7 +200,7 @@ def scans_and_meta(spark, sf):
         """nearest AS (SELECT s.id, s.domain, m.age_days, m.ssl_valid, m.cert_age_days,
             row_number() OVER (PARTITION BY s.id ORDER BY m.checked_at DESC) AS rn
             FROM sc s LEFT JOIN meta m ON m.domain = s.domain AND m.checked_at <= s.ts
-            AND m.checked_at >= s.ts - INTERVAL 900 SECOND)""",
+            AND m.checked_at > s.ts - INTERVAL 900 SECOND)""",
         select="""SELECT id, domain, coalesce(age_days, -1) AS age_days, coalesce(ssl_valid, FALSE) AS ssl_valid,
             cert_age_days FROM nearest WHERE rn = 1""",
     ),
@@ -242,6 +243,20 @@ def feed_union_refresh(spark, sf):
     return S.feed_union_report(derived(spark, sf, "fx_feed_old"), derived(spark, sf, "fx_feed_new"))
 
 
+@query(
+    "feed_refresh",
+    with_duck(FEEDS, select="SELECT url, FALSE AS written_again FROM (SELECT url FROM fx_feed_old UNION SELECT url FROM fx_feed_new)"),
+)
+def feed_refresh(spark, sf):
+    """The table as the first refresh writes it; the second finds nothing new and writes nothing."""
+    old, new = derived(spark, sf, "fx_feed_old"), derived(spark, sf, "fx_feed_new")
+    version = scratch_path(spark, "feed-version")
+    S.feed_refresh(old, new, version)
+    table = spark.read.schema("url string").parquet(version)
+    again = S.feed_refresh(table, new, scratch_path(spark, "feed-version"))
+    return table.withColumn("written_again", F.lit(again))
+
+
 @query(
     "feed_union",
     with_duck(FEEDS, select="SELECT url FROM fx_feed_old UNION SELECT url FROM fx_feed_new"),

@@ -20,17 +20,20 @@ from registry.q_tables import KPI, TIERS, pct, scored, tiered
 
 TABLES = ("fx_scored", "fx_blocklist")
 AGE = f"CASE WHEN {h("url || 'age'")} % 5 = 0 THEN -1 ELSE CAST({h("url || 'age'")} % 60 AS INT) END"
-SSL = f"({h("url || 'ssl'")} % 7 <> 0)"
-VERDICT = verdict_ctes("fx_scored", AGE, SSL)
+TLS = h("url || 'ssl'")
+SSL = f"CASE WHEN {TLS} % 11 <> 0 THEN {TLS} % 7 <> 0 END"
+# Some scores and TLS states are missing.
+VERDICT = verdict_ctes("(SELECT * REPLACE (CASE WHEN url_id % 29 <> 0 THEN prob END AS prob) FROM fx_scored)", AGE, SSL)
 
 
 def scans(spark, sf):
-    """Scored URLs with an age and TLS state each."""
-    age = hash32(F.col("url"), "age")
+    """Scored URLs with an age and TLS state; some of both states and scores are missing."""
+    age, tls = hash32(F.col("url"), "age"), hash32(F.col("url"), "ssl")
     return scored(spark, sf).withColumns(
         {
+            "prob": F.when(F.col("url_id") % 29 != 0, F.col("prob")),
             "age_days": F.when(age % 5 == 0, -1).otherwise((age % 60).cast("int")),
-            "ssl_valid": hash32(F.col("url"), "ssl") % 7 != 0,
+            "ssl_valid": F.when(tls % 11 != 0, tls % 7 != 0),
         }
     )
 
@@ -65,7 +68,7 @@ def gate_ladder(spark, sf):
     "heuristic_score",
     with_duck(
         TABLES, *VERDICT,
-        select="""SELECT url_id, round(points, 6) AS points, CASE WHEN points > 4.5 THEN 'PHISHING'
+        select="""SELECT url_id, round(points, 6) AS points, CASE WHEN points IS NULL THEN 'UNSCORED' WHEN points > 4.5 THEN 'PHISHING'
             WHEN points >= 3.0 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS heuristic_result FROM verdict""",
     ),
 )
@@ -101,7 +104,7 @@ def verdict_counts(spark, sf):
     "append_scan_log",
     with_duck(
         TABLES, *VERDICT,
-        select="""SELECT url_id AS id, 'url' AS type, substr(norm, 1, 500) AS content, result, risk_score,
+        select="""SELECT url_id AS id, 'url' AS type, norm AS content, substr(norm, 1, 500) AS content_shown, result, risk_score,
             round(url_id / 7.0, 4) AS response_time, strftime(make_timestamp((1706659200 + url_id % 864000) * 1000000), '%Y-%m-%d')
             AS event_date FROM verdict""",
     ),
@@ -118,7 +121,7 @@ def append_scan_log(spark, sf):
     sinks.append_scan_log(rows, path)
     stored = spark.read.schema(sinks.scan_log_rows(rows).schema).parquet(path)
     return stored.select(
-        "id", "type", "content", "result", "risk_score", "response_time",
+        "id", "type", "content", "content_shown", "result", "risk_score", "response_time",
         F.date_format("event_date", "yyyy-MM-dd").alias("event_date"),
     )
 
@@ -211,8 +214,9 @@ def retention_counts(spark, sf):
     with_duck(
         ("fx_scan_log",),
         select="""SELECT id, CAST(strftime(ts, '%Y%m%d') AS INT) AS date_key, CAST(hour(ts) AS INT) AS hour, type, result,
-            CASE WHEN substr(content, 1, 1) IN ('=', '+', '-', '@') THEN '''' || substr(content, 1, 200)
-            ELSE substr(content, 1, 200) END AS content, round(risk_score, 6) AS risk_score,
+            CASE WHEN substr(content, 1, 1) IN ('=', '+', '-', '@') THEN '''' ELSE '' END || content AS content,
+            CASE WHEN substr(content, 1, 1) IN ('=', '+', '-', '@') THEN '''' ELSE '' END || substr(content, 1, 200)
+                AS content_shown, round(risk_score, 6) AS risk_score,
             round(response_time, 6) AS response_time FROM fx_scan_log""",
     ),
 )

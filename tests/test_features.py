@@ -118,3 +118,9 @@ def test_independent_of_partitioning(spark, sf_dir):
     one = feature_vector(table.coalesce(1)).select("url_id", "features").collect()
     many = feature_vector(table.repartition(13)).select("url_id", "features").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_refused_urls_give_zeros(spark):
+    df = spark.createDataFrame([("http://a\uff0fb.com/login",), (None,), ("http://a.com/\uff0f",)], "url string")
+    first, second, third = [r.features for r in feature_vector(df).collect()]
+    assert first == second == [0.0] * 22 and third != first

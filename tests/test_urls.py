@@ -37,7 +37,8 @@ def test_normalize_url(spark):
             None: "",
         },
     )
-    assert len(apply(spark, U.normalize_url, ["http://a.com/" + "a" * 5000])[0]) == 2048
+    assert len(apply(spark, lambda u: U.normalize_url(u, 2048), ["http://a.com/" + "a" * 5000])[0]) == 2048
+    assert len(apply(spark, U.normalize_url, ["http://a.com/" + "a" * 5000])[0]) == 5013
 
 
 def test_ensure_scheme(spark):
@@ -176,3 +177,7 @@ def test_internal_pages_are_skipped(spark):
 
 def test_portable_hash(spark):
     assert apply(spark, hash32, ["abc"]) == [2416005272]
+
+
+def test_tabs_and_line_breaks_are_not_part_of_a_url(spark):
+    check(spark, U.parse_host, {"http://ev\til.com": "evil.com", "http://user@ev\nil.com:80/x": "evil.com", "http://a.com/x\ty": "a.com"})

@@ -93,6 +93,29 @@ def test_strict_and_inclusive_thresholds(spark):
     assert judge(spark, "http://plain-site.example/x", 0.6, False).pred == 0
 
 
+def test_a_missing_score_is_never_safe(spark):
+    got = judge(spark, NEUTRAL, None, False)
+    assert (got.gate, got.result, got.risk_score, got.reasons) == ("unscored", "UNSCORED", None, ["No model score"])
+    assert got.heuristic_result == "UNSCORED"
+    assert judge(spark, NEUTRAL, None, True).result == "PHISHING"
+    assert judge(spark, GOOGLE, None, False).result == "SAFE"
+    assert judge(spark, "http://45.33.32.156/x", None, False).result == "PHISHING"
+
+
+def test_an_unknown_tls_state_counts_as_none(spark):
+    unknown, bad, good = (judge(spark, "http://plain-site.example/x", 0.5, False, ssl=s) for s in (None, False, True))
+    assert (unknown.risk_score, unknown.reasons) == (bad.risk_score, bad.reasons) == (2.0, good.reasons + ["No valid SSL certificate"])
+    assert good.risk_score == 1.5
+
+
+def test_urls_that_differ_late_have_different_verdicts(spark):
+    long = "http://a.example/" + "x" * 3000
+    scored = spark.createDataFrame([(long + "1", 0.1), (long + "2", 0.1)], "url string, prob double")
+    blocklist = spark.createDataFrame([(long + "1",)], "url string")
+    got = {r.input[-1]: (r.result, len(r.input)) for r in V.verdicts(scored, blocklist).collect()}
+    assert got == {"1": ("PHISHING", 3018), "2": ("SAFE", 3018)}
+
+
 def test_scores_round_the_binary_value(spark):
     assert judge(spark, NEUTRAL, 0.345, False).risk_score == 1.03
 
