@@ -132,28 +132,29 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     )
     firsts = _first_places(lines)
     likely = _likely(firsts)
-    likely_docs = likely.groupBy(F.col("place.k").alias("k"), F.col("place.r").alias("r")).agg(
-        F.collect_list(F.struct("place.no", "place", "edit_in_first", "edit_in_last")).alias("wanted")
+    k, r, found = (fresh(marked, x) for x in ("k", "r", "found"))
+    by_text = [F.col("place.k").alias(k), F.col("place.r").alias(r)]
+    likely_docs = likely.groupBy(*by_text).agg(
+        F.collect_list(F.struct("place.no", "place", "edit_in_first", "edit_in_last")).alias(found)
     )
-    whole = marked.select(F.col(f"`{key}`").alias("k"), F.col(row).alias("r"), F.col(f"`{text}`").alias("t"))
     wanted = (
-        whole.join(likely_docs, [whole.k.eqNullSafe(likely_docs.k), whole.r == likely_docs.r])
-        .select(F.explode("wanted").alias("w"), "t")
+        marked.join(likely_docs, [marked[f"`{key}`"].eqNullSafe(likely_docs[k]), marked[row] == likely_docs[r]])
+        .select(F.explode(found).alias("w"), F.col(f"`{text}`").alias("t"))
         .select("w.place", "w.edit_in_first", "w.edit_in_last", F.split_part("t", F.lit("\n"), F.col("w.no") + 1).alias("line"))
     )
     # Repeated rows have the same places, and equal lines there.
     near = _near(wanted.dropDuplicates(["place"]))
     seen = firsts.select("place", F.lit(False).alias("near")).union(near.select("place", F.lit(True).alias("near")))
-    kept = seen.groupBy(F.col("place.k").alias("k"), F.col("place.r").alias("r")).agg(
+    kept = seen.groupBy(*by_text).agg(
         F.array_except(
             F.collect_list(F.when(~F.col("near"), F.col("place.no"))), F.collect_list(F.when(F.col("near"), F.col("place.no")))
-        ).alias("kept")
+        ).alias(found)
     )
-    joined = marked.join(kept, [marked[f"`{key}`"].eqNullSafe(kept.k), marked[row] == kept.r], "left")
+    joined = marked.join(kept, [marked[f"`{key}`"].eqNullSafe(kept[k]), marked[row] == kept[r]], "left")
     # Indices of what stays are found first; the text is split once and bound to a variable.
     split = F.split(F.col(f"`{text}`"), "\n", -1)
-    stays = F.when(F.col(f"`{text}`").isNotNull(), F.transform(F.array(split), lambda ls: _rest(ls, F.col("kept"), min_chars))[0])
-    made = fresh(docs, "made")
+    stays = F.when(F.col(f"`{text}`").isNotNull(), F.transform(F.array(split), lambda ls: _rest(ls, F.col(found), min_chars))[0])
+    made = fresh(joined, "made")
     out = joined.withColumn(made, stays)
     return out.select(
         *[F.col(f"{made}.text").alias(c) if c == text else F.col(f"`{c}`") for c in cols],
