@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IDF,
     Normalizer,
@@ -53,9 +53,16 @@ def model_inputs(df: DataFrame, url: str = "url", rules: RuleSet = DEFAULT_RULES
     return out.withColumn("grams", char_ngrams(F.col("text")))
 
 
+def vocabulary(train: DataFrame, source: str, size: int) -> list[str]:
+    """The ``size`` most frequent terms of an array column; of equally frequent ones the first in byte order."""
+    terms = train.select(F.explode(source).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return [r["term"] for r in terms.orderBy(F.desc("n"), "term").limit(size).collect()]
+
+
 def _tfidf(train: DataFrame, source: str, target: str, size: int) -> list[Transformer]:
     """Stages for tf * (ln((1+n)/(1+df)) + 1), L2-normalised; vocabulary by corpus frequency."""
-    counts = CountVectorizer(inputCol=source, outputCol=f"{target}_tf", vocabSize=size).fit(train)
+    words = vocabulary(train, source, size)
+    counts = CountVectorizerModel.from_vocabulary(words, inputCol=source, outputCol=f"{target}_tf")
     idf = IDF(inputCol=f"{target}_tf", outputCol=f"{target}_idf").fit(counts.transform(train))
     weights = Vectors.dense([w + 1.0 for w in idf.idf.toArray()])
     scaled = ElementwiseProduct(scalingVec=weights, inputCol=f"{target}_tf", outputCol=f"{target}_w")

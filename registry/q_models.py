@@ -1,7 +1,8 @@
 """Model jobs (sections C8-C11, J, G24).
 
-One small model is trained per application on the whole corpus and shared by the
-queries; rounds and vocabulary sizes are parameters of the job.
+One model is trained per application on the whole corpus and shared by the
+queries, with the full vocabularies and depth; the number of rounds is a
+parameter of the job and small here.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from hostsift.operators import metrics as M
 from hostsift.operators import sampling as Z
 from hostsift.plans import model as L
 from hostsift.session import scratch_path, staged
-from registry.base import feature_ctes, h, hosted, query
+from registry.base import feature_ctes, h, hosted, parsed, query
 from registry.corpus import derived, with_duck
 from registry.q_tables import TIERS, tiered
 
-ROUNDS, DEPTH, CHARS, WORDS = 8, 4, 300, 100
+ROUNDS, DEPTH, CHARS, WORDS = 8, 7, 3000, 1000
 
 _MODELS: dict[tuple, tuple[PipelineModel, str]] = {}
 _INPUTS: dict[tuple, DataFrame] = {}
@@ -53,19 +54,47 @@ def plain(spark, sf) -> DataFrame:
 
 
 def vector_summary(df: DataFrame, column: str) -> DataFrame:
-    """Non-zero entries and norm of a vector column, per row."""
+    """Non-zero entries, their sum and the norm of a vector column, per row."""
     values = F.filter(L.vector_to_array(F.col(column)), lambda x: x != 0)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     square = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
-    return df.select("url_id", F.size(values).alias("terms"), F.round(F.sqrt(square), 6).alias("norm"))
+    return df.select(
+        "url_id", F.size(values).alias("terms"), F.round(total, 6).alias("total"), F.round(F.sqrt(square), 6).alias("norm")
+    )
+
+
+def tfidf_ctes(name: str, terms: str, size: int) -> list[str]:
+    """CTE chain ending in ``name``: url_id, terms, sum and sum of squares of each row's normalised weights."""
+    n = name
+    return [
+        f"{n}_tf AS (SELECT url_id, in_train, term, count(*) AS tf FROM (SELECT url_id, in_train, unnest({terms}) AS term "
+        f"FROM texts) GROUP BY ALL)",
+        f"""{n}_vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM texts WHERE in_train = 1)) / (1 + count(*))) + 1 AS idf
+            FROM {n}_tf WHERE in_train = 1 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {size})""",
+        f"""{n}_sums AS (SELECT url_id, count(*) AS terms, sum(tf * idf) AS s, sqrt(sum(tf * idf * tf * idf)) AS l2
+            FROM {n}_tf JOIN {n}_vocab USING (term) GROUP BY url_id)""",
+        f"""{n} AS (SELECT t.url_id, coalesce(terms, 0) AS terms, coalesce(s / l2, 0) AS total,
+            CASE WHEN terms > 0 THEN 1.0 ELSE 0.0 END AS norm FROM texts t LEFT JOIN {n}_sums USING (url_id))""",
+    ]
+
+
+CHAR_TERMS = "flatten([" + ", ".join(f"[substr(t, i, {n}) for i in range(1, length(t) - {n - 2})]" for n in (3, 4, 5)) + "])"
+WORD_TERMS = r"regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]{2,}')"
+TEXTS = [
+    parsed("mp", "fx_scored"),
+    f"""texts AS (SELECT url_id, norm, lower(regexp_replace(norm, '^https?://', '')) AS t,
+        CASE WHEN {h("root || 'split'")} % 1000 < 360 THEN 0 ELSE 1 END AS in_train FROM mp)""",
+]
+SUMMARY = "SELECT url_id, CAST(terms AS INT) AS terms, round(total, 6) AS total, round(norm, 6) AS norm FROM"
 
 
-@query("tfidf_char")
+@query("tfidf_char", with_duck(("fx_scored",), *TEXTS, *tfidf_ctes("cb", CHAR_TERMS, CHARS), select=f"{SUMMARY} cb"))
 def tfidf_char(spark, sf):
     rows = corpus(spark, sf)
     return vector_summary(L.tfidf_char(rows.filter("split = 'train'"), CHARS).transform(rows), "char_block")
 
 
-@query("tfidf_word")
+@query("tfidf_word", with_duck(("fx_scored",), *TEXTS, *tfidf_ctes("wb", WORD_TERMS, WORDS), select=f"{SUMMARY} wb"))
 def tfidf_word(spark, sf):
     rows = corpus(spark, sf)
     return vector_summary(L.tfidf_word(rows.filter("split = 'train'"), WORDS).transform(rows), "word_block")
@@ -115,11 +144,32 @@ def standardize_numeric(spark, sf):
     return scaled.select("url_id", *[F.round(F.col("scaled")[i], 5).alias(n) for i, n in enumerate(FEATURE_NAMES)])
 
 
-@query("stack_blocks")
+SQUARES = " + ".join(f"((f.{n} - m_{n}) / s_{n}) * ((f.{n} - m_{n}) / s_{n})" for n in FEATURE_NAMES)
+STACKED = [
+    *TEXTS, *tfidf_ctes("cb", CHAR_TERMS, CHARS), *tfidf_ctes("wb", WORD_TERMS, WORDS), *feature_ctes("texts", "norm"),
+    NUMBERS[-1],
+]
+
+
+@query(
+    "stack_blocks",
+    with_duck(
+        ("fx_scored",), *STACKED,
+        select=f"""SELECT f.url_id, CAST(cb.terms + wb.terms AS INT) AS text_terms,
+            round(sqrt(0.05 * 0.05 * (cb.norm + wb.norm) + 15.0 * 15.0 * ({SQUARES})), 4) AS norm
+            FROM feat f JOIN cb USING (url_id) JOIN wb USING (url_id), mo""",
+    ),
+)
 def stack_blocks(spark, sf):
+    """Norm of the stacked vectors, and how many text terms are in them; the last 22 entries are the numbers."""
     rows = corpus(spark, sf)
     blocks = L.fit_blocks(rows.filter("split = 'train'"), CHARS, WORDS)
-    return vector_summary(blocks.transform(rows), "stacked")
+    values = L.vector_to_array(F.col("stacked"))
+    text = F.slice(values, 1, F.size(values) - len(FEATURE_NAMES))
+    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
+    return blocks.transform(rows).select(
+        "url_id", F.size(F.filter(text, lambda x: x != 0)).alias("text_terms"), F.round(F.sqrt(square), 4).alias("norm")
+    )
 
 
 @query("train_boosted_trees")
