@@ -39,7 +39,12 @@ def blocklist_match(df: DataFrame, blocklist: DataFrame, norm: str = "norm") ->
     return existence_flag(keyed, blocklist_keys(blocklist), "_key", "blocklisted").drop("_key")
 
 
-def allowlist_match(df: DataFrame, root: str = "root", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+def allowlist_match(
+    df: DataFrame, root: str = "root", rules: RuleSet = DEFAULT_RULES, allowed: DataFrame | None = None
+) -> DataFrame:
+    """Add ``trusted``: is the root in the rule set, or in ``allowed``, a table of roots of any size?"""
+    if allowed is not None:
+        return existence_flag(df, allowed.select(F.col(allowed.columns[0]).alias(root)), root, "trusted")
     return df.withColumn("trusted", F.coalesce(F.col(root).isin(*rules.trusted_roots), F.lit(False)))
 
 

@@ -416,8 +416,11 @@ def build_labelled_corpus(spark, sf):
 
 CORPUS = [
     *synthetic_ctes("p_partkey"),
-    """tc_all AS (SELECT url, type FROM fx_urls WHERE source <> 'pages'
+    *FEED_ROOTS,
+    *HOLDOUT,
+    f"""tc_all AS (SELECT url, type FROM fx_urls WHERE source <> 'pages'
         UNION ALL SELECT url, 'phishing' FROM synth UNION ALL SELECT url, 'phishing' FROM synth
+        UNION ALL SELECT url, type FROM ({HOLDOUT_OUT}) WHERE part = 'train'
         UNION ALL SELECT url, 'legitimate' FROM pages)""",
     hosted("tc_root", "(SELECT * FROM tc_all WHERE url IS NOT NULL)"),
     f"""tc_clean AS (SELECT url, type FROM tc_root WHERE NOT (type = 'phishing' AND root IN {sql_in(RULES.trusted_roots)})
@@ -433,13 +436,15 @@ CORPUS = [
 
 @query(
     "build_training_corpus",
-    with_duck(("fx_urls",), *CORPUS, select=f"SELECT url, label, root, {SPLIT} AS split FROM tc_out"),
+    with_duck(FEED_TABLES, *CORPUS, select=f"SELECT url, label, root, {SPLIT} AS split FROM tc_out"),
 )
 def build_training_corpus(spark, sf):
+    """Known and synthetic URLs, and the roots that the feed harvest adds for training."""
     base = derived(spark, sf, "fx_urls").filter("source <> 'pages'")
     # Generated once and stored, as a corpus job would.
     synthetic = staged(A.synthesize_adversarial(given(spark, sf, "part"), "p_partkey"), "synthetic")
-    return C.training_corpus(base, synthetic, given(spark, sf, "pages"))
+    fresh = harvest_fresh_roots(spark, sf).filter("part = 'train'").select("url")
+    return C.training_corpus(base, synthetic, given(spark, sf, "pages"), fresh)
 
 
 @query(

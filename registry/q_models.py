@@ -8,7 +8,7 @@ parameter of the job and small here.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostsift.functions.features import FEATURE_NAMES, feature_vector
@@ -17,8 +17,8 @@ from hostsift.operators import metrics as M
 from hostsift.operators import sampling as Z
 from hostsift.plans import model as L
 from hostsift.session import scratch_path, staged
-from registry.base import feature_ctes, h, hosted, parsed, query
-from registry.corpus import derived, with_duck
+from registry.base import feature_ctes, h, hosted, parsed, query, sql_in
+from registry.corpus import RULES, derived, with_duck
 from registry.q_tables import TIERS, tiered
 
 ROUNDS, DEPTH, CHARS, WORDS = 8, 7, 3000, 1000
@@ -179,9 +179,25 @@ def train_boosted_trees(spark, sf):
     return M.classification_report(M.with_prediction(test.withColumn("prob", F.col(L.RAW)), 0.5))
 
 
-@query("calibrate_isotonic")
+@query(
+    "calibrate_isotonic",
+    with_duck(("fx_urls",), select="SELECT count(*) AS rows, 0 AS outside, 0 AS falling FROM fx_urls"),
+)
 def calibrate_isotonic(spark, sf):
-    """Monotonicity of the calibration map: raw scores per calibrated value."""
+    """Rows, scores outside 0 to 1, and calibrated values that a larger raw score falls below: none."""
+    scored = L.score_batch(model(spark, sf), plain(spark, sf))
+    steps = scored.groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.min(L.RAW).alias("low"), F.max(L.RAW).alias("high"))
+    before = F.max("high").over(Window.orderBy("prob").rowsBetween(Window.unboundedPreceding, -1))  # one row per step
+    return steps.withColumn("before", before).agg(
+        F.sum("n").alias("rows"),
+        F.count_if((F.col("prob") < 0) | (F.col("prob") > 1) | (F.col("low") < 0) | (F.col("high") > 1)).alias("outside"),
+        F.count_if(F.col("low") <= F.col("before")).alias("falling"),
+    )
+
+
+@query("calibration_steps")
+def calibration_steps(spark, sf):
+    """The calibration map: raw scores per calibrated value."""
     scored = L.score_batch(model(spark, sf), plain(spark, sf))
     return scored.groupBy(F.round("prob", 6).alias("prob")).agg(
         F.round(F.min(L.RAW), 6).alias("raw_from"), F.round(F.max(L.RAW), 6).alias("raw_to"), F.count(F.lit(1)).alias("rows")
@@ -229,7 +245,19 @@ def ship_decision(spark, sf):
     return L.ship_decision(model(spark, sf), model(spark, sf, 3), plain(spark, sf))
 
 
-@query("evaluate_source_composition")
+@query(
+    "evaluate_source_composition",
+    with_duck(
+        ("fx_scored",), parsed("mp", "fx_scored"),
+        f"known AS (SELECT DISTINCT root FROM mp WHERE type = 'phishing' AND {h("root || 'split'")} % 1000 >= 360)",
+        rf"""s AS (SELECT source, root NOT IN (SELECT root FROM known) AS novel, root IN {sql_in(RULES.trusted_roots)} AS trusted,
+            regexp_matches(regexp_replace(lower(norm), '^[a-z]+://', ''), '/+[^/]|\?') AS pathed FROM mp WHERE type = 'phishing')""",
+        select="SELECT source, count(*) AS total, "
+        + ", ".join(f"count(*) FILTER ({c}) AS {c}, round(100.0 * count(*) FILTER ({c}) / count(*), 4) AS {c}_pct"
+                    for c in ("novel", "pathed", "trusted"))
+        + " FROM s GROUP BY source",
+    ),
+)
 def evaluate_source_composition(spark, sf):
     table = plain(spark, sf)
     roots = table.filter("split = 'train' AND label = 1").select("root")

@@ -50,6 +50,21 @@ def allowlist_match(spark, sf):
     return J.allowlist_match(parsed_urls(spark, sf)).select("url_id", "root", "trusted")
 
 
+@query(
+    "allowlist_table_match",
+    with_duck(
+        ("fx_urls",), parsed("p", "fx_urls"),
+        select="""SELECT url_id, root, coalesce(root IN (SELECT root FROM p WHERE type = 'legitimate' AND url_id % 2 = 0), FALSE)
+            AS trusted FROM p""",
+    ),
+)
+def allowlist_table_match(spark, sf):
+    """An allowlist that is a table: the roots of every other legitimate URL."""
+    table = parsed_urls(spark, sf)
+    allowed = table.filter("type = 'legitimate' AND url_id % 2 = 0").select("root")
+    return J.allowlist_match(table, allowed=allowed).select("url_id", "root", "trusted")
+
+
 # Platforms as a table: every root that serves more than one host in the corpus.
 PLATFORMS = "platforms AS (SELECT root FROM p WHERE host <> '' GROUP BY root HAVING count(DISTINCT host) > 1)"
 
@@ -193,18 +208,18 @@ def scans_and_meta(spark, sf):
     return scans, meta
 
 
-@query(
-    "domain_meta_enrich",
-    with_duck(
-        ("fx_urls", "fx_scan_log"), *META_DUCK,
-        """nearest AS (SELECT s.id, s.domain, m.age_days, m.ssl_valid, m.cert_age_days,
-            row_number() OVER (PARTITION BY s.id ORDER BY m.checked_at DESC) AS rn
-            FROM sc s LEFT JOIN meta m ON m.domain = s.domain AND m.checked_at <= s.ts
-            AND m.checked_at > s.ts - INTERVAL 900 SECOND)""",
-        select="""SELECT id, domain, coalesce(age_days, -1) AS age_days, coalesce(ssl_valid, FALSE) AS ssl_valid,
-            cert_age_days FROM nearest WHERE rn = 1""",
-    ),
-)
+ENRICHED = [
+    *META_DUCK,
+    """nearest AS (SELECT s.id, s.domain, m.age_days, m.ssl_valid, m.cert_age_days,
+        row_number() OVER (PARTITION BY s.id ORDER BY m.checked_at DESC) AS rn
+        FROM sc s LEFT JOIN meta m ON m.domain = s.domain AND m.checked_at <= s.ts
+        AND m.checked_at > s.ts - INTERVAL 900 SECOND)""",
+    """enriched AS (SELECT id, domain, coalesce(age_days, -1) AS age_days, coalesce(ssl_valid, FALSE) AS ssl_valid,
+        cert_age_days FROM nearest WHERE rn = 1)""",
+]
+
+
+@query("domain_meta_enrich", with_duck(("fx_urls", "fx_scan_log"), *ENRICHED, select="SELECT * FROM enriched"))
 def domain_meta_enrich(spark, sf):
     scans, meta = scans_and_meta(spark, sf)
     return J.domain_meta_enrich(scans, meta).select("id", "domain", "age_days", "ssl_valid", "cert_age_days")

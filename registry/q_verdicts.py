@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
 from hostsift.operators import ranking as K
+from hostsift.operators.joins import domain_meta_enrich
 from hostsift.plans import bi
 from hostsift.plans import retention as T
 from hostsift.plans import verdict as V
@@ -16,7 +17,7 @@ from registry.base import (
     typo_brand, verdict_ctes,
 )
 from registry.corpus import AS_OF, RETENTION_AS_OF, RULES, derived, with_duck
-from registry.q_tables import KPI, TIERS, pct, scored, tiered
+from registry.q_tables import ENRICHED, KPI, TIERS, pct, scans_and_meta, scored, tiered
 
 TABLES = ("fx_scored", "fx_blocklist")
 AGE = f"CASE WHEN {h("url || 'age'")} % 5 = 0 THEN -1 ELSE CAST({h("url || 'age'")} % 60 AS INT) END"
@@ -280,14 +281,16 @@ def kpi_summary(spark, sf):
     "scan_log_verdicts",
     with_duck(
         ("fx_urls", "fx_scan_log", "fx_blocklist"),
-        f"sl AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob FROM fx_scan_log)",
-        *verdict_ctes("sl"),
+        *ENRICHED,
+        f"""sl AS (SELECT id, content AS url, age_days, ssl_valid, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob
+            FROM fx_scan_log JOIN enriched USING (id))""",
+        *verdict_ctes("sl", "age_days", "ssl_valid"),
         select="SELECT result, gate, count(*) AS scans, round(sum(risk_score), 2) AS risk FROM verdict GROUP BY result, gate",
     ),
 )
 def scan_log_verdicts(spark, sf):
-    """The whole scan log through the ladder."""
-    table = log(spark, sf).select("id", F.col("content").alias("url"))
+    """The whole scan log, with the metadata known at each scan, through the ladder."""
+    table = domain_meta_enrich(*scans_and_meta(spark, sf)).select("id", F.col("content").alias("url"), "age_days", "ssl_valid")
     table = table.withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000)
     out = V.verdicts(table, derived(spark, sf, "fx_blocklist"))
     return out.groupBy("result", "gate").agg(
