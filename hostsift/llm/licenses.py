@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -92,9 +93,11 @@ class Scanner:
         """Word number and label of every place where a phrase stands; ``norm`` has a space at either end."""
         found = []
         for phrase, label in self.phrases:
+            word = last = 0
             at = norm.find(phrase)
             while at >= 0:
-                found.append((norm.count(b" ", 0, at), label))
+                word, last = word + norm.count(b" ", last, at), at
+                found.append((word, label))
                 at = norm.find(phrase, at + 1)
         return found
 
@@ -145,12 +148,14 @@ class Scanner:
         matches = []
         if fuzzy:
             spans = [m.span() for m in _WORD.finditer(plain)]
+            # Code points before each byte.
+            chars = np.concatenate(([0], np.cumsum((np.frombuffer(plain, np.uint8) & 0xC0) != 0x80)))
+            first = last = 0
             for n, edits, a, b in fuzzy:
-                first = text.count(" ", 0, a)
+                first, last = first + text.count(" ", last, a), a
                 count = text.count(" ", a, b) + 1
-                at, to = spans[first][0], spans[min(first + count, len(spans)) - 1][1]
-                chars = [sum(1 for c in plain[:x] if c & 0xC0 != 0x80) for x in (at, to)]
-                matches.append((n.label, n.text, edits, chars[0], chars[1], first, count))
+                at, to = spans[first][0], spans[first + count - 1][1]
+                matches.append((n.label, n.text, edits, int(chars[at]), int(chars[to]), first, count))
         exact = {label for _, label in base}
         near = {n.label for n, *_ in fuzzy}
         best = 1.0 if base else max((1 - edits / len(n.text) for n, edits, _, _ in fuzzy), default=0.0)
