@@ -51,6 +51,10 @@ def simhash(text: Column, words: int = 3) -> Column:
     return fingerprints(text)
 
 
+def _digits(fingerprint: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fingerprint), BITS // 4, "0"))
+
+
 def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
@@ -96,7 +100,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(ids, "root").select("print", "component_id")
     return rows.join(by_print, "print").select(
-        key, F.lower(F.lpad(F.hex("print"), BITS // 4, "0")).alias("fingerprint"), "component_id"
+        key, _digits(F.col("print")).alias("fingerprint"), "component_id"
     )
 
 
@@ -106,9 +110,10 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows with a null key stay only where a group has no other, and then one of them.
     """
     groups = simhash_groups(docs, key, text, words, radius).where(F.col(key).eqNullSafe(F.col("component_id")))
-    mark = fresh(docs, "fingerprint")
-    kept = groups.select(F.col(key).alias(fresh(docs, "kept_key")), F.col("fingerprint").alias(mark)).distinct()
-    kept_key = kept.columns[0]
+    mark = fresh(docs, "row_of")
     # A key is unique as a rule; where rows repeat one, the fingerprint tells which of them is meant.
-    row = docs.withColumn(mark, F.lower(F.lpad(F.hex(simhash(F.col(f"`{text}`").cast("string"), words)), BITS // 4, "0")))
-    return row.join(kept, [row[f"`{key}`"].eqNullSafe(kept[kept_key]), row[mark] == kept[mark]], "left_semi").drop(mark)
+    kept = groups.select(F.concat_ws(":", "fingerprint", F.col(key).cast("string")).alias(mark)).distinct()
+    rows = docs.withColumn(
+        mark, F.concat_ws(":", _digits(simhash(F.col(f"`{text}`").cast("string"), words)), F.col(f"`{key}`").cast("string"))
+    )
+    return rows.dropDuplicates([mark]).join(kept, mark, "left_semi").drop(mark)
