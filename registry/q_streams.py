@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
-from hostsift.session import scratch_path
+from hostsift.session import scratch_path, staged
 from hostsift.streaming import jobs as S
-from registry.base import h, query, verdict_ctes
+from registry.base import h, parsed, query, verdict_ctes
 from registry.corpus import derived, given, with_duck
+from registry.q_tables import META_DUCK, scans_and_meta
 
 ALL = {"availableNow": True}
 
@@ -28,15 +29,23 @@ def nav(spark, sf):
 @query(
     "stream_scan",
     with_duck(
-        ("fx_scan_log", "fx_blocklist"),
-        f"sc AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob FROM fx_scan_log)",
-        *verdict_ctes("sc"),
+        ("fx_urls", "fx_scan_log", "fx_blocklist"),
+        *META_DUCK,
+        parsed("lg", "fx_scan_log", "content"),
+        """newest AS (SELECT domain, max(checked_at) AS checked_at, any_value(age_days) AS age, any_value(ssl_valid) AS tls
+            FROM meta GROUP BY domain)""",
+        f"""sv AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob,
+            n.checked_at <= l.ts AND n.checked_at > l.ts - INTERVAL 900 SECOND AS fresh,
+            CASE WHEN fresh THEN age ELSE -1 END AS age_days, CASE WHEN fresh THEN tls ELSE FALSE END AS ssl_valid
+            FROM lg l LEFT JOIN newest n ON n.domain = l.host)""",
+        *verdict_ctes("sv", "age_days", "ssl_valid"),
         select="SELECT id, norm AS content, result, risk_score FROM verdict",
     ),
 )
 def stream_scan(spark, sf):
     table = nav(spark, sf).withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000).drop("result")
-    log = S.stream_scan(as_stream(spark, table), derived(spark, sf, "fx_blocklist"))
+    lookups = staged(scans_and_meta(spark, sf)[1], "lookups")
+    log = S.stream_scan(as_stream(spark, table), derived(spark, sf, "fx_blocklist"), meta=lookups)
     out = scratch_path(spark, "stream-log")
     S.write_scan_log(log, out, scratch_path(spark, "stream-cp"), **ALL).awaitTermination()
     return spark.read.schema(log.schema).parquet(out).select("id", "content", "result", "risk_score")

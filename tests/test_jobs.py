@@ -213,3 +213,13 @@ def test_model_round_trip_and_monotone_calibration(spark, sf_dir, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_only_a_missing_path_reads_as_an_absent_source(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    missing = feeds.optional_source(spark, lambda: spark.read.parquet(str(tmp_path / "none")))
+    assert missing.count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "there"))
+    with pytest.raises(AnalysisException):
+        feeds.optional_source(spark, lambda: spark.read.parquet(str(tmp_path / "there")).select("url"))

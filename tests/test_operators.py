@@ -149,3 +149,20 @@ def test_empty_log_has_no_division_by_zero(spark):
     empty = spark.createDataFrame([], "id long, type string, content string, result string, risk_score double, response_time double, ts timestamp")
     row = M.scan_kpis(empty).first()
     assert (row.total_scans, row.detection_rate, row.avg_response_time_ms) == (0, 0.0, 0.0)
+
+
+def test_metadata_of_exactly_the_ttl_is_stale(spark):
+    scans = spark.createDataFrame([(1, "a.com", 10_000), (2, "a.com", 10_899), (3, "a.com", 10_900)], "id int, domain string, s long")
+    scans = scans.withColumn("ts", F.timestamp_seconds("s"))
+    meta = spark.createDataFrame([("a.com", 7)], "domain string, age_days int").withColumns(
+        {"ssl_valid": F.lit(True), "checked_at": F.timestamp_seconds(F.lit(10_000))}
+    )
+    got = {r.id: (r.age_days, r.ssl_valid) for r in J.domain_meta_enrich(scans, meta).collect()}
+    assert got == {1: (7, True), 2: (7, True), 3: (-1, False)}
+
+
+def test_allowlist_as_a_table(spark):
+    df = spark.createDataFrame([("a.com",), ("b.com",), (None,)], "root string")
+    allowed = spark.createDataFrame([("b.com", 1), ("b.com", 2), (None, 3)], "r string, n int")
+    got = {r.root: r.trusted for r in J.allowlist_match(df, allowed=allowed).collect()}
+    assert got == {"a.com": False, "b.com": True, None: False}
