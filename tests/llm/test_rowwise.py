@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import regex
 import sentencepiece
-from conftest import EXTRA, ROWS
+from cases import EXTRA, ROWS
 from pyspark.sql import functions as F
 
 from hostsift.llm import queries

@@ -11,7 +11,7 @@ import oracle
 import plain
 import public_tokenizers
 import pytest
-from conftest import LONG, ROWS
+from cases import LONG, ROWS
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
