@@ -31,8 +31,8 @@ def parsed(df: DataFrame, url: str = "url", rules: RuleSet = DEFAULT_RULES) -> D
     )
 
 
-def override_tier(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Add ``tier``, ``pred``, ``score`` and ``override``; reads norm, host, root, prob.
+def with_tier(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Add ``tier``, which depends on the URL alone; reads norm, host and root.
 
     Strict order: loopback, trusted root, structural override, model.
     """
@@ -43,7 +43,11 @@ def override_tier(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         .when(structural_override(F.col("host")), "critical")
         .otherwise("model")
     )
-    out = featured.withColumn("tier", tier)
+    return featured.withColumn("tier", tier).select(*df.columns, "tier")
+
+
+def with_decision(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Add ``pred``, ``score`` and ``override``; reads tier and prob."""
     safe = F.col("tier").isin("localhost", "trusted")
     pred = F.when(safe, 0).when(F.col("tier") == "critical", 1)
     score = F.when(safe, F.lit(0.001)).when(F.col("tier") == "critical", F.lit(0.999))
@@ -52,13 +56,18 @@ def override_tier(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         .when(F.col("tier") == "trusted", R.REASON_TRUSTED)
         .when(F.col("tier") == "critical", R.REASON_CRITICAL)
     )
-    return out.withColumns(
+    return df.withColumns(
         {
             "pred": pred.otherwise((F.col("prob") > rules.ml_decision_threshold).cast("int")),
             "score": score.otherwise(F.col("prob")),
             "override": reason,
         }
-    ).select(*df.columns, "tier", "pred", "score", "override")
+    )
+
+
+def override_tier(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Add ``tier``, ``pred``, ``score`` and ``override``; reads norm, host, root, prob."""
+    return with_decision(with_tier(df, rules), rules)
 
 
 def explain_tier(tiered: DataFrame) -> DataFrame:
@@ -72,20 +81,24 @@ def explain_tier(tiered: DataFrame) -> DataFrame:
     return tiered.withColumn("layer", layer).withColumn("why", why)
 
 
-def rule_flags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """The cheap local signals of the ladder; reads norm, host and score."""
+def url_flags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Local signals that depend on the URL alone; reads norm and host."""
     return df.withColumns(
         {
             "brand_flag": brand_in_domain("host", rules),
             "typo_brand": typo_brand(F.col("host"), rules),
             "sub_brand": subdomain_brand(F.col("norm"), rules),
             "ip_flag": host_is_ip(F.col("host")),
-            "keyword_flag": keyword_gate("norm", F.col("score"), rules),
             "shared_host": on_shared_hosting("host", rules),
         }
     )
 
 
+def rule_flags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The cheap local signals of the ladder; reads norm, host and score."""
+    return url_flags(df, rules).withColumn("keyword_flag", keyword_gate("norm", F.col("score"), rules))
+
+
 def gate_ladder(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Add ``gate``: which gate decides.  Reads tier, flags, blocklisted.
 
@@ -210,9 +223,14 @@ def verdict_record(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     )
 
 
-def verdicts(scored: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+def verdicts(
+    scored: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_RULES, repeated: bool = False
+) -> DataFrame:
     """Full ladder over a table with ``url`` and ``prob``; empty URLs are dropped.
 
+    ``repeated`` is for batch tables that hold the same URLs again and again, such as logs: whatever follows from the URL is
+    computed once for each distinct one and joined back. Results are the same.
+
     ``age_days`` and ``ssl_valid`` are used when present; what wasn't looked up is
     an unknown age and no valid TLS.
     """
@@ -221,9 +239,15 @@ def verdicts(scored: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_R
         table = table.withColumn("age_days", F.lit(-1))
     if "ssl_valid" not in table.columns:
         table = table.withColumn("ssl_valid", F.lit(False))
-    table = parsed(table.filter(has_text(F.col("url"))), "url", rules)
-    table = blocklist_match(table, blocklist)
-    table = rule_flags(override_tier(table, rules), rules)
+    table = table.filter(has_text(F.col("url")))
+    if repeated:
+        urls = parsed(table.select("url").distinct(), "url", rules)
+        facts = url_flags(with_tier(blocklist_match(urls, blocklist), rules), rules)
+        table = with_decision(table.join(facts, "url"), rules)
+        table = table.withColumn("keyword_flag", keyword_gate("norm", F.col("score"), rules))
+    else:
+        table = blocklist_match(parsed(table, "url", rules), blocklist)
+        table = rule_flags(override_tier(table, rules), rules)
     return verdict_record(heuristic_score(gate_ladder(table, rules), rules), rules)
 
 

@@ -292,7 +292,7 @@ def scan_log_verdicts(spark, sf):
     """The whole scan log, with the metadata known at each scan, through the ladder."""
     table = domain_meta_enrich(*scans_and_meta(spark, sf)).select("id", F.col("content").alias("url"), "age_days", "ssl_valid")
     table = table.withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000)
-    out = V.verdicts(table, derived(spark, sf, "fx_blocklist"))
+    out = V.verdicts(table, derived(spark, sf, "fx_blocklist"), repeated=True)
     return out.groupBy("result", "gate").agg(
         F.count(F.lit(1)).alias("scans"), F.round(F.sum("risk_score"), 2).alias("risk")
     )
