@@ -27,3 +27,21 @@ def with_fields(df: DataFrame, made: Column, fields: list[str]) -> DataFrame:
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+class Memory(dict):
+    """A bounded memory: when ``size`` entries are in, they become the old half, and the old half before is forgotten.
+
+    Who finds something in ``old`` keeps it again, so entries that are used often stay.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = {}  # freed before the copy is made
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

@@ -19,27 +19,29 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostsift.llm.common import Memory
+
 
 SPACE = "▁"
 UNKNOWN = -1
-#: Encoded stretches that a worker remembers, the longest of them, and pairs of pieces that it remembers.
-REMEMBERED, LONGEST, PAIRS = 300_000, 48, 600_000
+#: Encoded stretches in each half of a worker's memory, the longest of them, and pairs of pieces that it remembers.
+REMEMBERED, LONGEST, PAIRS = 450_000, 48, 600_000
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
-class _Remembered(dict):
-    """Stretch without its first mark -> bytes of its ids, computed when first asked for; a full memory starts anew."""
+class _Stretches(Memory):
+    """Stretch without its first mark -> bytes of its ids, computed when first asked for."""
 
     def __init__(self, make):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.make = make
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = array("i", self.make(SPACE + stretch)).tobytes()
+        ids = self.old.get(stretch)
+        if ids is None:
+            ids = array("i", self.make(SPACE + stretch)).tobytes()
         if len(stretch) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
+            self.keep(stretch, ids)
         return ids
 
 
@@ -68,7 +70,7 @@ class PieceTable:
         self.cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.made: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.remembered = _Remembered(self.stretch)
+        self.remembered = _Stretches(self.stretch)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.halves(i) is not None:
