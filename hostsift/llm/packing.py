@@ -8,9 +8,7 @@ are. Each piece then looks its place up by its length and its rank among the pie
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,56 +18,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hostsift.llm.common import Memory
 from hostsift.session import staged
 
-#: Chunks of text whose ids a worker remembers, the longest of them, and how many are encoded at once.
-REMEMBERED, LONGEST, AT_ONCE = 300_000, 64, 50_000
-_GAP = re.compile("[ \t\n\r]+")
-
-
-def _little(ids: list[int]) -> bytes:
-    raw = array("I", ids)
-    if sys.byteorder == "big":
-        raw.byteswap()
-    return raw.tobytes()
+#: Chunks and parts of chunks in each half of a worker's memory, and the longest of them.
+CHUNKS, PARTS, LONGEST = 300_000, 200_000, 64
+#: Letters, then punctuation that is no apostrophe.
+_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian 32-bit numbers, for tokenizers that split at white space and drop it.
 
-    Such a tokenizer gives a text the ids of its chunks between white space, one after the other, so a chunk that comes again
-    is looked up.
+    Such a tokenizer gives a text the ids of its chunks between white space, one after the other, and a word with punctuation
+    behind it the ids of both. So chunks and words that come again are looked up, and new ones are encoded in one go, with a
+    special token between them to tell their ids apart.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        probe = "One  two\n\tthree's 45, <|x|> four"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = self.tokenizer.encode_batch(_GAP.split(probe), add_special_tokens=False)
-        if whole != [i for p in parts for i in p.ids]:
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.single_word)]
+        if not special:
+            raise ValueError("a special token is needed to keep chunks apart")
+        self.mark_id, self.mark = special[0]
+        self.chunks, self.parts = Memory(CHUNKS), Memory(PARTS)
+        self.lower = self._ids("Probe") == self._ids("probe")
+        probe = "One  two\n\tthree's 45, <|x|> four.\r\nÉte!"
+        if self._ids(probe) != self.encode(probe):
             raise ValueError("only tokenizers that drop white space are supported")
-        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; parts have no white space."""
+        if any(self.mark in p for p in parts):
+            return [self._ids(p) for p in parts]
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark_id)
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(starts, ends)]
+
+    def _split(self, chunk: str) -> tuple[str, ...]:
+        m = _WORD.fullmatch(chunk)
+        if not m:
+            return (chunk,)
+        word, tail = m.groups()
+        end = word[-1].lower()
+        if tail and not (len(end) == 1 and end.isalpha() and ord(end) < 0x180):
+            return (chunk,)  # a mark at the word's end, maybe one that only normalizing brings out, joins the punctuation
+        word = word.lower() if self.lower and word.isascii() else word
+        return (word, tail) if tail else (word,)
+
+    def _made(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't in the newer half of the memory."""
+        made, split, new = {}, {}, {}
+        old, parts, old_parts = self.chunks.old.get, self.parts.get, self.parts.old.get
+        for c in chunks:
+            ids = old(c)
+            if ids is not None:
+                made[c] = ids
+                continue
+            split[c] = self._split(c)
+            for p in split[c]:
+                if p not in new:
+                    new[p] = parts(p) if parts(p) is not None else old_parts(p)
+        unknown = [p for p, ids in new.items() if ids is None]
+        if unknown:
+            new.update(zip(unknown, self._encode(unknown)))
+        for p, ids in new.items():
+            if p not in self.parts and len(p) <= LONGEST:
+                self.parts.keep(p, ids)
+        for c, ps in split.items():
+            made[c] = new[ps[0]] + new[ps[1]] if len(ps) > 1 else new[ps[0]]
+        for c, ids in made.items():
+            if len(c) <= LONGEST:
+                self.chunks.keep(c, ids)
+        return made
 
     def encode(self, text: str) -> bytes:
-        chunks = _GAP.split(text)
-        out = []
-        for start in range(0, len(chunks), AT_ONCE):
-            part = chunks[start : start + AT_ONCE]
-            known = self.known
-            missing = list({c for c in part if c not in known})
-            if missing:
-                found = zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))
-                made = {c: _little(e.ids) for c, e in found}
-                if len(known) + len(made) > REMEMBERED:
-                    kept = {c: known[c] for c in part if c in known}
-                    self.known = known = {"": b""}
-                    made |= kept
-                known.update(made)
-            out.append(b"".join(map(known.__getitem__, part)))
-            for c in missing:
-                if len(c) > LONGEST:
-                    del known[c]
-        return b"".join(out)
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        found = list(map(self.chunks.get, chunks))
+        if None in found:
+            made = {"": b""}
+            new = {c for c, ids in zip(chunks, found) if ids is None and c}
+            if new:
+                made |= self._made(list(new))
+            found = [made[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -88,7 +126,7 @@ def token_pieces(text: Column, tokenizer: str, capacity: int, end_id: int, with_
 
     @F.arrow_udf(f"array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint{extra}>>")
     def cut(texts: pa.Array) -> pa.Array:
-        rows, step, end = [], 4 * capacity, _little([end_id])
+        rows, step, end = [], 4 * capacity, end_id.to_bytes(4, "little")
         for x in texts:
             raw = chunk_encoder(tokenizer).encode(x.as_py() or "") + end
             pieces = []
