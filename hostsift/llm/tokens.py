@@ -180,4 +180,5 @@ def document_tokens(
     index = write_token_files(docs, ranks, pattern, end_id, folder, key, text, width)
     counts = count_tokens(docs.sparkSession, folder, end_id, width)
     name = F.substring_index("file", "/", -1)
-    return index.join(counts.withColumn("file", name), ["file", "ordinal"]).select(key, "n_tokens")
+    # Both sides have a row per document; what their files weigh says little about that, so neither is broadcast.
+    return index.hint("merge").join(counts.withColumn("file", name), ["file", "ordinal"]).select(key, "n_tokens")
