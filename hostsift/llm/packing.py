@@ -8,7 +8,10 @@ are. Each piece then looks its place up by its length and its rank among the pie
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +28,7 @@ from hostsift.session import staged
 CHUNKS, PARTS, LONGEST = 300_000, 200_000, 64
 #: Letters, then punctuation that is no apostrophe.
 _WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+_ASCII_WORD = re.compile("[a-z]+")
 
 
 class ChunkEncoder:
@@ -44,6 +48,10 @@ class ChunkEncoder:
         self.mark_id, self.mark = special[0]
         self.chunks, self.parts = Memory(CHUNKS), Memory(PARTS)
         self.lower = self._ids("Probe") == self._ids("probe")
+        self.model = self.tokenizer.model
+        self.words_alone = sys.byteorder == "little" and all(
+            array("I", [t.id for t in self.model.tokenize(w)]).tobytes() == self._ids(w) for w in ("probe", "zyx", "s", "words")
+        )
         probe = "One  two\n\tthree's 45, <|x|> four.\r\nÉte!"
         if self._ids(probe) != self.encode(probe):
             raise ValueError("only tokenizers that drop white space are supported")
@@ -86,6 +94,12 @@ class ChunkEncoder:
                 if p not in new:
                     new[p] = parts(p) if parts(p) is not None else old_parts(p)
         unknown = [p for p, ids in new.items() if ids is None]
+        if self.words_alone:  # a word in lower-case ASCII needs no normalizing and no splitting
+            tokenize = self.model.tokenize
+            for p in unknown:
+                if _ASCII_WORD.fullmatch(p):
+                    new[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
+            unknown = [p for p in unknown if new[p] is None]
         if unknown:
             new.update(zip(unknown, self._encode(unknown)))
         for p, ids in new.items():
@@ -99,6 +113,10 @@ class ChunkEncoder:
         return made
 
     def encode(self, text: str) -> bytes:
+        if self.lower and "<" not in text and unicodedata.is_normalized("NFC", text):
+            plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
+            # The tokenizer composes characters first, so capitals may only go where that changes nothing either way.
+            text = plain if unicodedata.is_normalized("NFC", plain) else text
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         found = list(map(self.chunks.get, chunks))
         if None in found:
