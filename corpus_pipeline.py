@@ -15,15 +15,17 @@ from hostsift.llm.language import UNDETERMINED, fit_filters, held_out, language
 from hostsift.llm.lines import dedup_lines
 from hostsift.llm.packing import pack_documents
 from hostsift.llm.quality import QualityRules, quality
-from hostsift.llm.simhash import one_of_each_group
+from hostsift.llm.simhash import one_of_similar
 from hostsift.session import staged
 
 #: Least share of a text's n-grams that its language must have.
 MIN_KNOWN = 0.3
 #: A document of which less than this share of characters is left after line dedup is a copy of earlier ones.
 MIN_LEFT = 0.2
-#: Words of a shingle, and bits by which fingerprints of near copies differ at most: 2 of 64 is a similarity far above 0.8.
-SHINGLE, RADIUS = 5, 2
+#: Words of a shingle, and the least similarity of near copies: of the sets of their shingles.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits within which fingerprints meet in the ball, besides the min-hash prints. Texts that far apart are nearly equal.
+RADIUS = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -59,8 +61,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of the smallest id."""
-    return one_of_each_group(docs, words=SHINGLE, radius=RADIUS)
+    """Of documents that can be reached over pairs of near copies, the one of the smallest id."""
+    return one_of_similar(docs, words=SHINGLE, similarity=SIMILARITY, radius=RADIUS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from hostsift.llm.components import components
 from hostsift.llm.lines import dedup_lines
 from hostsift.llm.packing import best_fit, pack_documents
 from hostsift.llm.sharding import permuted, shard_rows
-from hostsift.llm.simhash import near_links, one_of_each_group, simhash_groups
+from hostsift.llm.simhash import near_links, one_of_each_group, one_of_similar, simhash_groups
 from hostsift.llm.tokens import byte_bpe, count_tokens, document_tokens
 from hostsift.llm.topk import integer_vectors, top_k
 from hostsift.session import scratch_path
@@ -85,6 +85,56 @@ def test_one_document_of_each_group_stays(edge, nothing):
     assert one_of_each_group(nothing).count() == 0
 
 
+def shingles(text, n=5):
+    ws = plain.words(plain.lower(text or ""))
+    return {" ".join(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copy_cases():
+    """Texts with some words replaced, copies of copies among them; a third of the pairs lie near 0.8."""
+    rng, docs = random.Random(11), []
+    words = [f"w{i}" for i in range(3000)]
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        docs.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.choice([1, len(base) // 60, len(base) // 45, len(base) // 35])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            docs.append(" ".join(copy))
+            if rng.random() < 0.3:
+                base = copy
+    rng.shuffle(docs)
+    return list(enumerate([*docs, docs[0], docs[0].upper(), None, "", " ", "one two", "One TWO"]))
+
+
+def test_near_copies_by_jaccard_match_all_pairs(spark, edge, nothing):
+    cases = near_copy_cases()
+    sets = {k: shingles(t) for k, t in cases}
+    want = plain.groups(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    equal = plain.groups(sorted(sets), lambda a, b: sets[a] == sets[b])
+    assert len(set(want.values())) < len(set(equal.values())) - 50
+    kept = one_of_similar(spark.createDataFrame(cases, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    kept = one_of_similar(edge)
+    assert kept.columns == edge.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert set(ids) == {1, 4, 5, 8, 9, 10, 11, 12, None} and set(ids.values()) == {1}
+    assert one_of_similar(nothing).count() == 0
+
+
+def test_pipeline_links_near_copies_by_jaccard(spark):
+    cases = near_copy_cases()
+    sets = {k: shingles(t) for k, t in cases}
+    want = plain.groups(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(cases, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 # --- lines --------------------------------------------------------------------------------------------------------------
 
 
