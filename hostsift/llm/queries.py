@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostsift.llm.alignment import align_tokenizers
 from hostsift.llm.common import table
 from hostsift.llm.language import fit_filters, held_out, identify_languages
 from hostsift.llm.licenses import scan_licenses
 from hostsift.llm.lines import dedup_lines
+from hostsift.llm.negatives import hard_negatives, labelled_vectors
+from hostsift.llm.ngrams import fit_language_model, score_texts
 from hostsift.llm.packing import pack_documents
 from hostsift.llm.pieces import decode_pieces, encode_pieces
 from hostsift.llm.quality import quality_rules
@@ -27,6 +30,7 @@ ORACLES: dict[str, str] = {}
 #: Files that come with the tokenizers; every executor has the package.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -137,3 +141,49 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir), WORDS)
+
+
+@query
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return align_tokenizers(documents(spark, sf_dir), BYTES, PIECES, public_tokenizers.PATTERN)
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = labelled_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", relabelled)
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+        CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scored WHERE same)
+    WHERE n <= 5),
+hits AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hits WHERE rank <= 5
+"""
+
+
+def unseen(key):
+    """Whether the language model must not learn from a document: checksum of its id, modulo 7, is 2. A null id counts as ''."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 7 == 2
+
+
+@query
+def op13_log_frequency_lm(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scored = score_texts(docs, fit_language_model(docs.where(~unseen(F.col("doc_id")))))
+    return scored.withColumn("held_out", unseen(F.col("doc_id")))
