@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -27,7 +27,7 @@ from hostsift.llm.frequent import at_most, joined_sums
 from hostsift.session import staged
 
 #: Bytes of texts whose tokens are aligned at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: A group of more links is counted by its distinct ids.
 WIDE = 4096
 #: Pairs whose counts every worker holds, 17 bytes each.
@@ -140,13 +140,11 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, doc: np.ndarray, n_a: np.ndarray,
     return keys // space, keys % space, times
 
 
-_FACTS = pa.struct([
-    *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()),
-    ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
-])
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+_FACTS = [*_NUMBERS, "groups_sha256", "pairs", "times"]
 
 
-def _aligned(texts: list[str], pair: TokenizerPair) -> pa.StructArray:
+def _aligned(texts: list[str], pair: TokenizerPair) -> list[pa.Array]:
     found = pair.encode(texts)
     sizes = [np.array([len(x[side]) for x in found], np.int64) for side in (0, 1)]
     a, b = (np.fromiter((i for x in found for i in x[side]), np.int64, sizes[side].sum()) for side in (0, 1))
@@ -175,36 +173,40 @@ def _aligned(texts: list[str], pair: TokenizerPair) -> pa.StructArray:
     offsets = pa.array(np.searchsorted(of, np.arange(len(found) + 1)), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pairs, times)]
     numbers = [pa.array(x, pa.int64()) for x in (*sizes, n_groups, n_links)]
-    return pa.StructArray.from_arrays([*numbers, pa.array(digests, pa.string()), *lists], fields=list(_FACTS))
+    return [*numbers, pa.array(digests, pa.string()), *lists]
 
 
-def _chunks(texts: pa.Array) -> Iterator[list[str]]:
-    chunk, size = [], 0
-    for x in texts:
-        chunk.append(x.as_py() or "")
-        size += len(chunk[-1])
-        if size >= CHUNK:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches and their texts, of ``CHUNK`` characters or one text more."""
+    for batch in batches:
+        first, at = 0, 0
+        while at < batch.num_rows:
+            texts, size = [], 0
+            while at < batch.num_rows and size < CHUNK:
+                texts.append(batch["text"][at].as_py() or "")
+                size += len(texts[-1])
+                at += 1
+            yield batch.slice(first, at - first), texts
+            first = at
 
 
-def alignment(text: Column, byte_bpe: str, pieces: str, pattern: str) -> Column:
-    """``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256``, and the distinct ``pairs`` and the ``times`` of each."""
+def aligned(docs: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> DataFrame:
+    """Of every ``text``, beside its ``key``: ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256``, and the distinct
+    ``pairs`` and the ``times`` of each."""
 
-    @F.arrow_udf("struct<n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, pairs: array<bigint>, times: array<bigint>>")
-    def align(texts: pa.Array) -> pa.Array:
+    def align(batches):
         pair = tokenizer_pair(byte_bpe, pieces, pattern)
-        parts = [_aligned(chunk, pair) for chunk in _chunks(texts)]
-        return pa.concat_arrays(parts) if parts else pa.array([], _FACTS)
+        for batch, texts in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["key"], *_aligned(texts, pair)], ["key", *_FACTS])
 
-    return align(text)
+    numbers = ", ".join(f"{c} bigint" for c in _NUMBERS)
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(align, f"key {kind}, {numbers}, groups_sha256 string, pairs array<bigint>, times array<bigint>")
 
 
-def pair_counts(aligned: DataFrame, width: int, pairs: str = "pairs") -> DataFrame:
+def pair_counts(facts: DataFrame, width: int, pairs: str = "pairs") -> DataFrame:
     """``pair``, ``n``, the documents that hold it linked, and ``best``, whether no pair of its A id has more."""
-    counts = staged(aligned.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
+    counts = staged(facts.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
     # There are at most as many rows of an A id as B has ids, so a window by it is bounded; the counts are joined all the same.
     a = F.floor(F.col("pair") / width).alias("a")
     most = counts.groupBy(a).agg(F.max("n").alias("most"))
@@ -227,9 +229,9 @@ def align_tokenizers(
     ``held_pairs`` pairs, the most frequent, are sent to the workers; the others are joined.
     """
     spark = docs.sparkSession
-    made = alignment(F.col(f"`{text}`").cast("string"), byte_bpe, pieces, pattern)
-    facts = docs.select(F.col(f"`{key}`").alias("key"), made.alias("made"))
-    facts = staged(facts.select("key", F.monotonically_increasing_id().alias("row_no"), "made.*"), "aligned")
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    facts = aligned(texts, byte_bpe, pieces, pattern).withColumn("row_no", F.monotonically_increasing_id())
+    facts = staged(facts, "aligned")
     table = staged(pair_counts(facts, tokenizer_pair(byte_bpe, pieces, pattern).model.vocab_size()), "pairs")
     held = at_most(table, "n", held_pairs).toArrow().sort_by("pair")  # at most `held_pairs` rows
     shared = spark.sparkContext.broadcast([
@@ -252,11 +254,10 @@ def align_tokenizers(
         rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left)
         return pa.StructArray.from_arrays([*[pa.array(x, pa.int64()) for x in sums], rest], ["count_sum", "n_best", "rest"])
 
-    numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    summed = facts.withColumn("found", look_up("pairs", "times")).select("key", "row_no", *numbers, "groups_sha256", "found.*")
+    summed = facts.withColumn("found", look_up("pairs", "times")).select("key", "row_no", *_NUMBERS, "groups_sha256", "found.*")
     sums = {"more_sum": F.col("times") * F.col("n"), "more_best": F.col("times") * F.col("best").cast("bigint")}
     whole = joined_sums(staged(summed, "looked-up"), "row_no", "rest", table, "pair", sums)
     return whole.select(
-        F.col("key").alias(key), *numbers, (F.col("n_best") + F.col("more_best")).alias("n_best"),
+        F.col("key").alias(key), *_NUMBERS, (F.col("n_best") + F.col("more_best")).alias("n_best"),
         (F.col("count_sum") + F.col("more_sum")).alias("count_sum"), "groups_sha256",
     )
