@@ -15,39 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from hostsift.functions.urls import normalize_url, parse_host
 from hostsift.plans.verdict import verdicts
 from hostsift.rules import DEFAULT_RULES, RuleSet
 from hostsift.session import path_is_missing
 from hostsift.sources.feeds import feed_entry
 from hostsift.sources.sinks import scan_log_rows
+from hostsift.streaming.asof import with_metadata_as_of
 
 DEDUP_TTL = "60 seconds"
-
-
-def with_cached_metadata(scans: DataFrame, meta: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Add ``age_days`` and ``ssl_valid`` from each domain's newest lookup, while that is younger than the TTL.
-
-    ``meta`` is a static table, so this is a stream-static join; misses give age -1 and no TLS.
-    """
-    newest = meta.groupBy("domain").agg(F.max(F.struct("checked_at", "age_days", "ssl_valid")).alias("_meta"))
-    joined = scans.withColumn("domain", parse_host(normalize_url(F.col("url")))).join(newest, "domain", "left")
-    at, since = F.col("_meta.checked_at"), F.col("ts") - F.make_dt_interval(secs=F.lit(ttl_seconds))
-    fresh = (at <= F.col("ts")) & (at > since)
-    return joined.withColumns(
-        {
-            "age_days": F.coalesce(F.when(fresh, F.col("_meta.age_days")), F.lit(-1)),
-            "ssl_valid": F.coalesce(F.when(fresh, F.col("_meta.ssl_valid")), F.lit(False)),
-        }
-    ).drop("_meta", "domain")
+#: How late scans and lookups of domains may be.
+META_LATENESS = "10 minutes"
 
 
 def stream_scan(
-    scans: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_RULES, meta: DataFrame | None = None
+    scans: DataFrame, blocklist: DataFrame, rules: RuleSet = DEFAULT_RULES, meta: DataFrame | None = None,
+    lateness: str = META_LATENESS,
 ) -> DataFrame:
-    """Log rows for a stream of (id, url, prob, response_time, ts); ``meta`` holds lookups of domains."""
+    """Log rows for a stream of (id, url, prob, response_time, ts).
+
+    ``meta`` is a stream of lookups of domains; every scan gets the newest one at or before it, as in the batch job, and so
+    waits until lookups that are ``lateness`` late are in.
+    """
     if meta is not None:
-        scans = with_cached_metadata(scans, meta, rules.meta_cache_ttl_sec)
+        scans = with_metadata_as_of(scans, meta, rules.meta_cache_ttl_sec, lateness)
     return scan_log_rows(verdicts(scans, blocklist, rules))
 
 

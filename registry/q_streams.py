@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
-from hostsift.session import scratch_path, staged
+from hostsift.session import scratch_path
 from hostsift.streaming import jobs as S
+from hostsift.streaming.asof import with_metadata_as_of
 from registry.base import h, parsed, query, verdict_ctes
-from registry.corpus import derived, given, with_duck
+from registry.corpus import RULES, derived, given, with_duck
 from registry.q_tables import META_DUCK, scans_and_meta
 
 ALL = {"availableNow": True}
@@ -26,35 +27,78 @@ def nav(spark, sf):
     return log.select("id", F.col("content").alias("url"), "ts", "result", "response_time")
 
 
+#: The newest lookup at or before each scan that is younger than the TTL.
+AS_OF_SCAN = [
+    *META_DUCK,
+    parsed("lg", "fx_scan_log", "content"),
+    """nearest AS (SELECT l.id, m.age_days, m.ssl_valid, row_number() OVER (PARTITION BY l.id ORDER BY m.checked_at DESC) AS rn
+        FROM lg l LEFT JOIN meta m ON m.domain = l.host AND m.checked_at <= l.ts AND m.checked_at > l.ts - INTERVAL 900 SECOND)""",
+    f"""sv AS (SELECT l.id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob,
+        coalesce(n.age_days, -1) AS age_days, coalesce(n.ssl_valid, FALSE) AS ssl_valid
+        FROM lg l JOIN nearest n ON n.id = l.id AND n.rn = 1)""",
+]
+
+
+def scans_and_lookups(spark, sf):
+    """Both tables as streams of five micro-batches, rows in any order, and a function that ends them with a heartbeat."""
+    scans = nav(spark, sf).withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000).drop("result")
+    lookups = scans_and_meta(spark, sf)[1].select("domain", "checked_at", "age_days", "ssl_valid")
+    streams, folder = [], scratch_path(spark, "lookups")
+    lookups.withColumn("part", F.rand(7)).repartition(5, "part").drop("part").write.parquet(folder)
+    streams = [as_stream(spark, scans, 5, 1), spark.readStream.schema(lookups.schema).option("maxFilesPerTrigger", 1).parquet(folder)]
+
+    def end():
+        last = scans.agg(F.max("ts") + F.expr("INTERVAL 90 DAYS")).select(F.lit(None).cast("string"), "*", F.lit(-1), F.lit(False))
+        last.toDF(*lookups.columns).coalesce(1).write.mode("append").parquet(folder)
+
+    return *streams, end
+
+
+def finished(spark, stream, start, end):
+    """Run what is there, then the heartbeat, which lets the last rows go."""
+    checkpoint = scratch_path(spark, "stream-cp")
+    for step in (None, end):
+        if step:
+            step()
+        start(stream, checkpoint).awaitTermination()
+
+
 @query(
     "stream_scan",
     with_duck(
-        ("fx_urls", "fx_scan_log", "fx_blocklist"),
-        *META_DUCK,
-        parsed("lg", "fx_scan_log", "content"),
-        """newest AS (SELECT domain, max(checked_at) AS checked_at, any_value(age_days) AS age, any_value(ssl_valid) AS tls
-            FROM meta GROUP BY domain)""",
-        f"""sv AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob,
-            n.checked_at <= l.ts AND n.checked_at > l.ts - INTERVAL 900 SECOND AS fresh,
-            CASE WHEN fresh THEN age ELSE -1 END AS age_days, CASE WHEN fresh THEN tls ELSE FALSE END AS ssl_valid
-            FROM lg l LEFT JOIN newest n ON n.domain = l.host)""",
-        *verdict_ctes("sv", "age_days", "ssl_valid"),
+        ("fx_urls", "fx_scan_log", "fx_blocklist"), *AS_OF_SCAN, *verdict_ctes("sv", "age_days", "ssl_valid"),
         select="SELECT id, norm AS content, result, risk_score FROM verdict",
     ),
 )
 def stream_scan(spark, sf):
-    table = nav(spark, sf).withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000).drop("result")
-    lookups = staged(scans_and_meta(spark, sf)[1], "lookups")
-    log = S.stream_scan(as_stream(spark, table), derived(spark, sf, "fx_blocklist"), meta=lookups)
+    scans, lookups, end = scans_and_lookups(spark, sf)
+    log = S.stream_scan(scans, derived(spark, sf, "fx_blocklist"), meta=lookups, lateness="60 days")
     out = scratch_path(spark, "stream-log")
-    S.write_scan_log(log, out, scratch_path(spark, "stream-cp"), **ALL).awaitTermination()
+    finished(spark, log, lambda s, checkpoint: S.write_scan_log(s, out, checkpoint, **ALL), end)
     return spark.read.schema(log.schema).parquet(out).select("id", "content", "result", "risk_score")
 
 
-def to_table(spark, stream):
+@query(
+    "stream_metadata_as_of",
+    with_duck(("fx_urls", "fx_scan_log"), *AS_OF_SCAN, select="SELECT id, age_days, ssl_valid FROM sv"),
+)
+def stream_metadata_as_of(spark, sf):
+    """What each scan of the stream knows of its domain."""
+    scans, lookups, end = scans_and_lookups(spark, sf)
+    known = with_metadata_as_of(scans, lookups, RULES.meta_cache_ttl_sec, lateness="60 days")
     out = scratch_path(spark, "stream-out")
+    finished(spark, known, lambda s, checkpoint: to_path(s, out, checkpoint), end)
+    return spark.read.schema(known.schema).parquet(out).select("id", "age_days", "ssl_valid")
+
+
+def to_path(stream, out, checkpoint):
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(**ALL)
-    writer.option("path", out).option("checkpointLocation", scratch_path(spark, "stream-cp")).start().awaitTermination()
+    return writer.option("path", out).option("checkpointLocation", checkpoint).start()
+
+
+def to_table(spark, stream):
+    out = scratch_path(spark, "stream-out")
+    to_path(stream, out, scratch_path(spark, "stream-cp")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
