@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hostsift.llm.common import byte_of_sign
 from hostsift.llm.frequent import at_most, joined_sums
 from hostsift.session import staged
 
@@ -36,13 +37,6 @@ HELD_PAIRS = 1_000_000
 _LONG_SPACE = re.compile(r"\s{500}")
 
 
-def _byte_of_sign() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves, and the others as the signs from 256 on, in order."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class TokenizerPair:
     """A byte-level BPE, which reads a space before the text, and a BPE of pieces, which puts one there itself."""
 
@@ -53,7 +47,7 @@ class TokenizerPair:
         with open(byte_bpe, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         added = {i: t.content for i, t in self.whole.get_added_tokens_decoder().items()}
-        sign = _byte_of_sign()
+        sign = byte_of_sign()
         self.a = [b""] * self.whole.get_vocab_size()
         for token, i in vocabulary.items():
             self.a[i] = added[i].encode() if i in added else bytes(map(sign.__getitem__, token))

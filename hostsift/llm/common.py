@@ -29,6 +29,13 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def byte_of_sign() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves, and the others as the signs from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Memory(dict):
     """A bounded memory: when ``size`` entries are in, they become the old half, and the old half before is forgotten.
 
@@ -45,3 +52,10 @@ class Memory(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+    def keep_all(self, entries: dict) -> None:
+        if len(self) + len(entries) > self.size:
+            self.old = {}
+            self.old = dict(self)
+            self.clear()
+        self.update(entries)

@@ -13,7 +13,7 @@ carry the levels found so far from one shard to the next.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ DEAL_BITS = 16
 #: Neither is a word: words have no white space.
 START, END = b" ", b"\n"
 #: Bytes of text handled at once, n-grams counted before they are passed on, and words that a worker remembers.
-CHUNK, COUNTED, REMEMBERED = 8 << 20, 4_000_000, 400_000
+CHUNK, COUNTED, REMEMBERED = 2 << 20, 4_000_000, 300_000
 #: Words whose exact counts every worker holds, and the longest of them.
 HELD_WORDS, HELD_CHARS = 200_000, 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -54,14 +54,25 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.names: list[bytes] = []
-        self.hashes: list[int] = []
+        self.made: dict[str, np.ndarray] = {}
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.names)
         self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
         return n
 
+    def by_number(self, what: str, make: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+        """``make`` of all words, computed once for each."""
+        have = self.made.get(what)
+        have = make([]) if have is None else have
+        if len(have) < len(self.names):
+            have = self.made[what] = np.concatenate((have, make(self.names[len(have) :])))
+        return have
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.by_number("hashes", lambda names: np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64))
+
 
 @dataclass
 class Tokens:
@@ -73,7 +84,7 @@ class Tokens:
 
     def keys(self, order: int) -> list[np.ndarray]:
         """For each length up to ``order`` the key of the n-gram that ends at each place; without meaning where none does."""
-        h = np.array(self.words.hashes, np.uint64)[self.ids]
+        h = self.words.hashes[self.ids]
         made = [_mix(h)]
         for _ in range(order - 1):
             before = np.concatenate((made[-1][:1], made[-1][:-1]))
@@ -111,8 +122,19 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _sums(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
+
 def _counts(texts: DataFrame, order: int) -> DataFrame:
-    """``deal``, ``key``, ``word`` (null for a start and longer n-grams) and ``n`` of all n-grams, dealt out by ``deal``."""
+    """``key``, ``word`` (null for a start and longer n-grams) and ``n`` of n-grams, by the part of the filter they belong to.
+
+    An n-gram can have several rows, one from each task that met it, but all are in one partition.
+    """
 
     def count(batches):
         longer, by_word, held = [], {}, 0
@@ -129,8 +151,9 @@ def _counts(texts: DataFrame, order: int) -> DataFrame:
 
         for _, t in _tokens(batches):
             place = t.place
-            numbers, times = np.unique(t.ids, return_counts=True)
-            for i, n in zip(numbers.tolist(), times.tolist()):
+            times = np.bincount(t.ids)
+            numbers = np.flatnonzero(times)
+            for i, n in zip(numbers.tolist(), times[numbers].tolist()):
                 by_word[t.words.names[i]] = by_word.get(t.words.names[i], 0) + n
             for m, keys in enumerate(t.keys(order)[1:], 1):
                 longer.append(keys[place >= m])
@@ -141,11 +164,8 @@ def _counts(texts: DataFrame, order: int) -> DataFrame:
         if by_word:
             yield from passed_on()
 
-    parts = texts.mapInArrow(count, "key bigint, word string, n bigint")
-    deal = F.shiftrightunsigned("key", 64 - DEAL_BITS).cast("int").alias("deal")
     # Dealt out by the part of the filter, of which each task then has whole ones; a hash, so no key is hot.
-    dealt = parts.select(deal, "key", "word", "n").repartition(F.col("deal"))
-    return dealt.groupBy("deal", "key", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "key bigint, word string, n bigint").repartition(F.shiftrightunsigned("key", 64 - DEAL_BITS))
 
 
 def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
@@ -153,10 +173,15 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def _bit(keys: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
-    """Place of the bit among ``size`` (below 2**32) bits that a probe for an event looks at."""
-    hashes = _mix(keys + np.uint64((64 * level + probe + 1) * int(_ODD[3]) & 0xFFFFFFFFFFFFFFFF))
-    return ((hashes >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+def _hashes(keys: np.ndarray, level: int, pair: int) -> np.ndarray:
+    """Two probes of an event, one in either half."""
+    return _mix(keys + np.uint64((64 * level + pair + 1) * int(_ODD[3]) & 0xFFFFFFFFFFFFFFFF))
+
+
+def _bit(hashes: np.ndarray, half: int, size: np.ndarray) -> np.ndarray:
+    """Place of a probe's bit among ``size`` (below 2**32) bits."""
+    number = hashes >> np.uint64(32) if half else hashes & np.uint64(0xFFFFFFFF)
+    return (number * size >> np.uint64(32)).astype(np.int64)
 
 
 def filter_parts(deal: np.ndarray, keys: np.ndarray, counts: np.ndarray, base: float, bits: int, probes: int) -> Iterator[tuple[int, bytes]]:
@@ -168,8 +193,10 @@ def filter_parts(deal: np.ndarray, keys: np.ndarray, counts: np.ndarray, base: f
         size = max(8, -(-int(levels[a:b].sum()) * bits // 8)) * 8
         part = np.zeros(size, bool)
         for level in range(1, int(levels[a:b].max()) + 1):
+            there = keys[a:b][levels[a:b] >= level]
             for probe in range(probes):
-                part[_bit(keys[a:b][levels[a:b] >= level], level, probe, np.uint64(size))] = True
+                hashes = hashes if probe % 2 else _hashes(there, level, probe // 2)
+                part[_bit(hashes, probe % 2, np.uint64(size))] = True
         yield int(deal[a]), np.packbits(part, bitorder="little").tobytes()
 
 
@@ -194,12 +221,16 @@ class FilterShard:
         """Levels of n-grams of these deals: one probe after the other, until one fails."""
         found = np.zeros(len(keys), np.uint8)
         deal = (keys >> np.uint64(64 - DEAL_BITS)).astype(np.int64)
-        left = np.flatnonzero(self.size[deal] > 0)
+        size, start = self.size[deal], self.start[deal]
+        left = np.flatnonzero(size > 0)
+        keys, size, start = keys[left], size[left], start[left]
         for level in range(1, 256):
             for probe in range(self.probes):
-                d = deal[left]
-                at = self.start[d] + _bit(keys[left], level, probe, self.size[d])
-                left = left[self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                hashes = hashes if probe % 2 else _hashes(keys, level, probe // 2)
+                at = start + _bit(hashes, probe % 2, size)
+                hit = np.flatnonzero(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if len(hit) < len(left):
+                    left, keys, size, start, hashes = left[hit], keys[hit], size[hit], start[hit], hashes[hit]
             if not len(left):
                 break
             found[left] = level
@@ -226,26 +257,32 @@ class LanguageModel:
 
 
 def fit_language_model(
-    texts: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, bits: int = 10, probes: int = 5, prior: float = 64.0
+    texts: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, bits: int = 10, probes: int = 4, prior: float = 64.0
 ) -> LanguageModel:
     """Counts of all n-grams of up to ``order`` tokens in all of ``texts``, as a filter of ``bits`` bits per event.
 
-    A text is its words and one end; a null one is empty. With 10 bits and 5 probes an n-gram that was never counted has a
+    A task holds the n-grams of a shuffle partition at 16 bytes each, besides the distinct words among them.
+
+    A text is its words and one end; a null one is empty. With 10 bits and 4 probes an n-gram that was never counted has a
     level by chance in 1 of 100 cases. ``prior`` is the weight of the shorter n-gram's estimate, in counts. An empty table
     gives a model that knows nothing.
     """
     counted = _counts(texts.select(F.col(f"`{text}`").cast("string").alias("text")), order)
 
     def built(batches):
-        columns = [[np.zeros(0, t)] for t in (np.int64, np.uint64, np.int64)]
+        columns, named = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]], []
         for batch in batches:
-            for column, name in zip(columns, ("deal", "key", "n"), strict=True):
+            for column, name in zip(columns, ("key", "n"), strict=True):
                 column.append(batch[name].to_numpy(zero_copy_only=False).astype(np.int64).view(column[0].dtype))
-            named = batch.filter(batch["word"].is_valid())
-            none = [pa.nulls(named.num_rows, t) for t in (pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, named["word"], named["n"]], ["deal", "bits", "word", "n"])
+            named.append(batch.filter(batch["word"].is_valid()).select(["word", "n"]))
+        if named:
+            words = pa.Table.from_batches(named).group_by("word").aggregate([("n", "sum")])
+            none = [pa.nulls(len(words), t) for t in (pa.int32(), pa.binary())]
+            whole = pa.Table.from_arrays([*none, words["word"], words["n_sum"]], ["deal", "bits", "word", "n"])
+            yield from whole.combine_chunks().to_batches()
+        keys, times = _sums(*map(np.concatenate, columns))
         made = []
-        for part in filter_parts(*map(np.concatenate, columns), base, bits, probes):
+        for part in filter_parts((keys >> np.uint64(64 - DEAL_BITS)).astype(np.int64), keys, times, base, bits, probes):
             made.append(part)
             if len(made) == 1000:
                 yield _parts(made)
@@ -274,25 +311,24 @@ def _shards(model: LanguageModel, most: int) -> list[tuple[int, int]]:
     return [*ranges, (first, (1 << DEAL_BITS) - 1)]
 
 
+def _deals(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - DEAL_BITS)).astype(np.int64)
+
+
 def _probed(shard: FilterShard, t: Tokens, keys: list[np.ndarray], levels: np.ndarray, alone: bool) -> None:
     """Enter the levels of n-grams of the shard's deals; ``alone``: it is the whole filter."""
+
+    def of_words(names: list[bytes]) -> np.ndarray:
+        return shard.levels(_mix(np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64)))
+
+    here = np.full(len(t.ids), True) if alone else shard.has(_deals(keys[0]))
+    levels[here, 0] = t.words.by_number("levels", of_words)[t.ids[here]]
     place = t.place
-    for m, key in enumerate(keys):
-        if m == 0:  # equal words have equal levels
-            distinct, back = np.unique(t.ids, return_inverse=True)
-            first = np.zeros(len(distinct), np.int64)
-            first[back] = np.arange(len(t.ids))
-            asked = first[shard.has((key[first] >> np.uint64(64 - DEAL_BITS)).astype(np.int64))]
-            of = np.zeros(len(t.ids), np.uint8)
-            of[asked] = shard.levels(key[asked])
-            here = np.zeros(len(distinct), bool)
-            here[back[asked]] = True
-            levels[here[back], 0] = of[first[back[here[back]]]]
-            continue
+    for m, key in enumerate(keys[1:], 1):
         may = place >= m
-        if alone:  # an n-gram isn't there if what it begins with isn't
-            may[1:] &= levels[:-1, m - 1] > 0
-        asked = np.flatnonzero(may & shard.has((key >> np.uint64(64 - DEAL_BITS)).astype(np.int64)))
+        if alone:  # an n-gram isn't there if what it begins or ends with isn't
+            may[1:] &= (levels[:-1, m - 1] > 0) & (levels[1:, 0] > 0)
+        asked = np.flatnonzero(may if alone else may & shard.has(_deals(key)))
         levels[asked, m] = shard.levels(key[asked])
 
 
@@ -368,10 +404,10 @@ def score_texts(
             real = t.place > 0
             n = len(t.start) - 1
             # Exact counts: of frequent words at once, the others' places are kept for the join.
-            distinct, back = np.unique(t.ids, return_inverse=True)
-            exact = np.array([held.value.get(t.words.names[i], -1) for i in distinct.tolist()], np.int64)[back]
-            there = real & (exact >= 0)
-            base = np.bincount(doc[there], np.log10((exact[there] + 1) / size), n)
+            exact = t.words.by_number("exact", lambda names: np.array([held.value.get(w, -1) for w in names], np.int64))
+            values = t.words.by_number("logs", lambda names: np.log10((np.array([held.value.get(w, 0) for w in names], float) + 1) / size))
+            there = real & (exact[t.ids] >= 0)
+            base = np.bincount(doc[there], values[t.ids[there]], n)
             spot, times = np.unique(doc[real & ~there] * (1 << 32) + t.ids[real & ~there], return_counts=True)
             spelled = [t.words.names[i].decode("utf-8", "surrogatepass") for i in (spot & 0xFFFFFFFF).tolist()]
             rest = pa.StructArray.from_arrays([pa.array(spelled, pa.string()), pa.array(times, pa.int64())], ["word", "times"])

@@ -12,6 +12,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,14 +22,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hostsift.llm.common import Memory
+from hostsift.llm.common import Memory, byte_of_sign
 from hostsift.session import staged
 
 #: Chunks and parts of chunks in each half of a worker's memory, and the longest of them.
 CHUNKS, PARTS, LONGEST = 300_000, 200_000, 64
 #: Letters, then punctuation that is no apostrophe.
 _WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
-_ASCII_WORD = re.compile("[a-z]+")
+#: The same in lower-case letters that need no normalizing and no further splitting.
+_LETTERS = "a-zß-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)")
+#: Their bytes as a byte-level vocabulary writes them.
+_SIGNS = {b: sign for sign, b in byte_of_sign().items() if ord(sign) != b}
+#: Characters of the texts whose chunks are looked up together.
+TOGETHER = 1 << 20
 
 
 class ChunkEncoder:
@@ -49,9 +56,11 @@ class ChunkEncoder:
         self.chunks, self.parts = Memory(CHUNKS), Memory(PARTS)
         self.lower = self._ids("Probe") == self._ids("probe")
         self.model = self.tokenizer.model
-        self.words_alone = sys.byteorder == "little" and all(
-            array("I", [t.id for t in self.model.tokenize(w)]).tobytes() == self._ids(w) for w in ("probe", "zyx", "s", "words")
-        )
+        probes = ["probe", "zyx", "s", "words", *(f"a{c}{c}b" for c in map(chr, range(0xDF, 0x100)) if re.match(f"[{_LETTERS}]", c))]
+        self.words_alone = sys.byteorder == "little" and all(self._tokens(w) == self._ids(w) for w in probes)
+        self.tails = {t: self._ids(t) for t in (".", ",", ";", ":", "!", "?", "...")} if self.words_alone else {}
+        if any(self._ids(f"probe{t}") != self._ids("probe") + ids for t, ids in self.tails.items()):
+            self.tails = {}
         probe = "One  two\n\tthree's 45, <|x|> four.\r\nÉte!"
         if self._ids(probe) != self.encode(probe):
             raise ValueError("only tokenizers that drop white space are supported")
@@ -59,6 +68,11 @@ class ChunkEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _tokens(self, word: str) -> bytes:
+        """Ids of a word of ``_LETTERS``, straight from the model."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part; parts have no white space."""
         if any(self.mark in p for p in parts):
@@ -81,51 +95,68 @@ class ChunkEncoder:
         return (word, tail) if tail else (word,)
 
     def _made(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't in the newer half of the memory."""
+        """Ids of chunks that aren't in the newer half of the memory, and of the words in them."""
         made, split, new = {}, {}, {}
-        old, parts, old_parts = self.chunks.old.get, self.parts.get, self.parts.old.get
+        known, old, tokens, tails = self.chunks.get, self.chunks.old.get, self._tokens, self.tails.get
+        plain = _PLAIN.fullmatch if self.words_alone else lambda c: None
         for c in chunks:
             ids = old(c)
-            if ids is not None:
+            if ids is None and (m := plain(c)):
+                word, tail = m.groups()
+                if not tail:
+                    ids = made.get(c) or tokens(c)
+                elif (behind := tails(tail)) is not None:
+                    front = made.get(word) or known(word) or old(word)
+                    if front is None:
+                        front = made[word] = tokens(word)
+                    ids = front + behind
+            if ids is None:
+                split[c] = self._split(c)
+                for p in split[c]:
+                    new[p] = self.parts.get(p) or self.parts.old.get(p)
+            else:
                 made[c] = ids
-                continue
-            split[c] = self._split(c)
-            for p in split[c]:
-                if p not in new:
-                    new[p] = parts(p) if parts(p) is not None else old_parts(p)
         unknown = [p for p, ids in new.items() if ids is None]
-        if self.words_alone:  # a word in lower-case ASCII needs no normalizing and no splitting
-            tokenize = self.model.tokenize
-            for p in unknown:
-                if _ASCII_WORD.fullmatch(p):
-                    new[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
-            unknown = [p for p in unknown if new[p] is None]
         if unknown:
             new.update(zip(unknown, self._encode(unknown)))
-        for p, ids in new.items():
-            if p not in self.parts and len(p) <= LONGEST:
-                self.parts.keep(p, ids)
+        self.parts.keep_all({p: ids for p, ids in new.items() if len(p) <= LONGEST})
         for c, ps in split.items():
             made[c] = new[ps[0]] + new[ps[1]] if len(ps) > 1 else new[ps[0]]
-        for c, ids in made.items():
-            if len(c) <= LONGEST:
-                self.chunks.keep(c, ids)
+        short = made if max(map(len, made)) <= LONGEST else {c: ids for c, ids in made.items() if len(c) <= LONGEST}
+        self.chunks.keep_all(short)
         return made
 
-    def encode(self, text: str) -> bytes:
-        if self.lower and "<" not in text and unicodedata.is_normalized("NFC", text):
-            plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
-            # The tokenizer composes characters first, so capitals may only go where that changes nothing either way.
-            text = plain if unicodedata.is_normalized("NFC", plain) else text
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            made = {"": b""}
-            new = {c for c, ids in zip(chunks, found) if ids is None and c}
+    def _chunks(self, text: str) -> list[str]:
+        if self.lower and "<" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif unicodedata.is_normalized("NFC", text):
+                plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
+                # The tokenizer composes characters first, so capitals may only go where that changes nothing either way.
+                text = plain if unicodedata.is_normalized("NFC", plain) else text
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text; the chunks of many texts are looked up, and new ones encoded, together."""
+        at = 0
+        while at < len(texts):
+            rows, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                rows.append(self._chunks(texts[at]))
+                size += len(texts[at])
+                at += 1
+            known = self.chunks.get
+            ids = {c: known(c) for c in set().union(*rows)}
+            ids[""] = b""
+            new = [c for c, x in ids.items() if x is None]
             if new:
-                made |= self._made(list(new))
-            found = [made[c] if ids is None else ids for c, ids in zip(chunks, found)]
-        return b"".join(found)
+                ids.update(self._made(new))
+            look_up = ids.__getitem__
+            for row in rows:
+                yield b"".join(map(look_up, row))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -145,8 +176,8 @@ def token_pieces(text: Column, tokenizer: str, capacity: int, end_id: int, with_
     @F.arrow_udf(f"array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint{extra}>>")
     def cut(texts: pa.Array) -> pa.Array:
         rows, step, end = [], 4 * capacity, end_id.to_bytes(4, "little")
-        for x in texts:
-            raw = chunk_encoder(tokenizer).encode(x.as_py() or "") + end
+        for raw in chunk_encoder(tokenizer).encode_all([x.as_py() or "" for x in texts]):
+            raw += end
             pieces = []
             for n, at in enumerate(range(0, len(raw), step)):
                 part = raw[at : at + step]
