@@ -15,17 +15,15 @@ from hostsift.llm.language import UNDETERMINED, fit_filters, held_out, language
 from hostsift.llm.lines import dedup_lines
 from hostsift.llm.packing import pack_documents
 from hostsift.llm.quality import QualityRules, quality
-from hostsift.llm.simhash import one_of_similar
+from hostsift.llm.simhash import one_of_each_group
 from hostsift.session import staged
 
 #: Least share of a text's n-grams that its language must have.
 MIN_KNOWN = 0.3
 #: A document of which less than this share of characters is left after line dedup is a copy of earlier ones.
 MIN_LEFT = 0.2
-#: Words of a shingle, and the least similarity of near copies: of the sets of their shingles.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Bits within which fingerprints meet in the ball, besides the min-hash prints. Texts that far apart are nearly equal.
-RADIUS = 2
+#: Words of a shingle and bits that fingerprints of near copies differ in at most.
+SHINGLE, RADIUS = 3, 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -53,16 +51,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without near copies of earlier lines, and ``n_chars`` to match; documents of which too little is left go."""
     before = fresh(docs, "chars_before")
-    cleaned = dedup_lines(docs.withColumn(before, F.length("text")))
+    # Columns that are named as the operator's counts are kept under other names meanwhile.
+    own = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    cleaned = dedup_lines(docs.withColumnsRenamed(own).withColumn(before, F.length("text")))
     left = F.length("text")
     cleaned = cleaned.where((F.col("n_dropped") == 0) | (left >= MIN_LEFT * F.col(before)))
-    made = {c: left.cast(t) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes}
+    made = {c: left.cast(t) if c == "n_chars" else F.col(f"`{own.get(c, c)}`") for c, t in docs.dtypes}
     return cleaned.select(*[x.alias(c) for c, x in made.items()])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that can be reached over pairs of near copies, the one of the smallest id."""
-    return one_of_similar(docs, words=SHINGLE, similarity=SIMILARITY, radius=RADIUS)
+    """Of documents that can be reached over pairs of near fingerprints, the one of the smallest id."""
+    return one_of_each_group(docs, words=SHINGLE, radius=RADIUS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

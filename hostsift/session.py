@@ -22,6 +22,13 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme is on Spark's default file system, not on whoever opens it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return found.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
