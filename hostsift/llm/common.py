@@ -17,6 +17,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def result_key(key: str, results: list[str]) -> str:
+    """``key``, unless the result has a column of that name already."""
+    if key.lower() in {r.lower() for r in results}:
+        raise ValueError(f"{key} is the name of a result column; rename the key first")
+    return key
+
+
 def with_fields(df: DataFrame, made: Column, fields: list[str]) -> DataFrame:
     """``df`` plus the fields of a struct expression, which is computed once; columns of these names are replaced."""
     made_name = fresh(df, "made")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hostsift.llm.common import Memory, byte_of_sign
+from hostsift.llm.common import Memory, byte_of_sign, result_key
 from hostsift.session import staged
 
 #: Chunks and parts of chunks in each half of a worker's memory, and the longest of them.
@@ -273,8 +273,9 @@ def pack_documents(
     """
     if not 0 < capacity < 1 << 15:
         raise ValueError("the capacity is from 1 to 32767")
+    result_key(key, [*(f.name for f in _PIECE), "sequence_id", "offset", "ids"])
     made = token_pieces(F.col(f"`{text}`").cast("string"), tokenizer, capacity, end_id, with_ids)
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.explode(made).alias("p")).select(key, "p.*")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.explode(made).alias("p")).select("key", "p.*")
     pieces = staged(rows.withColumn("part", F.spark_partition_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit(histogram, capacity)  # at most `capacity` lengths were collected
@@ -284,7 +285,7 @@ def pack_documents(
         found = plan.look_up(lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False))
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["sequence_id", "offset"])
 
-    placed = ranked(pieces, [key, "piece", "ids_crc32"]).withColumn("at", place("length", "rank"))
+    placed = ranked(pieces, ["key", "piece", "ids_crc32"]).withColumn("at", place("length", "rank"))
     return placed.select(
-        key, "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *(["ids"] if with_ids else [])
+        F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *(["ids"] if with_ids else [])
     )
