@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hostsift.llm.common import byte_of_sign
+from hostsift.llm.common import byte_of_sign, result_key
 from hostsift.llm.frequent import at_most, joined_sums
 from hostsift.session import staged
 
@@ -223,6 +223,7 @@ def align_tokenizers(
     ``held_pairs`` pairs, the most frequent, are sent to the workers; the others are joined.
     """
     spark = docs.sparkSession
+    result_key(key, [*_FACTS[:5], "n_best", "count_sum"])
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     facts = aligned(texts, byte_bpe, pieces, pattern).withColumn("row_no", F.monotonically_increasing_id())
     facts = staged(facts, "aligned")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostsift.llm.common import with_fields
+from hostsift.operators.selection import hash_top_n
+from hostsift.session import staged
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -104,18 +106,20 @@ def fit_filters(
     """Filters of n-grams from at most ``per_language`` whole texts of each language.
 
     A language's filter holds those of its ``grams`` most frequent n-grams that are at least ``least_rate`` times as frequent
-    in it as in the language where they are most frequent; so an n-gram can be in several filters. The texts of the smallest hashes are taken, so the sample doesn't depend on how rows are dealt out. What is gathered on
-    the driver is ``grams`` hashes per language. Rows without a language or text are left out; without any there are no
+    in it as in the language where they are most frequent; so an n-gram can be in several filters. The texts of the smallest
+    hashes are taken, so the sample doesn't depend on how rows are dealt out; a histogram says how small, so no language is
+    ordered in one task. What is gathered on the driver is ``grams`` hashes per language. Rows without a language or text are left out; without any there are no
     languages, and every text is undetermined.
     """
     if rows & (rows - 1):
         raise ValueError("the number of rows is a power of two")
     known = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     known = known.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # Only hashes are ranked. Copies share a hash, and come in once.
-    chosen = known.groupBy("lang", "h").agg(F.count("*").alias("copies")).withColumn("rank", order).where(F.col("rank") <= per_language)
-    sample = known.join(chosen.select("lang", "h"), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    # Only hashes are chosen from; copies share one, and come in once. The texts themselves are read for what is chosen.
+    hashes_of = staged(known.groupBy("lang", "h").agg(F.count("*").alias("copies")), "text-hashes")
+    chosen = hash_top_n(hashes_of.select("lang", F.col("h").cast("string").alias("h")), "h", per_language, ["lang"])
+    chosen = chosen.select("lang", F.col("h").cast("bigint").alias("h"))
+    sample = known.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def count(batches):
         for batch in batches:
@@ -142,7 +146,7 @@ def fit_filters(
     for r in collected:
         if r["rate"] >= least_rate * largest[r["gram"]]:
             by_lang.setdefault(r["lang"], []).append(r["gram"])
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in hashes_of.groupBy("lang").agg(F.sum("copies").alias("n")).collect()}
     languages = tuple(sorted(by_lang, key=lambda x: (-sizes[x], x)))
     made = LanguageFilters(languages, np.zeros((rows, max(1, -(-len(languages) // 64))), np.uint64), n, hashes)
     for l, name in enumerate(languages):

@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     made = fresh(joined, "made")
     out = joined.withColumn(made, stays)
     return out.select(
-        *[F.col(f"{made}.text").alias(c) if c == text else F.col(f"`{c}`") for c in cols],
+        *[F.col(f"{made}.text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in cols],
         F.coalesce(F.col(f"{made}.n_lines"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.col(f"{made}.n_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

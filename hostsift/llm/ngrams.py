@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostsift.llm.common import utf8
+from hostsift.llm.common import result_key, utf8
 from hostsift.llm.frequent import at_most, joined_sums
 from hostsift.session import staged
 
@@ -360,6 +360,7 @@ def score_texts(
     Of the exact counts at most ``held_words`` words of at most ``HELD_CHARS`` characters are sent; other words are joined.
     """
     spark = docs.sparkSession
+    result_key(key, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     order, means, size = model.order, model.means(), model.tokens + model.types + 1
     prior, train = model.prior, model.tokens
     counts = model.table.where("word IS NOT NULL").select("word", F.col("n").alias("c"))

@@ -213,6 +213,8 @@ def encoded(text: Column, model: str) -> Column:
 def decoded(ids: Column, model: str) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
+        if lists.values.null_count:
+            return pa.array([piece_table(model).decode([i for i in x or [] if i is not None]) for x in lists.to_pylist()], pa.string())
         ends = lists.offsets.to_numpy()
         values = lists.values.to_numpy(zero_copy_only=False)  # a null list has no values
         return pa.array([piece_table(model).decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
@@ -225,14 +227,16 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "i
 
     ``model`` is the path of a BPE model file that every executor has; models that normalize text are refused. A null text
     is read as empty and has no ids. Characters that no piece has become bytes, or the unknown id where the model has no
-    byte pieces. Rows are handled one by one: repeated rows get equal ids, an empty table stays empty.
+    byte pieces. Rows are handled one by one: repeated rows get equal ids, an empty table stays empty; other columns stay, and
+    a column named ``ids`` is replaced.
     """
     return docs.withColumn(ids, encoded(F.col(f"`{text}`").cast("string"), model))
 
 
 def decode_pieces(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` plus ``text``: what the ids stand for. Null or no ids give an empty text; bytes that aren't UTF-8 a
-    replacement character."""
+    """``docs`` plus ``text``: what the ids stand for. Null or no ids give an empty text, a null among ids counts for
+    nothing, bytes that aren't UTF-8 give a replacement character. Rows are handled one by one: repeated rows get equal texts, an
+    empty table stays empty; other columns stay, and a column named ``text`` is replaced."""
     return docs.withColumn(text, decoded(F.col(f"`{ids}`"), model))
 
 

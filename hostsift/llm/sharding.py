@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostsift.llm.common import result_key
 from hostsift.session import staged
 
 ROUNDS = 6
@@ -94,14 +95,16 @@ def shard_rows(
     its checksum as that of an empty one. No rows give no rows. The law is ``rows``, so ``grown_shard`` is null: one more
     shard moves rows between all shards.
     """
+    results = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_no"]
+    result_key(key, results)
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(f"`{key}`").alias(key), (F.octet_length(raw) + 1).cast("bigint").alias("size"),
+        F.col(f"`{key}`").alias("key"), (F.octet_length(raw) + 1).cast("bigint").alias("size"),
         F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("tie"), F.monotonically_increasing_id().alias("copy"),
     )
     # "copy" deals many equal rows over several ranges; which of them gets which number makes no difference.
-    placed = numbered(rows, [key, "size", "text_crc32", "tie", "copy"]).withColumn("at", feistel(F.col("row_no"), F.col("n_rows"), seed))
+    placed = numbered(rows, ["key", "size", "text_crc32", "tie", "copy"]).withColumn("at", feistel(F.col("row_no"), F.col("n_rows"), seed))
     return placed.select(
-        key, "size", "text_crc32", F.lit("rows").alias("law"), (F.col("at") % shards).cast("int").alias("shard"),
+        F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), (F.col("at") % shards).cast("int").alias("shard"),
         F.floor(F.col("at") / shards).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_no",
     )

@@ -3,9 +3,6 @@
 Two fingerprints within ``2 r`` bits have a value within ``r`` bits of both. So each distinct fingerprint emits every value
 within half the radius, equal values meet in a shuffle, and whatever meets is verified and linked. Around one value there are
 only as many fingerprints as the half ball has values, so no group grows with the input, however many copies there are.
-
-A similarity of 0.8 lies near 10 of 64 bits, which no ball of a size that can be emitted reaches. Where links are asked for by
-similarity, texts meet at their min-hash prints too, and every link is verified on the shingle sets (``one_of_similar``).
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostsift.llm.common import fresh, utf8
+from hostsift.llm.common import fresh, result_key, utf8
 from hostsift.llm.components import components
 from hostsift.session import staged
 
@@ -28,11 +25,6 @@ BITS, SEED = 64, 42
 BLOCK = 1 << 16
 
 
-#: Min-hash prints of a text, and min-hashes in each: a pair of similarity 0.8 has none in common in 7 of 100,000 cases.
-PRINTS, MINIMA = 24, 5
-FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(PRINTS * MINIMA)], np.uint64)
-
-
 def _shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
     """Hashes of all shingles, block by block; none without a word."""
     parts = utf8(text).lower().split()  # of bytes: A-Z only, ASCII white space only
@@ -60,28 +52,6 @@ def fingerprint(text: str | None, words: int) -> int:
     return _majority(_shingle_hashes(text, words))
 
 
-def shingle_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
-    """Distinct hashes, in order."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
-
-
-def min_prints(shingles: np.ndarray) -> list[int]:
-    """Two sets of similarity s have each of their prints in common with probability s to the power ``MINIMA``."""
-    if not len(shingles):
-        return []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[start : start + 1024, None] * FACTORS).min(0), out=least)
-    rows = least.astype("<u8").reshape(PRINTS, MINIMA)
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(rows)]
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two shingle sets; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def simhash(text: Column, words: int = 3) -> Column:
     """The fingerprint as a signed long."""
 
@@ -125,6 +95,12 @@ def near_links(prints: DataFrame, column: str, radius: int) -> DataFrame:
     )
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (``print``) and the component of each, ``root``."""
+    groups = components(near_links(prints, "print", radius)).withColumnsRenamed({"node": "print", "component": "root"})
+    return prints.join(groups, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``.
 
@@ -133,123 +109,27 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     fingerprint zero and is linked as any other. Null keys take part, but are never a component's id unless all its keys
     are null. Repeated rows give repeated rows, and an empty table none. Other columns are not read.
     """
-    rows = docs.select(F.col(f"`{key}`").alias(key), simhash(F.col(f"`{text}`").cast("string"), words).alias("print"))
+    result_key(key, ["fingerprint", "component_id"])
+    rows = docs.select(F.col(f"`{key}`").alias("key"), simhash(F.col(f"`{text}`").cast("string"), words).alias("print"))
     rows = staged(rows, "prints")  # texts are read once
-    prints = staged(rows.groupBy("print").agg(F.min(key).alias("least")), "distinct-prints")
-    groups = components(near_links(prints, "print", radius)).withColumnsRenamed({"node": "print", "component": "root"})
-    rooted = prints.join(groups, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = _rooted(staged(rows.groupBy("print").agg(F.min("key").alias("least")), "distinct-prints"), radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(ids, "root").select("print", "component_id")
     return rows.join(by_print, "print").select(
-        key, _digits(F.col("print")).alias("fingerprint"), "component_id"
+        F.col("key").alias(key), _digits(F.col("print")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The document of the smallest key of every group; of rows with that key and group, one.
-
-    Rows with a null key stay only where a group has no other, and then one of them.
-    """
-    groups = simhash_groups(docs, key, text, words, radius).where(F.col(key).eqNullSafe(F.col("component_id")))
-    mark = fresh(docs, "row_of")
-    # A key is unique as a rule; where rows repeat one, the fingerprint tells which of them is meant.
-    kept = groups.select(F.concat_ws(":", "fingerprint", F.col(key).cast("string")).alias(mark)).distinct()
-    rows = docs.withColumn(
-        mark, F.concat_ws(":", _digits(simhash(F.col(f"`{text}`").cast("string"), words)), F.col(f"`{key}`").cast("string"))
-    )
-    return rows.dropDuplicates([mark]).join(kept, mark, "left_semi").drop(mark)
+    """One document of every group of :func:`simhash_groups`, that of the smallest key; of rows with that key, one.
 
-
-def _looks(text: Column, words: int) -> Column:
-    """``node``, a hash of the set of shingles; ``n``, its size; the fingerprint ``print`` and the min-hash ``prints``."""
-
-    @F.arrow_udf("struct<node: bigint, n: bigint, print: bigint, prints: array<bigint>>")
-    def looks(texts: pa.Array) -> pa.Array:
-        columns = [[], [], [], []]
-        for x in texts:
-            blocks = list(_shingle_hashes(x.as_py(), words))
-            shingles = shingle_set(blocks)
-            node = _signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
-            for column, value in zip(columns, (node, len(shingles), _majority(blocks), min_prints(shingles)), strict=True):
-                column.append(value)
-        kinds = [*[pa.int64()] * 3, pa.list_(pa.int64())]
-        arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
-        return pa.StructArray.from_arrays(arrays, ["node", "n", "print", "prints"])
-
-    return looks(text)
-
-
-def _as_similar(a: Column, b: Column, words: int, least: float) -> Column:
-    """Whether the shingle sets of two texts have at least that similarity."""
-
-    @F.arrow_udf("boolean")
-    def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        pairs = ([shingle_set(_shingle_hashes(t.as_py(), words)) for t in pair] for pair in zip(xs, ys, strict=True))
-        return pa.array([jaccard(*pair) >= least for pair in pairs], pa.bool_())
-
-    return similar(a, b)
-
-
-def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` and the component of each, ``root``."""
-    groups = components(links).withColumnsRenamed({"component": "root"})
-    return nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _pairs(u: str, v: str) -> list[Column]:
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-
-def one_of_similar(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2
-) -> DataFrame:
-    """One document, of the smallest key, of all that can be reached over pairs of at least that similarity.
-
-    The similarity is the Jaccard of the sets of shingles of ``words`` words, and of all pairs that are linked it is computed.
-    Texts meet at the half ball (``radius // 2``) of their fingerprint and at min-hash prints. A text is first compared with one of those it
-    meets, the one that meets most others. Whatever is in different components then and has met is compared pair by pair. So
-    a large group of copies takes few comparisons, and no pair that meets is left out unless others link it.
-
-    Texts without a word are similar to each other. Rows with a null key stay only where a group has no other.
+    A row with a null key stays only where its group has no other. All columns are kept; an empty table stays empty.
     """
-    look, row = (fresh(docs, c) for c in ("look", "row_no"))
-    marked = docs.withColumn(look, _looks(F.col(f"`{text}`").cast("string"), words))
-    marked = staged(marked.withColumn(row, F.monotonically_increasing_id()), "marked")  # so that row numbers stay
+    look, row = fresh(docs, "print"), fresh(docs, "row_no")
+    marked = docs.withColumn(look, simhash(F.col(f"`{text}`").cast("string"), words))
+    marked = staged(marked.withColumn(row, F.monotonically_increasing_id()), "marked")  # texts are read once, rows keep their number
     least = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.col(row).alias("row"))
-    rows = marked.select(f"{look}.*", least.alias("least"))
-    # Equal sets are one node.
-    nodes = rows.groupBy("node").agg(F.min(F.struct("least", "n", "print", "prints")).alias("f"))
-    nodes = staged(nodes.select("node", "f.*"), "nodes")
-    texts = marked.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    sizes = nodes.select("node", "n", "least.row")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        for end in ("u", "v"):
-            pairs = pairs.join(sizes.select(*[F.col(c).alias(f"{end}_{c}" if c != "node" else end) for c in sizes.columns]), end)
-        n = F.least("u_n", "v_n"), F.greatest("u_n", "v_n")
-        pairs = pairs.where(n[0] >= (similarity - 1e-9) * n[1]).select("u", "v", "u_row", "v_row")
-        for end in ("u", "v"):
-            pairs = pairs.join(texts.select(F.col("row").alias(f"{end}_row"), F.col("text").alias(f"{end}_text")), f"{end}_row")
-        return pairs.where(_as_similar(F.col("u_text"), F.col("v_text"), words, similarity)).select("u", "v")
-
-    at_value = Window.partitionBy("value")
-    masks = F.array(*map(F.lit, ball(radius // 2)))
-    in_ball = F.transform(masks, lambda mask: F.col("print").bitwiseXOR(mask))
-    met = nodes.where("n > 0").select("node", F.explode(F.concat(in_ball, "prints")).alias("value"))
-    met = staged(met.withColumn("others", F.count("*").over(at_value) - 1).where("others > 0"), "met")
-    degrees = met.groupBy("node").agg(F.sum("others").alias("degree"))
-    centre = F.max(F.struct("degree", "node")).over(at_value)["node"].alias("centre")
-    first = met.join(degrees, "node").select("node", centre).where("node <> centre")
-    first = staged(first.select(*_pairs("node", "centre")).distinct(), "first-pairs")
-    links = staged(verified(first), "first-links")
-
-    placed = met.join(_rooted(nodes.select("node"), links), "node").select("value", "node", "root")
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.mode("root").alias("main"), F.count_distinct("root").alias("roots")).where("roots > 1")
-    apart = placed.join(mixed, "value").where("root <> main").select("value", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    second = placed.join(apart, "value").where("root <> x_root").select(*_pairs("node", "x")).distinct()
-    links = staged(links.union(verified(second.join(first, ["u", "v"], "left_anti"))), "links")
-
-    groups = _rooted(nodes.select("node", "least"), links).groupBy("root").agg(F.min("least").alias("least"))
-    kept = groups.select(F.col("least.row").alias(row))
-    return marked.join(kept, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    prints = marked.select(F.col(look).alias("print"), least.alias("least")).groupBy("print").agg(F.min("least").alias("least"))
+    kept = _rooted(staged(prints, "distinct-prints"), radius).groupBy("root").agg(F.min("least").alias("least"))
+    rows = kept.select(F.col("least.row").alias(row))
+    return marked.join(rows, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])

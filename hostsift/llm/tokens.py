@@ -9,21 +9,25 @@ and a prefix scan over the blocks' edges, a few numbers per block, puts these to
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostsift.session import scratch_path
+from hostsift.llm.common import result_key
+from hostsift.session import qualified, scratch_path
 
 #: Bytes of a block, a multiple of either width.
 BLOCK = 4 << 20
+_LONG_SPACE = re.compile(r"\s{500}")
 #: Bytes after which a writing task begins a new file.
 FILE = 64 << 20
 
@@ -36,6 +40,14 @@ def byte_bpe(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_text(path: str, pattern: str, text: str) -> list[int]:
+    """Ids of a whole text. The encoder's own splitting can't take very long white space, so such a text is split here."""
+    encoder = byte_bpe(path, pattern)
+    if not _LONG_SPACE.search(text):
+        return encoder.encode_ordinary(text)
+    return [i for piece in regex.findall(pattern, text) for i in encoder._encode_single_piece(piece)]
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -57,13 +69,12 @@ def write_token_files(
     4. ``ranks`` is the path of a file of byte-level BPE ranks that every executor has, ``pattern`` splits the text before.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
-    target = _uri(folder)
+    target = _uri(qualified(docs.sparkSession, folder))  # a path without a scheme is on Spark's file system
     store, root = _filesystem(target)
     store.create_dir(root, recursive=True)
 
     def write(batches):
         store, root = _filesystem(target)
-        encode = byte_bpe(ranks, pattern).encode_ordinary
         part, n_files, sink, name, size, ordinal = TaskContext.get().partitionId(), 0, None, None, 0, 0
 
         def close() -> None:
@@ -78,7 +89,7 @@ def write_token_files(
                     name, size, ordinal = f"part-{part:06d}-{n_files:06d}.bin", 0, 0
                     sink = store.open_output_stream(f"{root}/.{name}-{attempt}")
                     n_files += 1
-                ids = np.array([*encode(raw.as_py() or ""), end_id], np.int64)
+                ids = np.array([*encode_text(ranks, pattern, raw.as_py() or ""), end_id], np.int64)
                 if int(ids.max()) >> (8 * width):
                     raise ValueError(f"an id needs more than {width} bytes")
                 data = ids.astype(kind).tobytes()
@@ -177,8 +188,10 @@ def document_tokens(
 ) -> DataFrame:
     """``key`` and ``n_tokens`` of every document, counted in token files that are written for it."""
     folder = scratch_path(docs.sparkSession, "tokens")
-    index = write_token_files(docs, ranks, pattern, end_id, folder, key, text, width)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    index = write_token_files(texts, ranks, pattern, end_id, folder, "key", "text", width)
     counts = count_tokens(docs.sparkSession, folder, end_id, width)
+    result_key(key, ["n_tokens"])
     name = F.substring_index("file", "/", -1)
     # Both sides have a row per document; what their files weigh says little about that, so neither is broadcast.
-    return index.hint("merge").join(counts.withColumn("file", name), ["file", "ordinal"]).select(key, "n_tokens")
+    return index.hint("merge").join(counts.withColumn("file", name), ["file", "ordinal"]).select(F.col("key").alias(key), "n_tokens")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hostsift.llm import queries
 from hostsift.llm.common import table
-from hostsift.llm.language import fit_filters, held_out, identify_languages
+from hostsift.llm.language import _hashes, fit_filters, held_out, identify_languages
 from hostsift.llm.licenses import NOTICES, PHRASES, scan_licenses, scanner
 from hostsift.llm.pieces import PieceTable, decode_pieces, encode_pieces
 from hostsift.llm.quality import QualityRules, measure, quality_rules
@@ -105,6 +105,26 @@ def test_language_accuracy_and_undetermined(spark, sf_dir, edge, nothing):
     assert identify_languages(nothing, filters).count() == 0
 
 
+def test_predictions_are_those_of_exact_sets(spark, sf_dir):
+    """Sets of n-grams in place of the filters: the same language for every document, and hits beyond them as rare as stated."""
+    docs = table(spark, sf_dir, "documents")
+    filters = fit_filters(docs.where(~held_out(F.col("doc_id"))))
+    roomy = fit_filters(docs.where(~held_out(F.col("doc_id"))), rows=1 << 22, hashes=4)  # next to no false positives
+    beyond = total = 0
+    for r in docs.collect():
+        exact = roomy.predict(r.text)
+        got = filters.predict(r.text)
+        assert got[0] == exact[0] and got[2] == pytest.approx(exact[2], abs=0.03)
+        for h in _hashes(r.text or "", filters.n):
+            many, few = filters.masks(h)[:, 0], roomy.masks(h)[:, 0]
+            assert (few & ~many == 0).all()
+            absent = len(h) * len(filters.languages) - int(sum(bin(int(x)).count("1") for x in few))
+            beyond += int(sum(bin(int(x)).count("1") for x in many & ~few))
+            total += absent
+    stated = float(filters.false_positives.mean())
+    assert beyond / total < 2 * stated + 0.001
+
+
 def test_filters_have_every_gram_put_in(spark, sf_dir):
     filters = fit_filters(table(spark, sf_dir, "documents"), grams=300)
     assert filters.false_positives.max() < 0.01
@@ -145,3 +165,16 @@ def test_pieces_on_random_strings():
         assert ids == model.encode(text) and own.decode(ids) == model.decode(ids), repr(text)
     long = "na" * 60_000
     assert own.encode(long).tolist() == model.encode(long)
+
+
+def test_empty_tables(nothing):
+    assert scan_licenses(nothing).count() == 0 and quality_rules(nothing).count() == 0
+    both = decode_pieces(encode_pieces(nothing, queries.PIECES), queries.PIECES)
+    assert both.count() == 0 and both.columns == [*nothing.columns, "ids", "decoded"]
+
+
+def test_nulls_among_ids(spark):
+    rows = spark.createDataFrame([(1, [450, None, 6635]), (2, None), (3, [None]), (3, [None])], "doc_id long, ids array<int>")
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    got = sorted((r.doc_id, r.decoded) for r in decode_pieces(rows, queries.PIECES).collect())
+    assert got == [(1, model.decode([450, 6635])), (2, ""), (3, ""), (3, "")]

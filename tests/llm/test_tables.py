@@ -11,21 +11,21 @@ import oracle
 import plain
 import public_tokenizers
 import pytest
-from cases import LONG, ROWS
+from cases import EXTRA, LONG, ROWS
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hostsift.llm import queries
+from hostsift.llm import queries, tokens
 from hostsift.llm.common import table
 from hostsift.llm.components import components
 from hostsift.llm.lines import dedup_lines
 from hostsift.llm.packing import best_fit, pack_documents
 from hostsift.llm.sharding import permuted, shard_rows
-from hostsift.llm.simhash import near_links, one_of_each_group, one_of_similar, simhash_groups
-from hostsift.llm.tokens import byte_bpe, count_tokens, document_tokens
+from hostsift.llm.simhash import near_links, one_of_each_group, simhash_groups
+from hostsift.llm.tokens import byte_bpe, count_tokens, document_tokens, encode_text
 from hostsift.llm.topk import integer_vectors, top_k
-from hostsift.session import scratch_path
+from hostsift.session import qualified, scratch_path
 
 
 def signed(x):
@@ -85,52 +85,18 @@ def test_one_document_of_each_group_stays(edge, nothing):
     assert one_of_each_group(nothing).count() == 0
 
 
-def shingles(text, n=5):
-    ws = plain.words(plain.lower(text or ""))
-    return {" ".join(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
-
-
-def similarity(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def near_copy_cases():
-    """Texts with some words replaced, copies of copies among them; a third of the pairs lie near 0.8."""
+def test_pipeline_keeps_one_of_each_group(spark):
     rng, docs = random.Random(11), []
-    words = [f"w{i}" for i in range(3000)]
-    for _ in range(60):
-        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
         docs.append(" ".join(base))
-        for _ in range(4):
-            copy = list(base)
-            for _ in range(rng.choice([1, len(base) // 60, len(base) // 45, len(base) // 35])):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            docs.append(" ".join(copy))
-            if rng.random() < 0.3:
-                base = copy
-    rng.shuffle(docs)
-    return list(enumerate([*docs, docs[0], docs[0].upper(), None, "", " ", "one two", "One TWO"]))
-
-
-def test_near_copies_by_jaccard_match_all_pairs(spark, edge, nothing):
-    cases = near_copy_cases()
-    sets = {k: shingles(t) for k, t in cases}
-    want = plain.groups(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
-    equal = plain.groups(sorted(sets), lambda a, b: sets[a] == sets[b])
-    assert len(set(want.values())) < len(set(equal.values())) - 50
-    kept = one_of_similar(spark.createDataFrame(cases, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
-    kept = one_of_similar(edge)
-    assert kept.columns == edge.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert set(ids) == {1, 4, 5, 8, 9, 10, 11, 12, None} and set(ids.values()) == {1}
-    assert one_of_similar(nothing).count() == 0
-
-
-def test_pipeline_links_near_copies_by_jaccard(spark):
-    cases = near_copy_cases()
-    sets = {k: shingles(t) for k, t in cases}
-    want = plain.groups(sorted(sets), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+        for _ in range(3):
+            base[rng.randrange(400)] = "other"
+            docs.append(" ".join(base))
+    cases = list(enumerate([*docs, docs[0], docs[0].upper(), None, "", " ", "one two", "One TWO"]))
+    prints = {k: plain.fingerprint(t, 3) for k, t in cases}
+    want = plain.groups(sorted(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
+    assert len(set(want.values())) < len(set(prints.values()))
     kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(cases, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
@@ -305,6 +271,59 @@ def test_token_counts_by_document(spark, sf_dir, docs, edge, nothing):
     assert document_tokens(nothing, queries.RANKS, public_tokenizers.PATTERN, 50256).count() == 0
 
 
+def test_token_counts_of_long_white_space(spark):
+    texts = [" " * 400_000 + "x", "a\n" + "\n \t" * 3000 + "b", "\u00a0" * 900, "  x" * 600]
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert [encode_text(ranks, public_tokenizers.PATTERN, t) for t in texts] == [slow.encode(t).ids for t in texts]
+    got = document_tokens(spark.createDataFrame(list(enumerate(texts)), "file long, text string"), ranks, public_tokenizers.PATTERN, 50256, key="file")
+    assert {r.file: r.n_tokens for r in got.collect()} == {i: len(slow.encode(t).ids) for i, t in enumerate(texts)}
+
+
+def test_a_path_without_a_scheme_is_on_sparks_file_system(spark, monkeypatch):
+    conf = spark._jsc.hadoopConfiguration()
+    default = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://elsewhere/")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./shared", "file:/tmp")
+    try:
+        assert qualified(spark, "/shared/x") == "viewfs://elsewhere/shared/x" and qualified(spark, "file:/shared/x") == "file:/shared/x"
+        made = []
+        monkeypatch.setattr(tokens, "_filesystem", lambda path: made.append(path) or (_ for _ in ()).throw(StopIteration))
+        with pytest.raises(StopIteration):
+            document = spark.createDataFrame([(1, "a")], "key long, text string")
+            tokens.write_token_files(document, queries.RANKS, public_tokenizers.PATTERN, 50256, "/shared/tokens", key="key")
+        assert made == ["viewfs://elsewhere/shared/tokens"]
+    finally:
+        conf.unset("fs.defaultFS") if default is None else conf.set("fs.defaultFS", default)
+
+
+KEYED = {
+    "simhash_groups": simhash_groups, "shard_rows": shard_rows, "pack_documents": lambda d, key: pack_documents(d, queries.WORDS, key=key),
+    "document_tokens": lambda d, key: document_tokens(d, queries.RANKS, public_tokenizers.PATTERN, 50256, key=key),
+}
+RESULTS = {"fingerprint", "component_id", "size", "text_crc32", "law", "shard", "slot", "row_no", "piece", "start", "length", "offset"}
+
+
+@pytest.mark.parametrize("operator", sorted(KEYED))
+def test_any_name_of_the_key(spark, operator):
+    for name in ("print", "size", "part", "piece", "file", "rank", "copy"):
+        rows = spark.createDataFrame([(7, "a b c", "x"), (8, None, "y")], f"`{name}` long, text string, least string")
+        try:
+            got = KEYED[operator](rows, key=name)
+        except ValueError as error:  # the result has a column of that name
+            assert name in RESULTS and name in str(error)
+            continue
+        assert got.columns.count(name) == 1 and dict(got.dtypes)[name] == "bigint"
+        if name in ("print", "part", "file"):
+            assert sorted(r[name] for r in got.collect()) == [7, 8]
+
+
+def test_line_dedup_finds_its_column_whatever_its_case(spark):
+    line = "a line of more than thirty characters"
+    got = dedup_lines(spark.createDataFrame([(1, line), (2, line)], "doc_id long, Text string"), text="text")
+    assert sorted((r.doc_id, r.Text, r.n_dropped) for r in got.collect()) == [(1, line, 0), (2, "", 1)]
+
+
 @pytest.mark.parametrize("share", [0.5, 0.02, 0.0])
 def test_scan_stitches_blocks(spark, share):
     rng, folder, want = random.Random(share), scratch_path(spark, "flat").removeprefix("file:"), []
@@ -359,6 +378,17 @@ def test_pipeline_matches_plain_python(spark, sf_dir):
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), list(want.items()))
 
 
+def test_pipeline_passes_columns_on(spark, sf_dir):
+    extra = {c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in (*EXTRA, "n_dropped", "N_Chars_before", "row_no", "print", "no_key")}
+    start = table(spark, sf_dir, "documents").withColumns(extra)
+    now = start
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+        assert now.dtypes == start.dtypes, name
+        rows = now.select("doc_id", *extra).collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in extra), name
+
+
 def test_pipeline_on_odd_rows(spark, edge, nothing):
     for start in (edge, nothing, edge.withColumn("lang", F.lit(None).cast("string"))):
         now = start
