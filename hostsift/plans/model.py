@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -21,7 +21,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,9 @@ from hostsift.functions.features import FEATURE_NAMES, feature_vector
 from hostsift.functions.urls import has_path, normalize_url, registrable_root, strip_http_scheme
 from hostsift.operators import metrics
 from hostsift.operators.joins import allowlist_match, novelty_flag
+from hostsift.plans.boost import boost, truncated
 from hostsift.rules import BLOCK_WEIGHTS, DEFAULT_RULES, RuleSet
-from hostsift.session import shared_dir
+from hostsift.session import exists, scratch_path
 
 SEED = 42
 
@@ -125,18 +126,44 @@ def fit_blocks(train: DataFrame, char_size: int = 3000, word_size: int = 1000) -
     return PipelineModel([*char, *word, *_number_stages(train), *stack_blocks(sizes)])
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, written first unless an earlier run has."""
+    spark = rows.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def train_boosted_trees(
-    train: DataFrame, rounds: int = 400, depth: int = 7, step: float = 0.05, char_size: int = 3000, word_size: int = 1000
+    train: DataFrame, rounds: int = 400, depth: int = 7, step: float = 0.05, char_size: int = 3000, word_size: int = 1000,
+    held_out: DataFrame | None = None, path: str | None = None, patience: int = 2,
 ) -> PipelineModel:
-    """Feature stages plus boosted trees; ``train`` comes from :func:`model_inputs`."""
-    shared_dir(train.sparkSession)  # tree building checkpoints there
-    blocks = fit_blocks(train, char_size, word_size)
-    trees = GBTClassifier(
-        featuresCol="stacked", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED,
-        cacheNodeIds=True, checkpointInterval=10,
-    )
-    stacked = blocks.transform(train).select("label", "stacked")
-    return PipelineModel([*blocks.stages, trees.fit(stacked)])
+    """Feature stages plus at most ``rounds`` boosted trees; ``train`` comes from :func:`model_inputs`.
+
+    With ``held_out`` rows the loop ends when their loss no longer falls, and keeps the trees up to its least. With ``path``, a
+    folder of this run's own, a run that was stopped is taken up at the last segment that it saved.
+    """
+    spark = train.sparkSession
+    path = path or scratch_path(spark, "boosting")
+    if not exists(spark, f"{path}/blocks/metadata/_SUCCESS"):
+        fit_blocks(train, char_size, word_size).write().overwrite().save(f"{path}/blocks")
+    blocks = PipelineModel.load(f"{path}/blocks")
+    tables = [
+        None if rows is None else _stored(blocks.transform(rows).select("label", "stacked"), f"{path}/{name}")
+        for name, rows in (("train", train), ("held-out", held_out))
+    ]
+    trees, _ = boost(*tables, f"{path}/boosting", rounds, depth, step, SEED, patience=patience)
+    return PipelineModel([*blocks.stages, trees])
+
+
+def with_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The uncalibrated model as it was after its first rounds."""
+    stages = [s for s in model.stages if not isinstance(s, IsotonicRegressionModel)]
+    return PipelineModel([*stages[:-1], truncated(stages[-1], rounds)])
+
+
+def n_rounds(model: PipelineModel) -> int:
+    return next(s.getNumTrees for s in model.stages if isinstance(s, GBTClassificationModel))
 
 
 RAW = "raw_prob"

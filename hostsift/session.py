@@ -29,6 +29,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return found.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 

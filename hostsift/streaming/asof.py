@@ -12,14 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostsift.functions.urls import normalize_url, parse_host
+from hostsift.streaming.state import OneTimer, packed, put, unpacked, use_state_store
 
-#: Written with all digits of a time, so that rows come back as they were.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 _SCAN, _LOOKUP, _TICK = 1, 0, 2
 _RELEASED = "payload string, age_days int, ssl_valid boolean"
 
@@ -39,30 +38,16 @@ class AsOf(StatefulProcessor):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.scans = handle.getListState("scans", "at long, payload string")
         self.lookups = handle.getListState("lookups", "at long, age_days int, ssl_valid boolean")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def _wake_at(self, us: int | None) -> None:
-        """One timer at a time: when the next scan can go, or the last lookup."""
-        ms = None if us is None else us // 1000 + 1
-        now = self.timer.get()[0] if self.timer.exists() else None
-        if ms == now:
-            return
-        if now is not None:
-            self.handle.deleteTimer(now)
-            self.timer.clear()
-        if ms is not None:
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
+        self.timer = OneTimer(handle)
 
     def _rearm(self) -> None:
         """Scans go before lookups; of these the first that gets too old."""
         waiting = min((s[0] for s in self.scans.get()), default=None) if self.scans.exists() else None
         if waiting is None and self.lookups.exists():
             waiting = min(x[0] for x in self.lookups.get()) + self.ttl
-        self._wake_at(waiting)
+        self.timer.set(waiting)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         scans, lookups = [], []
@@ -80,7 +65,7 @@ class AsOf(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
+        self.timer.expired()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         lookups = sorted(self.lookups.get()) if self.lookups.exists() else []
         scans = list(self.scans.get()) if self.scans.exists() else []
@@ -94,14 +79,10 @@ class AsOf(StatefulProcessor):
                 "age_days": np.array([f[1] for f in found], np.int32),
                 "ssl_valid": [bool(f[2]) for f in found],
             })
-        self._put(self.scans, [tuple(s) for s in scans if s[0] > passed])
-        self._put(self.lookups, [tuple(x) for x in lookups if x[0] > passed - self.ttl])
+        put(self.scans, [tuple(s) for s in scans if s[0] > passed])
+        put(self.lookups, [tuple(x) for x in lookups if x[0] > passed - self.ttl])
         self._rearm()
 
-    @staticmethod
-    def _put(state, rows: list) -> None:
-        state.put(rows) if rows else state.clear()
-
 
 def with_metadata_as_of(
     scans: DataFrame, lookups: DataFrame, ttl_seconds: int, lateness: str, url: str = "url", ts: str = "ts", salts: int = 8
@@ -118,10 +99,9 @@ def with_metadata_as_of(
     """
     use_state_store(scans.sparkSession)
     domain = parse_host(normalize_url(F.col(url)))
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in scans.columns]), _JSON)
     nothing = {"age_days": F.lit(-1), "ssl_valid": F.lit(False)}
     asked = scans.select(
-        domain.alias("domain"), F.col(ts).cast("timestamp").alias("at"), F.lit(_SCAN).alias("kind"), payload.alias("payload"),
+        domain.alias("domain"), F.col(ts).cast("timestamp").alias("at"), F.lit(_SCAN).alias("kind"), packed(scans).alias("payload"),
         *[x.alias(c) for c, x in nothing.items()],
     ).withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
     known = lookups.select(
@@ -135,14 +115,4 @@ def with_metadata_as_of(
         both.withColumn("at_us", F.unix_micros("at")).groupBy("domain", "salt")
         .transformWithStateInPandas(AsOf(ttl_seconds * 1_000_000), _RELEASED, "Append", "EventTime")
     )
-    row = F.from_json("payload", scans.schema, _JSON).alias("row")
-    return released.select(row, "age_days", "ssl_valid").select("row.*", "age_days", "ssl_valid")
-
-
-def use_state_store(spark: SparkSession) -> None:
-    """State of any size on the executors' disks, with its changes in the query's checkpoint; holds for queries started later."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return unpacked(released, scans.schema, "age_days", "ssl_valid")

@@ -6,9 +6,6 @@ retried after a failure replaces its output instead of adding to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,48 +47,11 @@ def stream_dedup(scans: DataFrame, ts: str = "ts", url: str = "url", ttl: str =
     """Drop repeats of a URL within the TTL, natively.
 
     State is one entry per URL until the watermark passes it, so repeats a
-    little later than the TTL may be dropped too.
+    little later than the TTL may be dropped too; ``dedup.stream_dedup_exact`` drops none of these.
     """
     return scans.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([url])
 
 
-def stream_dedup_exact(scans: DataFrame, ts: str = "ts", url: str = "url", ttl_seconds: int = 60) -> DataFrame:
-    """Exactly the first scan of a URL, then the first at least a TTL after it, and so on.
-
-    State is the time of the last kept scan of each URL.  A task holds only the
-    times of one URL in one micro-batch, which the source's admission limit bounds.
-    """
-    span = ttl_seconds * 1_000_000
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = np.sort(np.concatenate([b["at"].to_numpy(dtype="int64") for b in batches]))
-        kept, position = [], 0
-        if state.exists:
-            position = int(np.searchsorted(times, state.get[0] + span, side="left"))
-        while position < len(times):
-            kept.append(int(times[position]))
-            position = int(np.searchsorted(times, kept[-1] + span, side="left"))
-        if kept:
-            state.update((kept[-1],))
-        if state.exists:
-            expires = (state.get[0] + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"url": [key[0]] * len(kept), "at": kept})
-
-    timed = scans.select(F.col(url).alias("url"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("at"))
-    kept = (
-        timed.withWatermark("ts", f"{ttl_seconds} seconds")
-        .groupBy("url")
-        .applyInPandasWithState(keep, "url string, at long", "last long", "append", "EventTimeTimeout")
-    )
-    return kept.select("url", F.timestamp_micros("at").alias("ts"))
-
-
 def stream_daily_kpis(log: DataFrame, lateness: str) -> DataFrame:
     """Running totals per day of a stream of log rows.
 

@@ -8,6 +8,7 @@ from hostsift.functions.hashing import hash32
 from hostsift.session import scratch_path
 from hostsift.streaming import jobs as S
 from hostsift.streaming.asof import with_metadata_as_of
+from hostsift.streaming.dedup import stream_dedup_exact
 from registry.base import h, parsed, query, verdict_ctes
 from registry.corpus import RULES, derived, given, with_duck
 from registry.q_tables import META_DUCK, scans_and_meta
@@ -96,41 +97,51 @@ def to_path(stream, out, checkpoint):
     return writer.option("path", out).option("checkpointLocation", checkpoint).start()
 
 
-def to_table(spark, stream):
-    out = scratch_path(spark, "stream-out")
-    to_path(stream, out, scratch_path(spark, "stream-cp")).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def first_within_ttl(source: str) -> str:
+    """CTE chain: ``e`` (url, us) has the scans; kept are the first of a URL, then the first a TTL after it, and so on."""
+    return f"""e AS ({source}),
+        nxt AS (SELECT url, us, min(us) OVER (PARTITION BY url ORDER BY us
+            RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+        kept AS (SELECT url, min(us) AS us FROM e GROUP BY url
+            UNION ALL SELECT n.url, n.following FROM kept k JOIN (SELECT DISTINCT * FROM nxt) n ON n.url = k.url AND n.us = k.us
+            WHERE n.following IS NOT NULL)"""
+
+
+def deduplicated(spark, table):
+    """Exact form over ten micro-batches of rows in any order."""
+    source = scratch_path(spark, "dedup-in")
+    table.withColumn("part", F.rand(11)).repartition(10, "part").drop("part").write.parquet(source)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def end():
+        last = table.agg(F.max("ts") + F.expr("INTERVAL 90 DAYS")).toDF("ts").withColumn("url", F.lit(None).cast("string"))
+        last.select(*table.columns).coalesce(1).write.mode("append").parquet(source)
 
+    kept, out = stream_dedup_exact(stream, lateness="60 days"), scratch_path(spark, "dedup-out")
+    finished(spark, kept, lambda s, checkpoint: to_path(s, out, checkpoint), end)
+    return spark.read.schema(kept.schema).parquet(out).select("url", F.unix_micros("ts").alias("us"))
 
-@query("stream_dedup_ttl", with_duck(("fx_scan_log",), select="SELECT DISTINCT content AS url FROM fx_scan_log"))
+
+@query(
+    "stream_dedup_ttl",
+    with_duck(
+        ("fx_scan_log",), first_within_ttl("SELECT content AS url, epoch_us(ts) AS us FROM fx_scan_log"),
+        select="SELECT url, us FROM kept",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def stream_dedup_ttl(spark, sf):
-    """Native form: which repeats stay depends on the batches, but every URL is there."""
-    return to_table(spark, S.stream_dedup(as_stream(spark, nav(spark, sf)))).select("url").distinct()
+    return deduplicated(spark, nav(spark, sf).select("url", "ts"))
 
 
 @query(
     "stream_dedup_exact",
-    """WITH RECURSIVE e AS (SELECT 'https://' || event_type || '.example.com/' AS url, epoch_us(ts) AS us FROM events),
-        nxt AS (SELECT url, us, min(us) OVER (PARTITION BY url ORDER BY us
-            RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
-        kept AS (SELECT url, min(us) AS us FROM e GROUP BY url
-            UNION ALL SELECT n.url, n.following FROM kept k JOIN nxt n ON n.url = k.url AND n.us = k.us
-            WHERE n.following IS NOT NULL)
-        SELECT url, us FROM kept""",
+    "WITH RECURSIVE " + first_within_ttl("SELECT 'https://' || event_type || '.example.com/' AS url, epoch_us(ts) AS us FROM events")
+    + " SELECT url, us FROM kept",
 )
-def stream_dedup_exact(spark, sf):
-    """Exact form over page views of a few busy URLs, as a log that grows in time order."""
+def stream_dedup_busy(spark, sf):
+    """Page views of a few busy URLs."""
     url = F.concat(F.lit("https://"), F.col("event_type"), F.lit(".example.com/"))
-    table = given(spark, sf, "events").select(url.alias("url"), "ts")
-    source, out, checkpoint = (scratch_path(spark, f"dedup-{x}") for x in ("in", "out", "cp"))
-    day = F.dayofmonth("ts")
-    for half in range(2):
-        table.filter((day > half * 16) & (day <= half * 16 + 16)).write.mode("append").parquet(source)
-        kept = S.stream_dedup_exact(spark.readStream.schema(table.schema).parquet(source))
-        writer = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        writer.trigger(**ALL).start().awaitTermination()
-    stored = spark.read.schema("url string, ts timestamp").parquet(out)
-    return stored.select("url", F.unix_micros("ts").alias("us"))
+    return deduplicated(spark, given(spark, sf, "events").select(url.alias("url"), "ts"))
 
 
 @query(

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hostsift.plans import boost as B
 from hostsift.plans import model as L
 from hostsift.plans.corpus import labelled_corpus
 from hostsift.session import shared_dir
@@ -114,36 +115,13 @@ def run(spark, stream, tmp_path, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def fold(times, ttl=60):
-    kept = []
-    for t in sorted(times):
-        if not kept or t - kept[-1] >= ttl:
-            kept.append(t)
-    return kept
-
-
-def test_dedup_streams(spark, tmp_path):
+def test_native_dedup_keeps_every_url(spark, tmp_path):
     rng = random.Random(4)
-    base = 1_700_000_000
-    scans = [("hot", base + t) for t in sorted(rng.sample(range(4000), 900))]
-    scans += [(f"u{rng.randrange(40)}", base + rng.randrange(4000)) for _ in range(900)]
-    table = spark.createDataFrame(scans, "url string, s long").select("url", F.timestamp_seconds("s").alias("ts"))
-    source = str(tmp_path / "in")
-    out, cp = str(tmp_path / "exact"), str(tmp_path / "exact-cp")
-    for lo in (0, 2000):  # arrives in time order
-        table.filter((F.unix_seconds("ts") >= base + lo) & (F.unix_seconds("ts") < base + lo + 2000)).write.mode("append").parquet(source)
-        kept = S.stream_dedup_exact(spark.readStream.schema(table.schema).parquet(source))
-        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
-    by_url = {}
-    for u, s in scans:
-        by_url.setdefault(u, []).append(s)
-    got = {}
-    for r in spark.read.parquet(out).select("url", F.unix_seconds("ts").alias("s")).collect():
-        got.setdefault(r.url, []).append(r.s)
-    assert {u: sorted(v) for u, v in got.items()} == {u: fold(v) for u, v in by_url.items()}
-
-    native = run(spark, S.stream_dedup(spark.readStream.schema(table.schema).parquet(source)), tmp_path, "native")
-    assert {r.url for r in native.select("url").distinct().collect()} == set(by_url)
+    scans = [(f"u{rng.randrange(40)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(4000))) for _ in range(900)]
+    table = spark.createDataFrame(scans, "url string, ts timestamp")
+    table.write.parquet(str(tmp_path / "in"))
+    native = run(spark, S.stream_dedup(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))), tmp_path, "native")
+    assert {r.url for r in native.select("url").distinct().collect()} == {u for u, _ in scans}
 
 
 def test_daily_kpis_survive_a_restart(spark, tmp_path):
@@ -211,6 +189,79 @@ def test_model_round_trip_and_monotone_calibration(spark, sf_dir, tmp_path):
     assert len(stacked) == len(model.stages[0].vocabulary) + len(model.stages[4].vocabulary) + 22
 
 
+def separable(spark, n=300):
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(n):
+        x = [rng.random() for _ in range(4)]
+        rows.append((int(x[0] + 0.5 * x[1] + 0.3 * (x[2] > 0.5) + 0.2 * rng.random() > 1.0), Vectors.dense(x)))
+    return spark.createDataFrame(rows, ["label", "stacked"])
+
+
+def stored(spark, rows, path):
+    rows.coalesce(2).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_boosting_that_was_stopped_goes_on_with_the_same_trees(spark, tmp_path):
+    rows = stored(spark, separable(spark), str(tmp_path / "rows"))
+    whole, losses = B.boost(rows, None, str(tmp_path / "whole"), rounds=6, depth=3, step=0.3, segment=2)
+    assert [n for n, _ in losses] == [2, 4, 6] and whole.getNumTrees == 6
+    B.boost(rows, None, str(tmp_path / "stopped"), rounds=4, depth=3, step=0.3, segment=2)
+    (tmp_path / "stopped" / "trees-6").mkdir()  # a crash between the trees and the state
+    resumed, _ = B.boost(rows, None, str(tmp_path / "stopped"), rounds=6, depth=3, step=0.3, segment=2)
+    assert B.tree_rows(resumed) == B.tree_rows(whole)
+    again, _ = B.boost(rows, None, str(tmp_path / "whole"), rounds=6, depth=3, step=0.3, segment=2)
+    assert B.tree_rows(again) == B.tree_rows(whole)
+    assert B.tree_rows(B.truncated(whole, 4)) == [r for r in B.tree_rows(whole) if r[0] < 4]
+
+
+def walk(nodes, x):
+    at = 0
+    while nodes[at][2] is not None:
+        _, _, feature, threshold, categories, left, right, _ = nodes[at]
+        goes_left = x[feature] <= threshold if categories is None else x[feature] in categories
+        at = left if goes_left else right
+    return nodes[at][7]
+
+
+def test_boosted_scores_are_the_trees_walked(spark, tmp_path):
+    rows = stored(spark, separable(spark), str(tmp_path / "rows"))
+    model, _ = B.boost(rows, None, str(tmp_path / "b"), rounds=5, depth=4, step=0.3, segment=3)
+    trees = {}
+    for r in B.tree_rows(model):
+        trees.setdefault(r[0], {})[r[1]] = r
+    hits = 0
+    for r in model.transform(rows).collect():
+        odds = sum(0.3 * walk(nodes, r.stacked) for nodes in trees.values())
+        assert r.probability[1] == pytest.approx(1 / (1 + math.exp(-odds)))
+        hits += r.prediction == r.label
+    assert hits > 0.9 * rows.count()
+    # Newton steps: the first tree's leaves are means of (label - p) / (p (1 - p)) at p = 0.5, plus or minus 2.
+    leaves = [n[7] for n in trees[0].values() if n[2] is None]
+    assert all(-2 - 1e-9 <= v <= 2 + 1e-9 for v in leaves) and min(leaves) < 0 < max(leaves)
+
+
+def test_boosting_ends_when_the_held_out_loss_rises(spark, tmp_path):
+    rows = separable(spark, 120)
+    noise = rows.select((F.rand(3) < 0.5).cast("int").alias("label"), "stacked")
+    train, held = stored(spark, noise, str(tmp_path / "t")), stored(spark, noise.select(1 - F.col("label").alias("label"), "stacked").toDF("label", "stacked"), str(tmp_path / "h"))
+    model, losses = B.boost(train, held, str(tmp_path / "b"), rounds=400, depth=4, step=0.5, segment=2)
+    assert [n for n, _ in losses] == [2, 4, 6] and model.getNumTrees == 2  # the labels are the other way round
+
+
+def test_the_gate_falls_each_way(spark, tmp_path):
+    from hostsift.operators import metrics
+
+    good = [(i, 1 if i % 4 == 0 else 0, 0.9 if i % 4 == 0 else 0.1) for i in range(400)]
+    poor = [(i, y, 0.5 + 0.4 * random.Random(i).random() * (1 if y else -0.2)) for i, y, _ in good]
+    tables = [spark.createDataFrame(x, "url_id long, label int, prob double") for x in (good, poor)]
+    ships = [metrics.model_gate(*pair).first().asDict() for pair in (tables, tables[::-1])]
+    assert ships[0] != ships[1] and sorted(s["ships"] for s in ships) == [False, True]
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostsift.streaming.asof import newest_before, with_metadata_as_of
+from hostsift.streaming.dedup import kept_places, stream_dedup_exact
 
 BASE = dt.datetime(2024, 1, 1)
 LOOKUP = "domain string, checked_at timestamp, age_days int, ssl_valid boolean"
@@ -92,3 +93,54 @@ def test_rows_later_than_the_lateness_are_dropped_and_counted(spark, tmp_path):
     go()
     assert dropped == 1
     assert sorted((r.id, r.age_days) for r in spark.read.parquet(out).collect()) == [(1, -1), (3, 1)]
+
+
+def fold(rows, ttl=60):
+    """Kept (time, row) of one URL."""
+    kept = []
+    for t, row in sorted(rows):
+        if not kept or t - kept[-1][0] >= dt.timedelta(seconds=ttl):
+            kept.append((t, row))
+    return kept
+
+
+def test_kept_places():
+    times = np.array([0, 10, 59, 60, 61, 119, 120, 500])
+    assert kept_places(times, None, 60) == [0, 3, 6, 7] and kept_places(times, 55, 60) == [5, 7] and kept_places(times[:0], 3, 60) == []
+
+
+def test_exact_dedup_out_of_order(spark, tmp_path):
+    rng = random.Random(22)
+    scans = [(i, "hot" if i % 2 else f"u{rng.randrange(30)}", at(rng.randrange(5000) + rng.choice([0, 0.5])), rng.randrange(10)) for i in range(1500)]
+    scans += [(3000, "tie", at(7), 1), (3001, "tie", at(7), 8), (3002, "tie", at(67), 0), (3003, "tie", at(66.999999), 3), (3004, None, at(9), 2), (3005, "u1", None, 2)]
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "id long, url string, ts timestamp"
+    batches(spark.createDataFrame(scans, f"{schema}, part int"), folder, 10)
+
+    def go():
+        return drain(stream_dedup_exact(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(folder), lateness="2 hours"), out, checkpoint)
+
+    go()
+    spark.createDataFrame([(0, None, at(40_000))], schema).coalesce(1).write.mode("append").parquet(folder)
+    last = go()
+    assert last.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    by_url = {}
+    for i, u, t, _ in scans:
+        if u is not None and t is not None:
+            by_url.setdefault(u, []).append((t, i))
+    got = spark.read.schema(schema).parquet(out).collect()
+    assert sorted((r.url, r.ts) for r in got) == sorted((u, t) for u, rows in by_url.items() for t, _ in fold(rows))
+    assert {(r.id, r.url, r.ts) for r in got} <= {x[:3] for x in scans}
+    assert [r.id for r in got if r.url == "tie" and r.ts == at(7)] == [3000]
+
+
+def test_exact_dedup_releases_as_the_watermark_moves(spark, tmp_path):
+    """In order and with little lateness most rows are out before the end, and state is small."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "url string, ts timestamp"
+    rows = [("a", at(10 * i), i // 40) for i in range(200)]
+    batches(spark.createDataFrame(rows, f"{schema}, part int"), folder, 5)
+    query = drain(stream_dedup_exact(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(folder)), out, checkpoint)
+    got = sorted(r.ts for r in spark.read.schema(schema).parquet(out).collect())
+    assert got == [at(60 * i) for i in range(len(got))] and 30 <= len(got) <= 33
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 30
