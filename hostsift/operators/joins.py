@@ -8,7 +8,7 @@ streamed side.  The list side is always distinct on the key first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostsift.functions import brands as B
@@ -22,15 +22,15 @@ def existence_flag(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFr
     return df.join(known, on, "left").withColumn(flag, F.col("_hit").isNotNull()).drop("_hit")
 
 
+def blocklist_key(url: Column) -> Column:
+    """What a URL is looked up by: normalised, without trailing slashes; NULL for entries without a dot."""
+    entry = normalize_url(url)
+    return F.when(entry.contains("."), F.regexp_replace(entry, "/+$", ""))
+
+
 def blocklist_keys(blocklist: DataFrame, url: str = "url") -> DataFrame:
     """Normalised entries without trailing slashes; entries without a dot are ignored."""
-    entry = normalize_url(F.col(url))
-    return (
-        blocklist.select(entry.alias("_entry"))
-        .filter(F.col("_entry").contains("."))
-        .select(F.regexp_replace("_entry", "/+$", "").alias("_key"))
-        .distinct()
-    )
+    return blocklist.select(blocklist_key(F.col(url)).alias("_key")).dropna().distinct()
 
 
 def blocklist_match(df: DataFrame, blocklist: DataFrame, norm: str = "norm") -> DataFrame:

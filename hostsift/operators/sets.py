@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostsift.rules import DEFAULT_RULES, RuleSet
+from hostsift.sources.versions import KeyTable
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -73,6 +74,22 @@ def dedup_keep_first(df: DataFrame, order: list[str], url: str = "url") -> DataF
     return df.groupBy(url).agg(first).select(url, "_first.*").select(*df.columns)
 
 
+def first_rows_table(spark: SparkSession, path: str, rows: DataFrame, order: list[str], url: str = "url", buckets: int = 64) -> KeyTable:
+    """A table that keeps the first row of every URL while it grows; ``rows`` shows the columns."""
+    others = [c for c in rows.columns if c != url and c not in order]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (url, *order, *others))
+    return KeyTable(spark, path, schema, url, buckets=buckets)
+
+
+def dedup_increment(table: KeyTable, rows: DataFrame, writer: str, batch: int) -> DataFrame:
+    """Add the first row of every URL that the table doesn't have yet; returns all rows kept so far.
+
+    Increments come in source order, so that what is there is earlier than what comes. The stored rows aren't moved: only new
+    rows go to the buckets that they fall in. An increment that is added again changes nothing.
+    """
+    return table.read(version=table.add(rows, writer, batch, large=True))
+
+
 def dedup_report(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows before, blank rows, distinct URLs and rows removed."""
     per_url = df.groupBy(url).agg(F.count(F.lit(1)).alias("_rows"))

@@ -6,17 +6,17 @@ retried after a failure replaces its output instead of adding to it.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hostsift.operators.joins import blocklist_key
 from hostsift.plans.verdict import verdicts
 from hostsift.rules import DEFAULT_RULES, RuleSet
-from hostsift.session import path_is_missing
 from hostsift.sources.feeds import feed_entry
 from hostsift.sources.sinks import scan_log_rows
+from hostsift.sources.versions import KeyTable
 from hostsift.streaming.asof import with_metadata_as_of
 
 DEDUP_TTL = "60 seconds"
@@ -91,28 +91,43 @@ def latest_daily_kpis(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("day", "v.total", "v.phishing")
 
 
-def stream_feed_refresh(lines: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Add the new entries of arriving feed files to the blocklist table at ``path``.
+def blocklist(spark: SparkSession, path: str, buckets: int = 64) -> KeyTable:
+    """The versioned blocklist at ``path``: entries as they came, dealt by what URLs are looked up by."""
+    return KeyTable(spark, path, "key string, url string", "key", ["key", "url"], buckets)
 
-    The table grows by one folder per micro-batch holding only entries no earlier
-    folder has; nothing is rewritten and nothing is dropped.
-    """
+
+def stream_feed_refresh(lines: DataFrame, path: str, checkpoint: str, writer: str = "feed", **trigger) -> StreamingQuery:
+    """Add the new entries of arriving feed files to the versioned blocklist at ``path``; nothing is dropped."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(feed_entry(F.col("value")).alias("url")).dropna().distinct()
-        try:
-            known = blocklist_table(spark, path).filter(F.col("batch_id") < batch_id)
-            fresh = fresh.join(known.select("url"), "url", "left_anti")
-        except AnalysisException as error:
-            if not path_is_missing(error):  # else the first batch: no table yet
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        entries = batch.select(feed_entry(F.col("value")).alias("url")).dropna()
+        blocklist(batch.sparkSession, path).add(entries.withColumn("key", blocklist_key(F.col("url"))), writer, batch_id)
 
-    writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).start()
+    query = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return query.trigger(**trigger).start()
 
 
 def blocklist_table(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(path)
+    return blocklist(spark, path).read().select("url")
+
+
+def write_scans(
+    scans: DataFrame, entries: str, path: str, checkpoint: str, rules: RuleSet = DEFAULT_RULES, **trigger
+) -> StreamingQuery:
+    """Judge a stream of scans by the blocklist as it is when each micro-batch begins, and write the log.
+
+    Only the buckets that a batch's URLs fall in are read. A batch is written under its own id, so that a repeated one replaces
+    what it wrote; it may then see a newer blocklist.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        table = blocklist(batch.sparkSession, entries)
+        batch = batch.persist()
+        keys = batch.select(blocklist_key(F.col("url")).alias("key")).dropna()
+        judged = verdicts(batch, table.read(table.touched(keys)).select("url"), rules)
+        log = scan_log_rows(judged)
+        log.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    query = scans.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return query.trigger(**trigger).start()

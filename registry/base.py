@@ -250,22 +250,22 @@ def tier_cte(name: str = "tiers", base: str = "feat") -> str:
         FROM {base})"""
 
 
-def blocked_ctes(name: str, base: str) -> list[str]:
-    """Adds ``blocklisted`` to a table with ``norm``."""
+def blocked_ctes(name: str, base: str, known: str = "TRUE") -> list[str]:
+    """Adds ``blocklisted`` to a table with ``norm``; ``known`` says which entries (``b.key``) a row's scan could see."""
     return [
         parsed("bl_norm", "fx_blocklist"),
         r"bl_keys AS (SELECT DISTINCT regexp_replace(norm, '/+$', '') AS key FROM bl_norm WHERE contains(norm, '.'))",
         rf"""{name} AS (SELECT t.*, b.key IS NOT NULL AS blocklisted
-            FROM {base} t LEFT JOIN bl_keys b ON b.key = regexp_replace(t.norm, '/+$', ''))""",
+            FROM {base} t LEFT JOIN bl_keys b ON {known} AND b.key = regexp_replace(t.norm, '/+$', ''))""",
     ]
 
 
-def verdict_ctes(base: str, age: str = "-1", ssl: str = "FALSE") -> list[str]:
+def verdict_ctes(base: str, age: str = "-1", ssl: str = "FALSE", known: str = "TRUE") -> list[str]:
     """CTE chain ending in ``verdict``; ``base`` has url, prob and whatever age / ssl name."""
     r = RULES
     return [
         parsed("v_parsed", f"(SELECT *, {age} AS v_age, {ssl} AS v_ssl FROM {base})"),
-        *blocked_ctes("v_blocked", "v_parsed"),
+        *blocked_ctes("v_blocked", "v_parsed", known),
         *feature_ctes("v_blocked", "norm"),
         tier_cte("v_tier", "feat"),
         f"""v_flags AS (SELECT *, {brand_in_domain("host")} AS brand_flag, {typo_brand("host")} AS typo_b,

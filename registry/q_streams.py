@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
+from hostsift.operators.joins import blocklist_key
 from hostsift.session import scratch_path
 from hostsift.streaming import jobs as S
 from hostsift.streaming.asof import with_metadata_as_of
@@ -173,3 +174,27 @@ def stream_feed_refresh(spark, sf):
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(path)
     S.stream_feed_refresh(lines, out, scratch_path(spark, "stream-cp"), **ALL).awaitTermination()
     return S.blocklist_table(spark, out).select("url")
+
+
+@query(
+    "stream_scan_versions",
+    with_duck(
+        ("fx_scan_log", "fx_blocklist"),
+        f"sv AS (SELECT id, content AS url, CAST({h("content || 'p'")} % 1000 AS DOUBLE) / 1000 AS prob FROM fx_scan_log)",
+        *verdict_ctes("sv", known="(t.id % 2 = 1 OR length(b.key) % 2 = 0)"),
+        select="SELECT id, norm AS content, result, risk_score FROM verdict",
+    ),
+)
+def stream_scan_versions(spark, sf):
+    """Scans of even ids run while half of the blocklist is there, the others after the rest has come."""
+    scans = nav(spark, sf).withColumn("prob", (hash32(F.col("url"), "p") % 1000).cast("double") / 1000).drop("result")
+    # A feed's lines need a dot as they are, so the entries are written without obfuscation.
+    entries = derived(spark, sf, "fx_blocklist").select(blocklist_key(F.col("url")).alias("url")).dropna()
+    entries = entries.withColumn("even", F.length("url") % 2 == 0)
+    feed, source, path, out, *checkpoints = (scratch_path(spark, f"versions-{n}") for n in ("feed", "scans", "list", "log", "cp1", "cp2"))
+    for half in (0, 1):
+        entries.where(F.col("even") == (half == 0)).select("url").coalesce(2).write.mode("append").text(feed)
+        S.stream_feed_refresh(spark.readStream.text(feed), path, checkpoints[0], **ALL).awaitTermination()
+        scans.where(F.col("id") % 2 == half).repartition(2, "id").write.mode("append").parquet(source)
+        S.write_scans(spark.readStream.schema(scans.schema).parquet(source), path, out, checkpoints[1], **ALL).awaitTermination()
+    return spark.read.parquet(out).select("id", "content", "result", "risk_score")

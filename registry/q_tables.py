@@ -16,7 +16,7 @@ from hostsift.operators import ranking as K
 from hostsift.operators import sets as S
 from hostsift.plans import verdict as V
 from hostsift.session import scratch_path
-from registry.base import blocked_ctes, feature_ctes, h, parsed, query, sql_in, tier_cte
+from registry.base import ORACLES, blocked_ctes, feature_ctes, h, parsed, query, sql_in, tier_cte
 from registry.corpus import AS_OF, RULES, derived, with_duck
 
 TRUSTED, NOISE = sql_in(RULES.trusted_roots), sql_in(R.NOISE_ROOTS)
@@ -318,6 +318,18 @@ def dedup_keep_first(spark, sf):
     return S.dedup_keep_first(table, ["prio", "line_no"]).select("url", "type", "source", "prio", "line_no")
 
 
+@query("dedup_increments", ORACLES["dedup_keep_first"])
+def dedup_increments(spark, sf):
+    """The sources as three increments, the second one twice."""
+    rows = derived(spark, sf, "fx_sources").dropna(subset=["url"])
+    table = S.first_rows_table(spark, scratch_path(spark, "first-rows"), rows, ["prio", "line_no"], buckets=8)
+    for batch, part in enumerate(("prio = 0", "prio = 1", "prio > 1")):
+        kept = S.dedup_increment(table, rows.filter(part), "sources", batch)
+        if batch == 1:
+            kept = S.dedup_increment(table, rows.filter(part), "sources", batch)
+    return kept.select("url", "type", "source", "prio", "line_no")
+
+
 @query(
     "dedup_report",
     with_duck(
