@@ -151,6 +151,14 @@ ENTROPY = """CASE WHEN f_url = '' THEN 0.0 ELSE
                for ch in list_distinct(string_split(f_url, ''))]) END"""
 
 
+#: Longest common subsequence of ``p`` and ``b``.
+LCS = """list_reduce([[ascii(x)::BIGINT] for x in string_split(p, '')],
+        lambda prev, ch: list_reduce([[j::BIGINT] for j in range(1, len(b) + 1)],
+            lambda acc, jj: list_append(acc, CASE WHEN ch[1] = ascii(b[jj[1]]) THEN prev[jj[1]] + 1
+                                                  ELSE greatest(prev[jj[1] + 1], acc[jj[1]]) END), [0::BIGINT]),
+        [0::BIGINT for z in range(0, len(b) + 1)])[-1]"""
+
+
 def feature_ctes(base: str, url: str = "url") -> list[str]:
     """CTE chain ending in ``feat``: every row of ``base`` plus all named features."""
     kw, brands, tlds = sql_list(RULES.keywords), sql_list(RULES.brands), sql_in(RULES.suspicious_tlds)
@@ -158,16 +166,11 @@ def feature_ctes(base: str, url: str = "url") -> list[str]:
         [translate(regexp_replace(p, '[^a-z0-9]', '', 'g'), '013', 'ole')
          for p in list_concat(regexp_split_to_array(f_host, '[.\\-]'), regexp_split_to_array(f_skel, '[.\\-]'))],
         lambda p: len(p) >= 4))"""
-    lcs = """list_reduce([[ascii(x)::BIGINT] for x in string_split(p, '')],
-        lambda prev, ch: list_reduce([[j::BIGINT] for j in range(1, len(b) + 1)],
-            lambda acc, jj: list_append(acc, CASE WHEN ch[1] = ascii(b[jj[1]]) THEN prev[jj[1]] + 1
-                                                  ELSE greatest(prev[jj[1] + 1], acc[jj[1]]) END), [0::BIGINT]),
-        [0::BIGINT for z in range(0, len(b) + 1)])[-1]"""
     return [
         f"f_parts AS (SELECT *, {part_columns(url)}, {skeleton('f_host')} AS f_idn, {ascii_form('f_idn')} AS f_skel, "
         f"{pieces} AS f_pieces FROM {base})",
         "f_piece AS (SELECT DISTINCT unnest(f_pieces) AS p FROM f_parts)",
-        f"f_pair AS (SELECT p, b, 2.0 * {lcs} / (len(p) + len(b)) AS sim FROM f_piece, (SELECT unnest({brands}) AS b))",
+        f"f_pair AS (SELECT p, b, 2.0 * {LCS} / (len(p) + len(b)) AS sim FROM f_piece, (SELECT unnest({brands}) AS b))",
         "f_hit AS (SELECT p, b, sim FROM f_pair WHERE sim > 0.85)",
         """f_best AS (SELECT f_domain AS d, f_pieces AS ps, max(sim) AS sim, max(CASE WHEN b <> f_domain THEN 1 ELSE 0 END) AS spoof
             FROM (SELECT DISTINCT f_domain, f_pieces, unnest(f_pieces) AS p FROM f_parts) JOIN f_hit USING (p)

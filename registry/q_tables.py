@@ -10,13 +10,14 @@ from hostsift.functions.features import feature_parts
 from hostsift.functions.hashing import hash32
 from hostsift.functions.idn import with_idn
 from hostsift.operators import augment as A
+from hostsift.operators import brand_tables as BT
 from hostsift.operators import joins as J
 from hostsift.operators import metrics as M
 from hostsift.operators import ranking as K
 from hostsift.operators import sets as S
 from hostsift.plans import verdict as V
 from hostsift.session import scratch_path
-from registry.base import ORACLES, blocked_ctes, feature_ctes, h, parsed, query, sql_in, tier_cte
+from registry.base import LCS, ORACLES, blocked_ctes, feature_ctes, h, parsed, query, sql_in, sql_list, tier_cte
 from registry.corpus import AS_OF, RULES, derived, with_duck
 
 TRUSTED, NOISE = sql_in(RULES.trusted_roots), sql_in(R.NOISE_ROOTS)
@@ -95,6 +96,49 @@ def brand_fuzzy_join(spark, sf):
     return J.brand_fuzzy_join(hosts).withColumn("similarity", F.round("similarity", 6))
 
 
+#: A brand table: names of legitimate domains, and the rules' brands.
+BRAND_TABLE = f"""names AS (SELECT DISTINCT b FROM (SELECT translate(regexp_replace(f_domain, '[^a-z0-9]', '', 'g'), '013', 'ole') AS b
+    FROM f_parts WHERE type = 'legitimate' UNION ALL SELECT unnest({sql_list(RULES.brands)})) WHERE len(b) BETWEEN 4 AND 62)"""
+
+
+def brand_names(spark, sf):
+    parts = feature_parts(derived(spark, sf, "fx_urls")).filter("type = 'legitimate'")
+    folded = F.translate(F.regexp_replace("f_domain", "[^a-z0-9]", ""), "013", "ole")
+    listed = spark.createDataFrame([(b,) for b in RULES.brands], "brand string")
+    return parts.select(folded.alias("brand")).union(listed).filter(F.length("brand").between(4, 62))
+
+
+@query(
+    "brand_table_join",
+    with_duck(
+        ("fx_urls",), *feature_ctes("fx_urls"), BRAND_TABLE,
+        """near AS (SELECT p, b FROM f_piece, names WHERE abs(len(p) - len(b)) <= 0.15 * (len(p) + len(b))
+            AND levenshtein(p, b) < 0.15 * (len(p) + len(b)))""",
+        f"hits AS (SELECT p, b, 2.0 * {LCS} / (len(p) + len(b)) AS sim FROM near)",
+        select="SELECT p AS piece, b AS brand, round(sim, 6) AS similarity FROM hits WHERE sim > 0.85",
+    ),
+)
+def brand_table_join(spark, sf):
+    hosts = with_idn(feature_parts(derived(spark, sf, "fx_urls")).select("f_host"), "f_host")
+    return BT.brand_table_join(hosts, brand_names(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "typo_table_join",
+    with_duck(
+        ("fx_urls",), parsed("p", "fx_urls"), *feature_ctes("fx_urls")[:1], BRAND_TABLE,
+        """labels AS (SELECT DISTINCT string_split(host, '.')[1] AS name FROM p)""",
+        """typos AS (SELECT name, min(b) AS typo_brand FROM labels, names
+            WHERE abs(len(name) - len(b)) <= 1 AND levenshtein(name, b) = 1 GROUP BY name)""",
+        select="SELECT url_id, typo_brand FROM p LEFT JOIN typos ON name = string_split(host, '.')[1]",
+    ),
+)
+def typo_table_join(spark, sf):
+    """Brands in the order of their names."""
+    brands = brand_names(spark, sf).withColumn("ordinal", F.col("brand"))
+    return BT.typo_table_join(parsed_urls(spark, sf), brands).select("url_id", "typo_brand")
+
+
 FEED_ROOTS = [
     parsed("n_p", "fx_feed_new"),
     "n_roots AS (SELECT DISTINCT root FROM n_p WHERE contains(root, '.'))",
