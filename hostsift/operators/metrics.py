@@ -153,33 +153,34 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLD
 
 
 GRID_START, GRID_STEP, GRID_STOP = 300, 5, 950
+STEPS = (GRID_STOP - GRID_START) // GRID_STEP + 1
 
 
-def grid_rates(df: DataFrame) -> DataFrame:
-    """False-positive and recall percentages on the 0.300 ... 0.950 grid, step 0.005.
-
-    Each row falls into one of 132 buckets (how many grid thresholds lie below
-    its score); sums over the buckets give every threshold from one scan.
-    """
-    steps = (GRID_STOP - GRID_START) // GRID_STEP + 1
-    guess = F.greatest(
-        F.lit(0), F.least(F.lit(steps), F.floor((F.col("prob") * 1000 - GRID_START) / GRID_STEP))
-    ).cast("int")
+def grid_bucket(prob: Column) -> Column:
+    """How many thresholds of the 0.300 ... 0.950 grid, step 0.005, lie below a score: 132 buckets."""
+    g = F.greatest(F.lit(0), F.least(F.lit(STEPS), F.floor((prob * 1000 - GRID_START) / GRID_STEP))).cast("int")
 
     def above(i: Column) -> Column:
         # Exact comparison around the guess: the division may be off by one.
         t = (i * GRID_STEP + GRID_START) / 1000
-        return (i.between(0, steps - 1) & (F.col("prob") > t)).cast("int")
+        return (i.between(0, STEPS - 1) & (prob > t)).cast("int")
+
+    return F.greatest(F.lit(0), g - 1) + above(g - 1) + above(g) + above(g + 1)
 
-    g = F.col("_g")
-    bucket = F.greatest(F.lit(0), g - 1) + above(g - 1) + above(g) + above(g + 1)
+
+def grid_rates(df: DataFrame) -> DataFrame:
+    """False-positive and recall percentages at every threshold of the grid, from one scan."""
     counted = (
-        df.withColumn("_g", guess)
-        .withColumn("_bucket", bucket)
+        df.withColumn("_bucket", grid_bucket(F.col("prob")))
         .groupBy("_bucket")
         .agg(F.count_if(F.col("label") == 0).alias("_l"), F.count_if(F.col("label") == 1).alias("_p"))
     )
-    thresholds = F.sequence(F.lit(0), F.lit(steps - 1))
+    return rates_of_buckets(counted)
+
+
+def rates_of_buckets(counted: DataFrame) -> DataFrame:
+    """The rates from ``_bucket``, and its legitimate (``_l``) and phishing (``_p``) rows; a bucket can have several lines."""
+    thresholds = F.sequence(F.lit(0), F.lit(STEPS - 1))
     spread = counted.select("_bucket", "_l", "_p", F.explode(thresholds).alias("_i"))
     passed = F.col("_bucket") > F.col("_i")
     return (
@@ -200,7 +201,12 @@ def grid_rates(df: DataFrame) -> DataFrame:
 
 def equal_fp_operating_point(df: DataFrame, max_fp_pct: float = 9.70) -> DataFrame:
     """Lowest grid threshold whose false-positive rate is within the gate."""
-    passing = grid_rates(df).filter(F.col("fp_pct") <= max_fp_pct)
+    return operating_point_of(grid_rates(df), max_fp_pct)
+
+
+def operating_point_of(rates: DataFrame, max_fp_pct: float = 9.70) -> DataFrame:
+    """Of the rates on the grid."""
+    passing = rates.filter(F.col("fp_pct") <= max_fp_pct)
     best = passing.agg(F.min(F.struct("threshold_milli", "fp_pct", "recall_pct")).alias("b"))
     return best.filter(F.col("b").isNotNull()).select(
         F.col("b.threshold_milli").cast("int").alias("threshold_milli"),

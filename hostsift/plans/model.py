@@ -30,6 +30,7 @@ from hostsift.functions.urls import has_path, normalize_url, registrable_root, s
 from hostsift.operators import metrics
 from hostsift.operators.joins import allowlist_match, novelty_flag
 from hostsift.plans.boost import boost, truncated
+from hostsift.plans.vocabulary import vocabulary
 from hostsift.rules import BLOCK_WEIGHTS, DEFAULT_RULES, RuleSet
 from hostsift.session import exists, scratch_path
 
@@ -54,12 +55,6 @@ def model_inputs(df: DataFrame, url: str = "url", rules: RuleSet = DEFAULT_RULES
     return out.withColumn("grams", char_ngrams(F.col("text")))
 
 
-def vocabulary(train: DataFrame, source: str, size: int) -> list[str]:
-    """The ``size`` most frequent terms of an array column; of equally frequent ones the first in byte order."""
-    terms = train.select(F.explode(source).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return [r["term"] for r in terms.orderBy(F.desc("n"), "term").limit(size).collect()]
-
-
 def _tfidf(train: DataFrame, source: str, target: str, size: int) -> list[Transformer]:
     """Stages for tf * (ln((1+n)/(1+df)) + 1), L2-normalised; vocabulary by corpus frequency."""
     words = vocabulary(train, source, size)

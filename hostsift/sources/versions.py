@@ -185,6 +185,10 @@ class KeyTable:
         finally:
             rows.unpersist()
 
+    def combined(self, rows: DataFrame) -> DataFrame:
+        """What is left of rows of several folders when they are merged into one."""
+        return rows
+
     def merged(self, now: Version | None = None, fan: int = FAN) -> Version:
         """Merge folders of a level that has ``fan`` of them; gives up if a writer comes in between, as the next addition tries again."""
         now = now or self.current()
@@ -192,7 +196,7 @@ class KeyTable:
             level = min(full)
             few = [f for f in now.folders if f.level == level]
             rest = tuple(f for f in now.folders if f.level != level)
-            whole = self._write(self.read(version=replace(now, folders=tuple(few))), level + 1)
+            whole = self._write(self.combined(self.read(version=replace(now, folders=tuple(few)))), level + 1)
             try:
                 now = self._commit(replace(now, number=now.number + 1, folders=(*rest, whole)))
             except Taken:
@@ -218,3 +222,30 @@ class KeyTable:
         for name in gone:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
         return len(gone)
+
+
+class SumTable(KeyTable):
+    """Partial sums that are added batch by batch: no row is left out, and rows that ``combine`` makes one are merged."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, combine, buckets: int = 8):
+        super().__init__(spark, path, schema, key, buckets=buckets)
+        self.combine = combine
+
+    def combined(self, rows: DataFrame) -> DataFrame:
+        return self.combine(rows)
+
+    def add(self, rows: DataFrame, writer: str = "", batch: int | None = None, large: bool = False) -> Version:
+        while True:
+            now = self.current()
+            if batch is not None and now.applied.get(writer, -1) >= batch:
+                return now
+            fresh = self._write(self.combine(rows.select(*self.schema.names)), 0)
+            applied = now.applied if batch is None else now.applied | {writer: batch}
+            try:
+                made = self._commit(Version(now.number + 1, (*now.folders, *([fresh] if fresh.files else [])), applied))
+            except Taken:
+                continue
+            return self.merged(made)
+
+    def totals(self) -> DataFrame:
+        return self.combine(self.read())

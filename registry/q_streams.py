@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
 from hostsift.operators.joins import blocklist_key
+from hostsift.plans import kpis as KP
 from hostsift.session import scratch_path
 from hostsift.streaming import jobs as S
 from hostsift.streaming.asof import with_metadata_as_of
@@ -154,10 +155,11 @@ def stream_dedup_busy(spark, sf):
     ),
 )
 def stream_daily_kpis(spark, sf):
-    out = scratch_path(spark, "daily")
-    kpis = S.stream_daily_kpis(as_stream(spark, nav(spark, sf)), lateness="40 days")
-    S.write_daily_kpis(kpis, out, scratch_path(spark, "stream-cp"), **ALL).awaitTermination()
-    return S.latest_daily_kpis(spark, out).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    """From the cells that the micro-batches add up, however late their rows are."""
+    log = nav(spark, sf).withColumnRenamed("url", "content").withColumn("type", F.lit("url"))
+    path = scratch_path(spark, "daily-cells")
+    KP.write_log_cells(as_stream(spark, log), path, scratch_path(spark, "stream-cp"), **ALL).awaitTermination()
+    return KP.daily_breakdown(KP.kpi_table(spark, path).totals()).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(

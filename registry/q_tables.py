@@ -15,8 +15,10 @@ from hostsift.operators import joins as J
 from hostsift.operators import metrics as M
 from hostsift.operators import ranking as K
 from hostsift.operators import sets as S
+from hostsift.operators import sketches as SK
+from hostsift.plans import kpis as KP
 from hostsift.plans import verdict as V
-from hostsift.session import scratch_path
+from hostsift.session import scratch_path, staged
 from registry.base import LCS, ORACLES, blocked_ctes, feature_ctes, h, parsed, query, sql_in, sql_list, tier_cte
 from registry.corpus import AS_OF, RULES, derived, with_duck
 
@@ -826,3 +828,66 @@ def worst_offenders(spark, sf):
 def verdict_cache_topn(spark, sf):
     log = derived(spark, sf, "fx_scan_log").select(F.col("content").alias("url"), "ts", "id", "result")
     return K.verdict_cache_topn(log).select("url", "id", "result")
+
+
+# --- reports from stored partial results and sketches
+
+_CELLS: dict[tuple, object] = {}
+
+
+def kpi_cells(spark, sf):
+    """The log as four batches, one of them written twice, and the scores as three."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _CELLS:
+        table = KP.kpi_table(spark, scratch_path(spark, "kpi-cells"))
+        log, scores = derived(spark, sf, "fx_scan_log"), scored(spark, sf)
+        for batch in (0, 1, 2, 2, 3):
+            table.add(KP.log_cells(log.filter(F.col("id") % 4 == batch)), "log", batch)
+        for batch in range(3):
+            table.add(KP.score_cells(scores.filter(F.col("url_id") % 3 == batch), F.col("source")), "scores", batch)
+        _CELLS[at] = table
+    return _CELLS[at].totals()
+
+
+@query("kpi_cells_scan_kpis", ORACLES["scan_kpis"])
+def kpi_cells_scan_kpis(spark, sf):
+    return KP.scan_kpis(kpi_cells(spark, sf))
+
+
+@query("kpi_cells_daily_breakdown", ORACLES["daily_breakdown"])
+def kpi_cells_daily_breakdown(spark, sf):
+    out = KP.daily_breakdown(kpi_cells(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("kpi_cells_top_threats", ORACLES["top_threats"])
+def kpi_cells_top_threats(spark, sf):
+    return KP.top_threats(kpi_cells(spark, sf)).drop("missing")
+
+
+@query("kpi_cells_threshold_sweep", ORACLES["threshold_sweep"])
+def kpi_cells_threshold_sweep(spark, sf):
+    return KP.threshold_sweep(kpi_cells(spark, sf))
+
+
+@query("kpi_cells_operating_point", ORACLES["equal_fp_operating_point"])
+def kpi_cells_operating_point(spark, sf):
+    return KP.operating_point(kpi_cells(spark, sf))
+
+
+@query("sketched_roots", ORACLES["distinct_roots"])
+def sketched_roots(spark, sf):
+    """By class, from sketches by feed and class; exact while the sets are smaller than a sketch."""
+    sketches = staged(SK.root_sketches(parsed_urls(spark, sf), ["source", "type"]), "root-sketches")
+    return SK.sketched_roots(sketches, "type")
+
+
+@query("sketched_roots_report", ORACLES["roots_intersect_report"])
+def sketched_roots_report(spark, sf):
+    feed, phishing, legit = root_tables(spark, sf)
+    listed = {"in_trusted": RULES.trusted_roots, "in_noise": R.NOISE_ROOTS}
+    tables = {"feed": feed, "known": phishing, "in_legit": legit} | {
+        name: spark.createDataFrame([(r,) for r in roots], "root string") for name, roots in listed.items()
+    }
+    sketches = {name: staged(SK.root_sketches(table, []), f"sketch-{name}") for name, table in tables.items()}
+    return SK.sketched_report(sketches.pop("feed"), sketches.pop("known"), sketches)
