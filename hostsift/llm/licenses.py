@@ -2,7 +2,8 @@
 
 A notice of ``k`` allowed edits is split into ``k + 1`` pieces. Whatever stands within ``k`` edits of the notice holds at
 least one piece unchanged, so one automaton over all pieces finds every place worth a look; the bounded-error matching of
-the ``regex`` library then looks at these places only.
+the ``regex`` library then looks at these places only. The words that tell one license from another have to stand unchanged,
+whatever edits the rest has; and where notices overlap the longest one says what it is.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -29,11 +31,18 @@ _WORD = re.compile(rb"[^\x20]+")
 
 @dataclass(frozen=True)
 class Notice:
-    """Words in lower case with one space between; ``edits``: characters inserted, deleted or replaced at most."""
+    """Words in lower case with one space between; ``edits``: characters inserted, deleted or replaced at most; ``firm``: words
+    that have to stand unchanged, in this order."""
 
     label: str
     text: str
     edits: int
+    firm: tuple[str, ...] = ()
+
+    def stands(self, found: str) -> bool:
+        """Whether the firm words are among the words found, in their order."""
+        words = iter(found.split())
+        return all(w in words for w in self.firm)
 
     def pieces(self) -> list[tuple[int, str]]:
         """``edits + 1`` pieces of nearly equal length with their offsets."""
@@ -43,20 +52,45 @@ class Notice:
 
 #: Exact phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Creative Commons: what follows "by" or "attribution" in a license's name.
+_TERMS = {
+    "cc-by": (), "cc-by-sa": ("sa",), "cc-by-nd": ("nd",), "cc-by-nc": ("nc",), "cc-by-nc-sa": ("nc", "sa"), "cc-by-nc-nd": ("nc", "nd"),
+}
+_SPELLED = {"sa": ("sharealike", "share alike"), "nd": ("noderivatives", "no derivatives", "noderivs"), "nc": ("noncommercial", "non commercial")}
+
+
+def _creative_commons() -> tuple[Notice, ...]:
+    made = []
+    for label, terms in _TERMS.items():
+        short = ("cc", "by", *terms)
+        made.append(Notice(label, " ".join(("licensed under", *short)), 2, short))
+        for words in product(*(_SPELLED[t] for t in terms)):
+            name = " ".join(("attribution", *words))
+            made.append(Notice(label, f"creative commons {name}", 2, tuple(name.split())))
+    return tuple(made)
+
+
 NOTICES = (
-    Notice("mit", "mit license", 1),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6),
-    Notice("apache", "apache license", 1),
+    Notice("mit", "mit license", 1, ("mit",)),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6, ("free", "of", "charge", "person")),
+    Notice("apache", "apache license", 1, ("apache",)),
     Notice("apache", "you may not use this file except in compliance with the license", 5),
-    Notice("gpl", "general public license", 2),
-    Notice("gpl", "this program is free software you can redistribute it and or modify it", 6),
-    Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("mpl", "mozilla public license", 2),
-    Notice("cc-by-nc", "licensed under cc by nc", 2),
-    Notice("cc-by", "creative commons attribution", 2),
-    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 6),
-    Notice("proprietary", "all rights reserved", 1),
-)
+    Notice("gpl", "general public license", 2, ("general", "public")),
+    Notice("lgpl", "lesser general public license", 2, ("lesser", "general", "public")),
+    Notice("agpl", "affero general public license", 2, ("affero", "general", "public")),
+    Notice("gpl", "this program is free software you can redistribute it and or modify it", 6, ("free",)),
+    Notice("bsd", "redistribution and use in source and binary forms", 4, ("source", "binary")),
+    Notice("mpl", "mozilla public license", 2, ("mozilla", "public")),
+    *_creative_commons(),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 6, ("and", "or", "for", "any")),
+    Notice(
+        "postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose", 6,
+        ("distribute", "documentation", "for", "any"),
+    ),
+    Notice("proprietary", "all rights reserved", 1, ("all", "reserved")),
+)
+#: Stands in open notices too, so it counts only where nothing else is found.
+LAST = "proprietary"
 FIELDS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 _TYPE = (
     "struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, "
@@ -134,17 +168,41 @@ class Scanner:
         for i, spans in self.windows(text).items():
             for a, b in spans:
                 for m in self.patterns[i].finditer(text, a, b):
-                    if m.end() > m.start():
+                    if m.end() > m.start() and self.notices[i].stands(m[0]):
                         found.append((self.notices[i], sum(m.fuzzy_counts), m.start(), m.end()))
         return sorted(found, key=lambda x: (x[2], x[3], x[0].text))
 
+    @staticmethod
+    def settled(found: list[tuple[Notice, int, int, int]]) -> list[tuple[Notice, int, int, int]]:
+        """Of overlapping matches the longest notice, then the one with the fewest edits."""
+        kept: list[tuple[Notice, int, int, int]] = []
+        group, end = [], 0
+
+        def take() -> None:
+            taken: list[tuple[Notice, int, int, int]] = []
+            for x in sorted(group, key=lambda x: (-len(x[0].text), x[1], x[2], x[0].label)):
+                if all(x[3] <= y[2] or x[2] >= y[3] for y in taken):
+                    taken.append(x)
+            kept.extend(sorted(taken, key=lambda x: x[2]))
+
+        for x in found:  # in order of their start
+            if group and x[2] >= end:
+                take()
+                group = []
+            end = max(end, x[3]) if group else x[3]
+            group.append(x)
+        take()
+        return kept
+
     def scan(self, raw: str | None) -> tuple:
         plain = utf8(raw).translate(_PLAIN)
         words = plain.split()
         norm = b" ".join(words)
         base = self.places(b" " + norm + b" ")
         text = norm.decode("utf-8", "surrogatepass")
-        fuzzy = self.fuzzy(text)
+        fuzzy = self.settled(self.fuzzy(text))
+        if base or any(n.label != LAST for n, *_ in fuzzy):
+            fuzzy = [x for x in fuzzy if x[0].label != LAST]
         matches = []
         if fuzzy:
             spans = [m.span() for m in _WORD.finditer(plain)]
@@ -195,7 +253,7 @@ def scan_licenses(
 
     Adds ``n_words``; ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` of the exact phrases; ``matches``, an
     array of label, notice, edits, character span (``start``, ``end``, from 0) and first word and number of words of every
-    notice found; ``labels``, the distinct sorted labels of both; and ``score``, 1 for an exact phrase, else the share of
+    notice found, the longest one where several overlap; ``labels``, the distinct sorted labels of both; and ``score``, 1 for an exact phrase, else the share of
     the best notice's characters that stand unchanged, 0 without one.
 
     A null text is read as empty: no words, no matches, empty labels, null first and last word. Rows are handled one by

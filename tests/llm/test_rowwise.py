@@ -53,11 +53,59 @@ def test_fuzzy_notices_match_a_search_without_seeds():
             i = rng.randrange(len(text))
             text[i : i + 1] = rng.choice([[], ["x"], [text[i], "e"], [" "]])
         whole = " ".join(f"some words {''.join(text)} and more of the mit and license kind".split())
-        by_seed = {x[0].text for x in find.fuzzy(whole)}
-        by_search = {m.text for m in NOTICES if regex.search(rf"\b(?:{regex.escape(m.text)}){{e<={m.edits}}}\b", whole)}
+        by_seed = {(x[0].text, *x[1:]) for x in find.fuzzy(whole)}
+        by_search = {
+            (m.text, sum(x.fuzzy_counts), x.start(), x.end())
+            for m in NOTICES for x in regex.finditer(rf"(?e)\b(?:{regex.escape(m.text)}){{e<={m.edits}}}\b", whole) if x[0] and m.stands(x[0])
+        }
         assert by_seed == by_search, whole
 
 
+LABELLED = {
+    "Released under the MIT license.": "mit", "the MIT Licence applies": "mit", "MIT licensed": "mit", "see MIT-License": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "Permission is hearby granted, free of charge to any person obtainning a copy of it": "mit",
+    "Apache License, Version 2.0": "apache", "the Apache Licence": "apache", "Apache licensed code": "apache",
+    "You may not use this file except in compliance with the License.": "apache",
+    "you may not use these file except in compliance with the licence": "apache",
+    "GNU General Public License": "gpl", "general public licence v3": "gpl", "General Public Licenses": "gpl",
+    "GNU Lesser General Public Licence": "lgpl", "Lesser General Public License": "gpl,lgpl", "Affero General Public Licence": "agpl",
+    "This program is free software: you can redistribute it and/or modify it": "gpl",
+    "this programme is free software; you can re-distribute it and/or modify it": "gpl",
+    "Redistribution and use in source and binary forms, with or without": "bsd", "redistribution or use in source and binary form": "bsd",
+    "Mozilla Public License 2.0": "mpl", "Mozilla Public Licence": "mpl",
+    "licensed under CC BY 4.0": "cc-by", "Licensed under CC-BY-SA 4.0": "cc-by-sa", "licensed under CC BY-ND": "cc-by-nd",
+    "licenced under CC BY-NC": "cc-by-nc", "licensed under CC BY-NC-SA 3.0": "cc-by-nc-sa", "licensed under cc by nc nd": "cc-by-nc-nd",
+    "Creative Commons Attribution 4.0": "cc-by", "Creative Commons Attribution-ShareAlike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa", "Creative Commons Attribution-NoDerivatives": "cc-by-nd",
+    "Creative Commons Attribution-NonCommercial": "cc-by-nc", "creative common attribution non commercial": "cc-by-nc",
+    "Creative Commons Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa",
+    "Creative Commons Attribution-NonCommercial-NoDerivs 2.0": "cc-by-nc-nd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+    "Permission to use, copy, modify and distribute this software and its documentation for any purpose": "postgresql",
+    "All rights reserved.": "proprietary", "All right reserved": "proprietary", "MIT license. All rights reserved": "mit",
+}
+NEAR_MISSES = [
+    "the kit license fee", "it license costs", "bit license", "a mitt license", "summit license", "limit license plates", "MIT lecture",
+    "MIT and its license office", "driver license", "the license", "fishing license", "apaches license", "Apache licking", "an apache helicopter",
+    "Apace license", "general publicity license", "generals public licensing board", "the general public", "public license", "a general license",
+    "Eclipse Public License", "European Union Public Licence", "Common Public License", "Mosella Public Licence",
+    "you may use this file if you comply with our terms", "you may not use this door except in emergencies",
+    "this program is fine software and you can distribute it", "redistribution of wealth and use of force", "binary forms and source texts",
+    "licensed under CCTV by law", "licensed under section 4", "licensed under CD by NC", "cc by", "creative common sense attribution",
+    "Creative Commons Zero", "creative commons contribution", "permission to use the car for any purpose",
+    "Permission to use, copy, modify, and distribute this software for any purpose", "permission to copy this software",
+    "permission is granted to any person", "all rights observed", "human rights reserved", "all rites preserved",
+]
+
+
+def test_labels_of_notices_and_of_what_is_near_them():
+    find = scanner(tuple(PHRASES.items()), NOTICES)
+    assert len(LABELLED) >= 40 and len(NEAR_MISSES) >= 40
+    assert {t: find.scan(f"Some words. {t} and more.")[5] for t in LABELLED} == LABELLED
+    assert {t: find.scan(f"Some words, {t} and more.")[5] for t in NEAR_MISSES} == dict.fromkeys(NEAR_MISSES, "")
+
+
 def test_notice_spans_point_into_the_raw_text():
     text = "Ünder the  G.N.U.\nGeneral  Public Licence (3)"
     row = scanner(tuple(PHRASES.items()), NOTICES).scan(text)
