@@ -128,28 +128,33 @@ def domain_meta_enrich(
     domain: str = "domain",
     ts: str = "ts",
     ttl_seconds: int = DEFAULT_RULES.meta_cache_ttl_sec,
-    salts: int = 4,
+    heavy: int = 1_000_000,
 ) -> DataFrame:
     """As-of join: the newest metadata of the domain less than the TTL before each scan.
 
     Scans and lookups are merged and ordered inside (domain, TTL-wide time
-    slot, salt), so no pairs are formed and a hot domain spreads over its time
-    slots and salts.  A lookup is copied into its own slot and the next.
-    Misses give age -1 and no TLS.
+    slot), so no pairs are formed; a lookup is copied into its own slot and the
+    next.  Where more than ``heavy`` scans of a domain fall into a slot, as a
+    count of scans by domain and slot tells, they are dealt over as many salts
+    as it takes, and only these lookups are copied more often.  Misses give age
+    -1 and no TLS.
     """
     slot = F.floor(F.unix_seconds(F.col("_at")) / ttl_seconds)
     payload = [c for c in meta.columns if c not in (domain, "checked_at")]
-    left = (
-        scans.withColumn("_at", F.col(ts).cast("timestamp"))
-        .withColumn("_slot", slot)
-        .withColumn("_salt", F.pmod(F.xxhash64(*scans.columns), F.lit(salts)).cast("int"))
-        .withColumn("_scan", F.lit(1))
+    left = scans.withColumn("_at", F.col(ts).cast("timestamp")).withColumn("_slot", slot).withColumn("_scan", F.lit(1))
+    crowded = left.groupBy(domain, "_slot").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy)
+    # At most a line for every `heavy` scans.
+    lines = crowded.select(domain, "_slot", F.ceil(F.col("_n") / heavy).cast("int").alias("_salts"))
+    limits = left.sparkSession.createDataFrame(lines.collect(), lines.schema)
+    left = left.join(limits, [domain, "_slot"], "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(ts, F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
     )
     right = (
         meta.withColumn("_at", F.col("checked_at").cast("timestamp"))
         .select(domain, "_at", F.struct(F.col("_at").alias("checked"), *payload).alias("_meta"), slot.alias("_slot"))
         .withColumn("_slot", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(limits, [domain, "_slot"], "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .withColumn("_scan", F.lit(0))
     )
     ordered = (
@@ -165,4 +170,4 @@ def domain_meta_enrich(
         found["age_days"] = F.coalesce(found["age_days"], F.lit(-1))
     if "ssl_valid" in found:
         found["ssl_valid"] = F.coalesce(found["ssl_valid"], F.lit(False))
-    return seen.withColumns(found).drop("_at", "_slot", "_salt", "_scan", "_meta", "_last")
+    return seen.withColumns(found).drop("_at", "_slot", "_salt", "_salts", "_scan", "_meta", "_last")

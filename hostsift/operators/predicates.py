@@ -73,6 +73,27 @@ def validate_rules(spark: SparkSession, rules: RuleSet = DEFAULT_RULES) -> DataF
     return spark.createDataFrame(problems, "problem string, detail string")
 
 
+def threshold_order(scored: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Each threshold and the next one up: whether they are in order, and how many scores lie from one up to the other.
+
+    Between thresholds that aren't in order no score lies: these are the rows that a rule of the ladder would never see.
+    """
+    marks = [
+        ("zero", 0.0), ("safe", rules.ml_safe_threshold), ("keyword", rules.keyword_min_prob), ("decision", rules.ml_decision_threshold),
+        ("one", 1.0),
+    ]
+    pairs = list(zip(marks, marks[1:]))
+    counts = [F.count_if((F.col("prob") >= a) & (F.col("prob") < b)).alias(f"n{i}") for i, ((_, a), (_, b)) in enumerate(pairs)]
+    lines = [
+        F.struct(
+            F.lit(low).alias("lower"), F.lit(high).alias("upper"), F.lit(a < b or (high == "one" and a <= b)).alias("in_order"),
+            F.col(f"n{i}").alias("scores"),
+        )
+        for i, ((low, a), (high, b)) in enumerate(pairs)
+    ]
+    return scored.agg(*counts).select(F.explode(F.array(*lines)).alias("line")).select("line.*")
+
+
 def orphan_shared_roots(shared: DataFrame, trusted: DataFrame, root: str = "root") -> DataFrame:
     """The subset check on tables: shared-hosting roots missing from the allowlist."""
     return shared.select(root).distinct().join(trusted.select(root).distinct(), root, "left_anti")

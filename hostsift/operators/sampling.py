@@ -6,28 +6,57 @@ data is partitioned and survive task retries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostsift.functions.hashing import hash32
-from hostsift.operators.selection import hash_top_n
+from hostsift.operators.selection import BUCKET_BITS, hash_top_n
 from hostsift.session import staged
 
 #: Bound on the labelled rows of a class that the classifier is fitted on.
 MAX_PER_CLASS = 150_000
 
 
+CLASSES = ("phishing", "legitimate")
+
+
 def balance_classes(df: DataFrame, cap: int = MAX_PER_CLASS, key: str = "url", seed: str = "bal") -> DataFrame:
-    """Equal numbers of phishing and legitimate rows, at most ``cap`` each."""
-    both = staged(df.filter(F.col("type").isin("phishing", "legitimate")), "classes")  # counted, then selected from
-    sizes = both.agg(
-        F.count_if(F.col("type") == "phishing").alias("p"), F.count_if(F.col("type") == "legitimate").alias("l")
-    )
-    n = F.least("p", "l", F.lit(cap).cast("bigint"))
-    limits = sizes.select(
-        F.explode(F.array(F.lit("phishing"), F.lit("legitimate"))).alias("type"), n.alias("_n")
-    )
-    return hash_top_n(both, key, limits, ["type"], seed)
+    """Equal numbers of phishing and legitimate rows, at most ``cap`` each: those of the smallest hashes.
+
+    One aggregate counts the classes and the buckets that their hashes fall in; where to cut follows from it. Rows below the
+    cut are then filtered, without a shuffle, and only those of the cut's own bucket are put in order.
+    """
+    rows = df.filter(F.col("type").isin(*CLASSES))
+    place = hash32(F.col(key), seed)
+    bucket = F.shiftright(place, 32 - BUCKET_BITS)
+    counted = rows.groupBy("type", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # two histograms
+    sizes = {c: sorted((r["bucket"], r["n"]) for r in counted if r["type"] == c) for c in CLASSES}
+    n = min(cap, *(sum(k for _, k in buckets) for buckets in sizes.values()))
+    whole, cut = F.lit(False), []
+    for c, buckets in sizes.items():
+        before = 0
+        for at, k in buckets:
+            if before + k > n:  # the first bucket that isn't taken whole
+                whole = whole | ((F.col("type") == c) & (bucket < at))
+                cut += [(c, at, n - before)] if n > before else []
+                break
+            before += k
+        else:
+            whole = whole | (F.col("type") == c)
+    picked = rows.filter(whole)
+    for c, at, left in cut:
+        picked = picked.unionByName(_least(rows.filter((F.col("type") == c) & (bucket == at)), place, key, left))
+    return picked
+
+
+def _least(rows: DataFrame, place: Column, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the smallest hashes, ties by key and the other columns; copies are counted before they are moved."""
+    others = [c for c in rows.columns if c != key]
+    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    seen = F.sum("_copies").over(Window.orderBy(place, key, *others))  # of one bucket's distinct rows
+    take = F.least("_copies", F.lit(n) - (F.col("_seen") - F.col("_copies")))
+    taken = copies.withColumn("_seen", seen).withColumn("_take", take).filter("_take > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_take")))).select(*rows.columns)
 
 
 def split_name(root: Column, seed: str = "split") -> Column:

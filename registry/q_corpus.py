@@ -443,7 +443,7 @@ def build_training_corpus(spark, sf):
     base = derived(spark, sf, "fx_urls").filter("source <> 'pages'")
     # Generated once and stored, as a corpus job would.
     synthetic = staged(A.synthesize_adversarial(given(spark, sf, "part"), "p_partkey"), "synthetic")
-    fresh = harvest_fresh_roots(spark, sf).filter("part = 'train'").select("url")
+    fresh = staged(harvest_fresh_roots(spark, sf).filter("part = 'train'").select("url"), "fresh")
     return C.training_corpus(base, synthetic, given(spark, sf, "pages"), fresh)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from hostsift import rules as R
@@ -330,6 +332,30 @@ def drop_malformed_hosts(spark, sf):
 SOME_TRUSTED = tuple(r for r in RULES.trusted_roots if r not in RULES.shared_hosting_roots[1:])
 
 
+#: A rule set whose keyword gate lies above the decision, beside the default one.
+BROKEN = replace(RULES, keyword_min_prob=0.7)
+
+
+def threshold_lines(name: str, rules) -> list[str]:
+    marks = [("zero", 0.0), ("safe", rules.ml_safe_threshold), ("keyword", rules.keyword_min_prob), ("decision", rules.ml_decision_threshold), ("one", 1.0)]
+    return [
+        f"SELECT '{name}' AS rules, '{low}' AS lower, '{high}' AS upper, {a} < {b} AS in_order, "
+        f"(SELECT count(*) FROM fx_scored WHERE prob >= {a} AND prob < {b}) AS scores"
+        for (low, a), (high, b) in zip(marks, marks[1:])
+    ]
+
+
+@query(
+    "validate_thresholds",
+    with_duck(("fx_scored",), select=" UNION ALL ".join(threshold_lines("default", RULES) + threshold_lines("broken", BROKEN))),
+)
+def validate_thresholds(spark, sf):
+    """The order of the thresholds of two rule sets, and the scores between them."""
+    scored = derived(spark, sf, "fx_scored")
+    sides = [P.threshold_order(scored, rules).withColumn("rules", F.lit(name)) for name, rules in (("default", RULES), ("broken", BROKEN))]
+    return sides[0].unionByName(sides[1])
+
+
 @query(
     "validate_rules",
     with_duck(

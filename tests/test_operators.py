@@ -166,3 +166,30 @@ def test_allowlist_as_a_table(spark):
     allowed = spark.createDataFrame([("b.com", 1), ("b.com", 2), (None, 3)], "r string, n int")
     got = {r.root: r.trusted for r in J.allowlist_match(df, allowed=allowed).collect()}
     assert got == {"a.com": False, "b.com": True, None: False}
+
+
+def test_balance_keeps_copies_and_cuts_by_hash(spark):
+    from hostsift.functions.hashing import hash32
+
+    rows = [(f"u{i % 40}", "phishing") for i in range(90)] + [("hot", "legitimate")] * 60 + [(f"l{i}", "legitimate") for i in range(120)]
+    df = spark.createDataFrame(rows, "url string, type string").repartition(5)
+    order = {r.url: r.h for r in df.select("url", hash32(F.col("url"), "bal").alias("h")).distinct().collect()}
+    for cap in (1000, 90, 50, 3, 0):
+        n = min(cap, 90)
+        want = []
+        for c in ("phishing", "legitimate"):
+            want += sorted(((u, t) for u, t in rows if t == c), key=lambda r: (order[r[0]], r[0]))[:n]
+        assert sorted((r.url, r.type) for r in Z.balance_classes(df, cap=cap).collect()) == sorted(want)
+
+
+def test_crowded_slots_are_salted(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    scans = [(i, "hot.com" if i % 3 else f"d{i % 5}.com", base + dt.timedelta(seconds=i * 7 % 1800)) for i in range(600)]
+    meta = [(d, base + dt.timedelta(seconds=s), s, True) for d in ("hot.com", "d0.com", "d3.com") for s in range(0, 1800, 250)]
+    sdf = spark.createDataFrame(scans, "id long, domain string, ts timestamp")
+    mdf = spark.createDataFrame(meta, "domain string, checked_at timestamp, age_days int, ssl_valid boolean")
+    plain = {r.id: (r.age_days, r.ssl_valid) for r in J.domain_meta_enrich(sdf, mdf).collect()}
+    salted = {r.id: (r.age_days, r.ssl_valid) for r in J.domain_meta_enrich(sdf, mdf, heavy=10).collect()}
+    assert plain == salted and len(plain) == 600 and sum(v[1] for v in plain.values()) > 300
