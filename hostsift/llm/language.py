@@ -9,6 +9,7 @@ the largest share of the n-grams wins.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostsift.llm.common import with_fields
-from hostsift.operators.selection import hash_top_n
 from hostsift.session import staged
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 #: Code points of a text handled at once; blocks overlap by an n-gram's length.
 BLOCK = 1 << 20
+#: Bits of a text's hash that name its bucket in the histogram that the sample is cut by.
+BUCKET_BITS = 12
 _ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 
 
@@ -99,6 +101,27 @@ class LanguageFilters:
         return self.languages[best], float(shares[best]) / total if total else 0.0, float(shares[best])
 
 
+def _smallest(hashes_of: DataFrame, counts: list, most: int) -> DataFrame:
+    """``lang`` and ``h`` of each language's ``most`` smallest hashes, as the histogram ``counts`` of their buckets tells.
+
+    Whole buckets are filtered; only the hashes of the bucket that the cut falls in are put in order.
+    """
+    cuts: dict[str, tuple[int, int]] = {}
+    for lang in sorted({r["lang"] for r in counts}):
+        taken, cuts[lang] = 0, (1 << BUCKET_BITS, 0)
+        for at, texts in sorted((r["bucket"], r["texts"]) for r in counts if r["lang"] == lang):
+            if taken + texts > most:
+                cuts[lang] = at, most - taken
+                break
+            taken += texts
+    if not cuts:
+        return hashes_of.select("lang", "h")
+    cut, left = (F.create_map(*[F.lit(x) for lang, c in cuts.items() for x in (lang, c[i])])[F.col("lang")] for i in (0, 1))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    edge = hashes_of.where(F.col("bucket") == cut).withColumn("rank", order).where(F.col("rank") <= left)
+    return hashes_of.where(F.col("bucket") < cut).select("lang", "h").union(edge.select("lang", "h"))
+
+
 def fit_filters(
     labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 1000, grams: int = 4000, n: int = 3,
     rows: int = 1 << 16, hashes: int = 3, least_rate: float = 0.5,
@@ -117,8 +140,9 @@ def fit_filters(
     known = known.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     # Only hashes are chosen from; copies share one, and come in once. The texts themselves are read for what is chosen.
     hashes_of = staged(known.groupBy("lang", "h").agg(F.count("*").alias("copies")), "text-hashes")
-    chosen = hash_top_n(hashes_of.select("lang", F.col("h").cast("string").alias("h")), "h", per_language, ["lang"])
-    chosen = chosen.select("lang", F.col("h").cast("bigint").alias("h"))
+    bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS)
+    counts = hashes_of.groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("texts"), F.sum("copies").alias("copies")).collect()
+    chosen = _smallest(hashes_of.withColumn("bucket", bucket), counts, per_language)
     sample = known.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def count(batches):
@@ -146,7 +170,9 @@ def fit_filters(
     for r in collected:
         if r["rate"] >= least_rate * largest[r["gram"]]:
             by_lang.setdefault(r["lang"], []).append(r["gram"])
-    sizes = {r["lang"]: r["n"] for r in hashes_of.groupBy("lang").agg(F.sum("copies").alias("n")).collect()}
+    sizes = Counter()
+    for r in counts:
+        sizes[r["lang"]] += r["copies"]
     languages = tuple(sorted(by_lang, key=lambda x: (-sizes[x], x)))
     made = LanguageFilters(languages, np.zeros((rows, max(1, -(-len(languages) // 64))), np.uint64), n, hashes)
     for l, name in enumerate(languages):

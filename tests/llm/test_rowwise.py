@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hostsift.llm import queries
 from hostsift.llm.common import table
-from hostsift.llm.language import _hashes, fit_filters, held_out, identify_languages
+from hostsift.llm.language import BUCKET_BITS, _hashes, _smallest, fit_filters, held_out, identify_languages
 from hostsift.llm.licenses import NOTICES, PHRASES, scan_licenses, scanner
 from hostsift.llm.pieces import PieceTable, decode_pieces, encode_pieces
 from hostsift.llm.quality import QualityRules, measure, quality_rules
@@ -173,6 +173,21 @@ def test_predictions_are_those_of_exact_sets(spark, sf_dir):
     assert beyond / total < 2 * stated + 0.001
 
 
+def test_sample_has_the_smallest_hashes(spark):
+    rng = random.Random(2)
+    rows = [("a" if i % 3 else "b", rng.getrandbits(64) - 2**63) for i in range(900)]
+    df = spark.createDataFrame(rows, "lang string, h long").withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    counts = df.groupBy("lang", "bucket").agg(F.count("*").alias("texts")).collect()
+    for most in (0, 1, 7, 250, 299, 300, 5000):
+        want = [x for lang in "ab" for x in sorted((r for r in rows if r[0] == lang), key=lambda r: r[1] % 2**64 >> 64 - BUCKET_BITS)]
+        got = sorted(tuple(r) for r in _smallest(df, counts, most).collect())
+        assert {lang: sum(g[0] == lang for g in got) for lang in "ab"} == {"a": min(most, 600), "b": min(most, 300)}
+        for lang in "ab":
+            kept = [h % 2**64 >> 64 - BUCKET_BITS for x, h in got if x == lang]
+            left = [h % 2**64 >> 64 - BUCKET_BITS for x, h in want if x == lang and (x, h) not in set(got)]
+            assert not kept or not left or max(kept) <= min(left)
+
+
 def test_filters_have_every_gram_put_in(spark, sf_dir):
     filters = fit_filters(table(spark, sf_dir, "documents"), grams=300)
     assert filters.false_positives.max() < 0.01
