@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostsift.functions.urls import csv_safe
 from hostsift.operators.metrics import percent, scan_kpis
+from hostsift.sources.versions import KeyTable
 
 # Severity, display colour and order of each verdict.
 RESULT_ROWS = (
@@ -50,6 +51,29 @@ def dim_date(log: DataFrame) -> DataFrame:
     )
 
 
+_FACT = (
+    "id bigint, date_key int, hour int, type string, result string, content string, content_shown string, risk_score double, "
+    "response_time double"
+)
+_DATE = "date_key int, year int, month int, month_name string, day_of_month int, weekday string, iso_week int"
+
+
+def star_tables(spark: SparkSession, path: str, buckets: int = 64) -> tuple[KeyTable, KeyTable]:
+    """The stored facts, one row per event id, and the dates they have."""
+    return KeyTable(spark, f"{path}/fact_events", _FACT, "id", buckets=buckets), KeyTable(spark, f"{path}/dim_date", _DATE, "date_key", buckets=1)
+
+
+def load_star(spark: SparkSession, path: str, log: DataFrame, writer: str, batch: int, buckets: int = 64) -> None:
+    """Add a batch of the log to the stored star schema; only the buckets of its ids are read, nothing is built again.
+
+    Rows may be late, and an event that is there already isn't added again. A batch that was stopped between the tables is
+    completed when it is loaded again.
+    """
+    facts, dates = star_tables(spark, path, buckets)
+    facts.add(fact_events(log), writer, batch)
+    dates.add(dim_date(log), writer, batch)
+
+
 def dim_type(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TYPE_ROWS), "type string, type_name string")
 

@@ -13,7 +13,7 @@ from hostsift.plans import verdict as V
 from hostsift.session import scratch_path
 from hostsift.sources import sinks
 from registry.base import (
-    SPOOF_CONFIRMED, any_keyword, blocked_ctes, brand_in_domain, feature_ctes, h, parsed, query, quote, sql_in, sub_brand,
+    ORACLES, SPOOF_CONFIRMED, any_keyword, blocked_ctes, brand_in_domain, feature_ctes, h, parsed, query, quote, sql_in, sub_brand,
     typo_brand, verdict_ctes,
 )
 from registry.corpus import AS_OF, RETENTION_AS_OF, RULES, derived, with_duck
@@ -296,3 +296,21 @@ def scan_log_verdicts(spark, sf):
     return out.groupBy("result", "gate").agg(
         F.count(F.lit(1)).alias("scans"), F.round(F.sum("risk_score"), 2).alias("risk")
     )
+
+
+def loaded_star(spark, sf):
+    """Four batches of the log in no order of time, each with some events of the one before, one of them loaded twice."""
+    path = scratch_path(spark, "star")
+    for batch in (0, 1, 2, 2, 3):
+        bi.load_star(spark, path, log(spark, sf).filter((F.col("id") % 4 == batch) | (F.col("id") % 40 == batch - 1)), "log", batch, 8)
+    return bi.star_tables(spark, path, 8)
+
+
+@query("loaded_fact_events", ORACLES["fact_events"])
+def loaded_fact_events(spark, sf):
+    return loaded_star(spark, sf)[0].read().withColumns({c: F.round(c, 6) for c in ("risk_score", "response_time")})
+
+
+@query("loaded_dim_date", ORACLES["dim_date"])
+def loaded_dim_date(spark, sf):
+    return loaded_star(spark, sf)[1].read()
