@@ -131,7 +131,7 @@ def _stored(rows: DataFrame, path: str) -> DataFrame:
 
 def train_boosted_trees(
     train: DataFrame, rounds: int = 400, depth: int = 7, step: float = 0.05, char_size: int = 3000, word_size: int = 1000,
-    held_out: DataFrame | None = None, path: str | None = None, patience: int = 2,
+    held_out: DataFrame | None = None, path: str | None = None, patience: int = 1,
 ) -> PipelineModel:
     """Feature stages plus at most ``rounds`` boosted trees; ``train`` comes from :func:`model_inputs`.
 
