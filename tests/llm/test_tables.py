@@ -20,7 +20,7 @@ from hostsift.llm import queries, tokens
 from hostsift.llm.common import table
 from hostsift.llm.components import components
 from hostsift.llm.lines import dedup_lines
-from hostsift.llm.packing import best_fit, pack_documents
+from hostsift.llm.packing import ChunkEncoder, best_fit, pack_documents
 from hostsift.llm.sharding import permuted, shard_rows
 from hostsift.llm.simhash import near_links, one_of_each_group, simhash_groups
 from hostsift.llm.tokens import byte_bpe, count_tokens, document_tokens, encode_text
@@ -233,6 +233,19 @@ def test_packing(spark, sf_dir, docs, edge, nothing):
     assert ids[-1] == 0 and len(ids) == 3
 
 
+def test_ids_of_random_strings():
+    rng, library = random.Random(15), Tokenizer.from_file(queries.WORDS)
+    own = ChunkEncoder(queries.WORDS)
+    alphabets = ["abc.,;!?*#$%&|>-_(){}[]/\\`~^+=:@\"' ", "AÀéßöñÿ×÷. ", "s't've'll don't 12 3", "<|startoftext|> <|endoftext|>", "e\u0301o\u0308 \u00a0\n\t", "日本 한국 \U0001F600!!"]
+    texts = []
+    for _ in range(3000):
+        words = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 9))) for _ in range(rng.randint(1, 6))]
+        texts.append(rng.choice([" ", "\n", "  ", ""]).join(words))
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all([*texts, *texts[:50], ""])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts, *texts[:50], ""]]
+    assert len(own.tails) > 100
+
+
 def test_plan_is_best_fit_over_counts():
     rng = random.Random(10)
     for _ in range(60):
