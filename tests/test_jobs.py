@@ -256,7 +256,7 @@ def test_the_gate_falls_each_way(spark, tmp_path):
     from hostsift.operators import metrics
 
     good = [(i, 1 if i % 4 == 0 else 0, 0.9 if i % 4 == 0 else 0.1) for i in range(400)]
-    poor = [(i, y, 0.5 + 0.4 * random.Random(i).random() * (1 if y else -0.2)) for i, y, _ in good]
+    poor = [(i, y, random.Random(i).random()) for i, y, _ in good]
     tables = [spark.createDataFrame(x, "url_id long, label int, prob double") for x in (good, poor)]
     ships = [metrics.model_gate(*pair).first().asDict() for pair in (tables, tables[::-1])]
     assert ships[0] != ships[1] and sorted(s["ships"] for s in ships) == [False, True]
