@@ -7,7 +7,6 @@ are. Each piece then looks its place up by its length and its rank among the pie
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 import unicodedata
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hostsift.llm.common import Memory, byte_of_sign, result_key
+from hostsift.llm.common import Memory, byte_of_sign, result_key, without_collector
 from hostsift.session import staged
 
 #: Chunks and parts of chunks in each half of a worker's memory, and the longest of them.
@@ -176,17 +175,6 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _without_collector(make, texts: list[str]) -> list[bytes]:
-    """Encoding leaves no cycles behind, and looking for them in the memories takes a tenth of its time."""
-    enabled = gc.isenabled()
-    gc.disable()
-    try:
-        return list(make(texts))
-    finally:
-        if enabled:
-            gc.enable()
-
-
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -198,7 +186,9 @@ def token_pieces(text: Column, tokenizer: str, capacity: int, end_id: int, with_
     @F.arrow_udf(f"array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint{extra}>>")
     def cut(texts: pa.Array) -> pa.Array:
         rows, step, end = [], 4 * capacity, end_id.to_bytes(4, "little")
-        for raw in _without_collector(chunk_encoder(tokenizer).encode_all, [x.as_py() or "" for x in texts]):
+        with without_collector():
+            encoded = list(chunk_encoder(tokenizer).encode_all([x.as_py() or "" for x in texts]))
+        for raw in encoded:
             raw += end
             pieces = []
             for n, at in enumerate(range(0, len(raw), step)):

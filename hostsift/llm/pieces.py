@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostsift.llm.common import Memory
+from hostsift.llm.common import Memory, without_collector
 
 
 SPACE = "▁"
@@ -202,7 +202,8 @@ def piece_table(path: str) -> PieceTable:
 def encoded(text: Column, model: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        made = [piece_table(model).encode(x.as_py() or "") for x in texts]
+        with without_collector():
+            made = [piece_table(model).encode(x.as_py() or "") for x in texts]
         ends = np.cumsum([0, *map(len, made)])
         values = np.concatenate(made) if made else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
