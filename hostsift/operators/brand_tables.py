@@ -5,6 +5,9 @@ segments: d letters can't touch all of them, so one stands unchanged in the piec
 letters before and after it allow. So a brand offers its segments and a piece all its substrings that could be one, both for each
 pair of lengths that the ratio admits; equal ones join, and what meets is measured. For one edit (the typo test) both offer
 themselves and what is left when a letter is deleted.
+
+A string makes up to hundreds of keys, which Spark's sizes, taken before they are made, don't know of: so strings are dealt over
+all partitions before, and the keys always meet by sorting.
 """
 
 from __future__ import annotations
@@ -42,9 +45,17 @@ def _segments(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumns({"start": start, "size": end - start})
 
 
+def _dealt(strings: DataFrame, column: str) -> DataFrame:
+    """The strings over as many partitions as shuffles have, however few bytes they are.
+
+    Not by the column itself, as Spark leaves out an exchange that a distinct before it has made.
+    """
+    return strings.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
+
+
 def brand_signatures(brands: DataFrame, percent: int = RATIO_PERCENT) -> DataFrame:
     """``brand`` and ``signature`` of its segments for all lengths of pieces."""
-    sized = brands.withColumn("b", F.length("brand")).withColumn("a", F.explode(_other_lengths(F.col("b"), percent)))
+    sized = _dealt(brands, "brand").withColumn("b", F.length("brand")).withColumn("a", F.explode(_other_lengths(F.col("b"), percent)))
     pairs = sized.withColumn("edits", most_edits(F.col("a"), F.col("b"), percent)).where("edits >= 0")
     text = F.substring("brand", F.col("start") + 1, F.col("size"))
     return _segments(pairs).select("brand", _signature("a", "b", "i", text))
@@ -52,15 +63,15 @@ def brand_signatures(brands: DataFrame, percent: int = RATIO_PERCENT) -> DataFra
 
 def piece_signatures(pieces: DataFrame, percent: int = RATIO_PERCENT) -> DataFrame:
     """``piece`` and ``signature`` of its substrings that can be a brand's segment."""
-    sized = pieces.withColumn("a", F.length("piece")).withColumn("b", F.explode(_other_lengths(F.col("a"), percent)))
+    sized = _dealt(pieces, "piece").withColumn("a", F.length("piece")).withColumn("b", F.explode(_other_lengths(F.col("a"), percent)))
     pairs = sized.withColumn("edits", most_edits(F.col("a"), F.col("b"), percent)).where("edits >= 0")
     longer = F.col("a") - F.col("b")
     # What is inserted less what is deleted, before the segment and in all.
     first = F.greatest(F.lit(0), F.col("start") - F.floor((F.col("edits") - longer) / 2)).cast("int")
     last = F.least(F.col("a") - F.col("size"), F.col("start") + F.floor((F.col("edits") + longer) / 2)).cast("int")
     at = _segments(pairs).withColumns({"first": first, "last": last}).where("first <= last")
-    text = F.substring("piece", F.col("at") + 1, F.col("size"))
-    return at.withColumn("at", F.explode(F.sequence("first", "last"))).select("piece", _signature("a", "b", "i", text)).distinct()
+    texts = F.transform(F.sequence("first", "last"), lambda start: F.substring(F.col("piece"), start + 1, F.col("size")))
+    return at.withColumn("text", F.explode(F.array_distinct(texts))).select("piece", _signature("a", "b", "i", F.col("text")))
 
 
 def _measurable(brand: Column) -> Column:
@@ -77,7 +88,8 @@ def _measurable(brand: Column) -> Column:
 
 def candidates(pieces: DataFrame, brands: DataFrame, percent: int = RATIO_PERCENT) -> DataFrame:
     """Distinct (piece, brand) that share a signature and are no farther apart than the ratio lets them."""
-    met = piece_signatures(pieces, percent).join(brand_signatures(brands, percent), "signature").select("piece", "brand")
+    offered = brand_signatures(brands, percent).hint("merge")
+    met = piece_signatures(pieces, percent).join(offered, "signature").select("piece", "brand")
     edits = most_edits(F.length("piece"), F.length("brand"), percent)
     near = (edits >= 0) & (F.call_function("levenshtein", "piece", "brand", F.greatest(edits, F.lit(0))) >= 0)
     return met.where(near).distinct()
@@ -117,8 +129,8 @@ def typo_table_join(df: DataFrame, brands: DataFrame, host: str = "host", order:
     label = F.substring_index(F.col(host), ".", 1)
     names = df.select(label.alias("name")).where("name IS NOT NULL").distinct()
     known = brands.select("brand", F.col(order).alias("ordinal")).dropna(subset=["brand"]).groupBy("brand").agg(F.min("ordinal").alias("ordinal"))
-    met = names.withColumn("key", F.explode(_within_one(F.col("name")))).join(
-        known.withColumn("key", F.explode(_within_one(F.col("brand")))), "key"
+    met = _dealt(names, "name").withColumn("key", F.explode(_within_one(F.col("name")))).join(
+        _dealt(known, "brand").withColumn("key", F.explode(_within_one(F.col("brand")))).hint("merge"), "key"
     )
     hits = met.where(F.levenshtein("name", "brand", 1) == 1)
     first = hits.groupBy("name").agg(F.min(F.struct("ordinal", "brand")).alias("first")).select("name", F.col("first.brand").alias("typo_brand"))

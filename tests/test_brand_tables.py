@@ -97,3 +97,15 @@ def test_typos_match_all_pairs(spark):
     for i, n in enumerate([*names, "", names[0]]):
         hits = [(rank[b], b) for b in rank if n and edits(n, b) == 1]
         assert got[i] == (min(hits)[1] if hits else None)
+
+
+def test_no_table_of_keys_is_broadcast(spark, tmp_path):
+    """Stored tables look small before their strings are taken apart."""
+    names = near_names(150, 7)
+    spark.createDataFrame([(f"{n}.com", n, i) for i, n in enumerate(names)], "host string, brand string, ordinal long").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    near = B.candidates(table.select(F.col("brand").alias("piece")).distinct(), table.select("brand").distinct())
+    for found in (near, B.typo_table_join(table.select("host"), table)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        meet = [line for line in plan.splitlines() if "Join [" in line and ("key#" in line or "signature#" in line)]
+        assert len(meet) == 1 and "SortMergeJoin" in meet[0], plan
