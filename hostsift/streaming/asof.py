@@ -1,7 +1,7 @@
 """Metadata as of the scan, for streams of scans and lookups that arrive in any order.
 
-A scan has to wait until no lookup from before it can come any more: until the watermark has passed it. So scans and lookups of
-a domain are kept in its state, ordered by time; an event-time timer releases the scans that the watermark has passed, each with
+A scan has to wait until no lookup from before it can come any more: until the watermark has passed it. So scans and lookups
+wait in state; an event-time timer releases those that the watermark has passed, in the order of their times, and each scan gets
 the newest lookup at or before it that is younger than the TTL. A lookup leaves the state once every scan still to come is a TTL
 younger, so a domain that nobody scans any more has no state.
 """
@@ -12,15 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostsift.functions.urls import normalize_url, parse_host
-from hostsift.streaming.state import OneTimer, packed, put, unpacked, use_state_store
+from hostsift.streaming.state import packed, unpacked, use_state_store
+from hostsift.streaming.waiting import Waiting, loaded, stored
 
 _SCAN, _LOOKUP, _TICK = 1, 0, 2
 _RELEASED = "payload string, age_days int, ssl_valid boolean"
+_ROWS = pa.schema({
+    "at_us": pa.int64(), "kind": pa.int32(), "domain": pa.string(), "payload": pa.string(), "age_days": pa.int32(), "ssl_valid": pa.bool_(),
+})
+_NEWEST = pa.schema({"domain": pa.string(), "at_us": pa.int64(), "age_days": pa.int32(), "ssl_valid": pa.bool_()})
 
 
 def newest_before(lookups: np.ndarray, scans: np.ndarray, ttl: int) -> np.ndarray:
@@ -32,60 +38,49 @@ def newest_before(lookups: np.ndarray, scans: np.ndarray, ttl: int) -> np.ndarra
 
 
 class AsOf(StatefulProcessor):
-    """State of one part of a domain: ``scans`` (time, row) that wait, and ``lookups`` (time, age, TLS)."""
+    """State of a part of the domains: scans and lookups that wait, and each domain's newest lookup of those that don't."""
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scans = handle.getListState("scans", "at long, payload string")
-        self.lookups = handle.getListState("lookups", "at long, age_days int, ssl_valid boolean")
-        self.timer = OneTimer(handle)
-
-    def _rearm(self) -> None:
-        """Scans go before lookups; of these the first that gets too old."""
-        waiting = min((s[0] for s in self.scans.get()), default=None) if self.scans.exists() else None
-        if waiting is None and self.lookups.exists():
-            waiting = min(x[0] for x in self.lookups.get()) + self.ttl
-        self.timer.set(waiting)
+        self.waiting = Waiting(handle, _ROWS, ("at_us", "kind", "age_days", "ssl_valid"))
+        self.newest = handle.getValueState("newest", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scans, lookups = [], []
-        for frame in rows:
-            at, kind = frame["at_us"].to_numpy(), frame["kind"].to_numpy()
-            payload, age, tls = (frame[c].to_numpy() for c in ("payload", "age_days", "ssl_valid"))
-            scans += [(int(at[i]), payload[i]) for i in np.flatnonzero(kind == _SCAN)]
-            lookups += [(int(at[i]), int(age[i]), bool(tls[i])) for i in np.flatnonzero(kind == _LOOKUP)]
-        if scans:
-            self.scans.appendList(scans)
-        if lookups:
-            self.lookups.appendList(lookups)
-        if scans or lookups:
-            self._rearm()
+        first = self.waiting.add(frame.loc[frame["kind"] != _TICK, _ROWS.names] for frame in rows)
+        self.waiting.timer.sooner(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.expired()
+        self.waiting.timer.expired()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        lookups = sorted(self.lookups.get()) if self.lookups.exists() else []
-        scans = list(self.scans.get()) if self.scans.exists() else []
-        due = [s for s in scans if s[0] <= passed]
-        if due:
-            times = np.array([x[0] for x in lookups], np.int64)
-            at = newest_before(times, np.array([s[0] for s in due], np.int64), self.ttl)
-            found = [lookups[i] if i >= 0 else (0, -1, False) for i in at]
-            yield pd.DataFrame({
-                "payload": [s[1] for s in due],
-                "age_days": np.array([f[1] for f in found], np.int32),
-                "ssl_valid": [bool(f[2]) for f in found],
-            })
-        put(self.scans, [tuple(s) for s in scans if s[0] > passed])
-        put(self.lookups, [tuple(x) for x in lookups if x[0] > passed - self.ttl])
-        self._rearm()
+        known = loaded(self.newest.get()[0]).to_pydict() if self.newest.exists() else {c: [] for c in _NEWEST.names}
+        newest = {d: x for d, *x in zip(*known.values(), strict=True)}
+        for table in self.waiting.due(passed):
+            found, at = {"payload": [], "age_days": [], "ssl_valid": []}, passed
+            for at, kind, domain, payload, age, tls in zip(*(table[c].to_pylist() for c in _ROWS.names), strict=True):
+                if kind == _LOOKUP:
+                    newest[domain] = [at, age, tls]
+                else:
+                    seen = newest.get(domain)
+                    _, age, tls = seen if seen and seen[0] > at - self.ttl else (0, -1, False)
+                    for column, value in zip(found.values(), (payload, age, tls), strict=True):
+                        column.append(value)
+            if found["payload"]:
+                yield pd.DataFrame(found).astype({"payload": object, "age_days": np.int32, "ssl_valid": bool})
+            newest = {d: x for d, x in newest.items() if x[0] > at - self.ttl}
+        newest = {d: x for d, x in newest.items() if x[0] > passed - self.ttl}
+        if newest:
+            self.newest.update((stored(pa.table([list(newest), *zip(*newest.values(), strict=True)], schema=_NEWEST)),))
+        else:
+            self.newest.clear()
+        first = self.waiting.first()
+        self.waiting.timer.set(min((x[0] + self.ttl for x in newest.values()), default=None) if first is None else first)
 
 
 def with_metadata_as_of(
-    scans: DataFrame, lookups: DataFrame, ttl_seconds: int, lateness: str, url: str = "url", ts: str = "ts", salts: int = 8
+    scans: DataFrame, lookups: DataFrame, ttl_seconds: int, lateness: str, url: str = "url", ts: str = "ts", salts: int = 8, parts: int = 32,
 ) -> DataFrame:
     """``scans`` plus ``age_days`` and ``ssl_valid`` of the domain's newest lookup at or before each scan, TTL not reached.
 
@@ -94,8 +89,8 @@ def with_metadata_as_of(
     them. Misses, and unknown ages or TLS states, give age -1 and no TLS. A lookup without a domain only moves the time on,
     as a source's heartbeat does while nothing else arrives. Of lookups of one time the one of the larger age, then with TLS, counts.
 
-    A domain's scans are dealt over ``salts`` states, each of which has all its lookups, so a domain with a large share of the
-    scans is the work of several tasks.
+    Domains are dealt over ``parts`` states, and each part's scans over ``salts``, each of which has all its lookups, so a domain
+    with a large share of the scans is the work of several tasks.
     """
     use_state_store(scans.sparkSession)
     domain = parse_host(normalize_url(F.col(url)))
@@ -112,7 +107,8 @@ def with_metadata_as_of(
     )
     both = asked.unionByName(known).where(F.col("at").isNotNull()).withWatermark("at", lateness)
     released = (
-        both.withColumn("at_us", F.unix_micros("at")).groupBy("domain", "salt")
+        both.withColumn("at_us", F.unix_micros("at")).withColumn("part", F.pmod(F.xxhash64("domain"), F.lit(parts)))
+        .groupBy("part", "salt")
         .transformWithStateInPandas(AsOf(ttl_seconds * 1_000_000), _RELEASED, "Append", "EventTime")
     )
     return unpacked(released, scans.schema, "age_days", "ssl_valid")

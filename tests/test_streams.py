@@ -144,3 +144,27 @@ def test_exact_dedup_releases_as_the_watermark_moves(spark, tmp_path):
     got = sorted(r.ts for r in spark.read.schema(schema).parquet(out).collect())
     assert got == [at(60 * i) for i in range(len(got))] and 30 <= len(got) <= 33
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 30
+
+
+def test_exact_dedup_reads_a_busy_url_piece_by_piece(spark, tmp_path):
+    """More rows of one URL than a chunk has; the state has chunks and not rows or URLs."""
+    rng = random.Random(23)
+    times = [at(rng.randrange(2_000_000) + 0.25 * (i % 4)) for i in range(30_000)]
+    scans = [("busy" if i % 3 else f"u{i % 3000}", t, i % 2) for i, t in enumerate(times)]
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "url string, ts timestamp"
+    batches(spark.createDataFrame(scans, f"{schema}, part int").repartition(4), folder, 2)
+
+    def go():
+        read = spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(folder)
+        return drain(stream_dedup_exact(read, lateness="60 days"), out, checkpoint)
+
+    first = go()
+    assert 0 < first.lastProgress["stateOperators"][0]["numRowsTotal"] < 1000
+    spark.createDataFrame([(None, at(20_000_000))], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert go().lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    by_url = {}
+    for u, t, _ in scans:
+        by_url.setdefault(u, []).append((t, 0))
+    got = spark.read.schema(schema).parquet(out).collect()
+    assert sorted((r.url, r.ts) for r in got) == sorted((u, t) for u, rows in by_url.items() for t, _ in fold(rows))
