@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,25 +98,35 @@ class Tokens:
         return np.arange(len(self.ids)) - np.repeat(self.start[:-1], np.diff(self.start))
 
 
+def _numbered(texts: pa.Array, known: _Words) -> Tokens:
+    """Texts as numbers of words: Arrow splits them as ``words`` does, and each distinct word is looked up once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    found = lists.flatten().dictionary_encode()
+    names = found.dictionary.cast(pa.large_binary()).to_pylist()
+    ids = np.fromiter(map(known.__getitem__, names), np.int32, len(names))[found.indices.to_numpy(zero_copy_only=False)]
+    held = ids != known.get(b"", -1)  # white space at either end of a text leaves an empty string there
+    offsets = lists.offsets.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(held)))[offsets - offsets[0]]
+    start = ends + 2 * np.arange(len(ends))
+    flat = np.empty(start[-1], np.int32)
+    flat[start[:-1]], flat[start[1:] - 1] = known[START], known[END]
+    flat[np.arange(ends[-1]) + 2 * np.repeat(np.arange(len(ends) - 1), np.diff(ends)) + 1] = ids[held]
+    return Tokens(known, flat, start)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Tokens]]:
     """Slices of the batches and the tokens of their texts."""
     known = _Words()
     for batch in batches:
-        at = 0
+        at, lengths = 0, pc.utf8_length(batch[column]).fill_null(0).to_pylist()
         while at < batch.num_rows:
             if len(known) > REMEMBERED:
                 known = _Words()
-            flat, ends, size, first = [], [0], 0, at
+            size, first = 0, at
             while at < batch.num_rows and size < CHUNK:
-                text = batch[column][at].as_py()
-                flat.append(START)
-                flat += words(text)
-                flat.append(END)
-                ends.append(len(flat))
-                size += len(text or "")
+                size += lengths[at]
                 at += 1
-            ids = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
-            yield batch.slice(first, at - first), Tokens(known, ids, np.array(ends))
+            yield batch.slice(first, at - first), _numbered(batch[column].slice(first, at - first), known)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -218,7 +229,11 @@ class FilterShard:
         return (deal >= self.first) & (deal <= self.last)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of n-grams of these deals: one probe after the other, until one fails."""
+        """Levels of n-grams of these deals: one probe of each distinct one after the other, until one fails."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
+        keys = keys[first]
         found = np.zeros(len(keys), np.uint8)
         deal = (keys >> np.uint64(64 - DEAL_BITS)).astype(np.int64)
         size, start = self.size[deal], self.start[deal]
@@ -234,7 +249,9 @@ class FilterShard:
             if not len(left):
                 break
             found[left] = level
-        return found
+        out = np.empty(len(order), np.uint8)
+        out[order] = found[np.cumsum(first) - 1]
+        return out
 
 
 @dataclass(frozen=True)
@@ -319,7 +336,7 @@ def _probed(shard: FilterShard, t: Tokens, keys: list[np.ndarray], levels: np.nd
     """Enter the levels of n-grams of the shard's deals; ``alone``: it is the whole filter."""
 
     def of_words(names: list[bytes]) -> np.ndarray:
-        return shard.levels(_mix(np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64)))
+        return shard.levels(_mix(t.words.hashes[len(t.words.names) - len(names) :]))  # they are the last ones
 
     here = np.full(len(t.ids), True) if alone else shard.has(_deals(keys[0]))
     levels[here, 0] = t.words.by_number("levels", of_words)[t.ids[here]]

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from cases import ROWS
 from pyspark.sql import functions as F
@@ -138,3 +139,23 @@ def test_any_name_of_the_key(spark):
     rows = spark.createDataFrame([(1, "a b a b", "x"), (2, None, "y")], "rest long, text string, word string")
     model = fit_language_model(rows)
     assert sorted((r["rest"], r.n_tokens) for r in score_texts(rows, model, key="rest").collect()) == [(1, 5), (2, 1)]
+
+
+def test_an_ngram_is_probed_once_however_often_it_comes(monkeypatch):
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2)
+    counts = np.arange(1, 51)
+    shard = ngrams.FilterShard(0, (1 << ngrams.DEAL_BITS) - 1, list(ngrams.filter_parts(ngrams._deals(keys), keys, counts, 2.0, 10, 4)), 4)
+    asked, hashes = [], ngrams._hashes
+    monkeypatch.setattr(ngrams, "_hashes", lambda keys, *which: (asked.append(len(keys)), hashes(keys, *which))[1])
+    found = shard.levels(np.tile(keys, 40))
+    assert max(asked) == 50 and (found.reshape(40, 50) >= ngrams.levels_of(counts, 2.0)).all()
+    assert (found.reshape(40, 50) == shard.levels(keys)).all() and len(shard.levels(keys[:0])) == 0
+
+
+def test_words_are_numbered_as_they_are_split():
+    texts = [None, "", " ", "\ta  B\x0b", "É\x1c\x85 a\r\nZz.\x0c", "a b a"]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+        ((_, t),) = ngrams._tokens(iter([batch]))
+        split = [[t.words.names[i] for i in t.ids[a:b]] for a, b in zip(t.start, t.start[1:])]
+        assert split == [[ngrams.START, *ngrams.words(x), ngrams.END] for x in texts]
