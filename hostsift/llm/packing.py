@@ -155,15 +155,16 @@ class ChunkEncoder:
                 rows.append(self._chunks(texts[at]))
                 size += len(texts[at])
                 at += 1
+            self.chunks[""] = b""
             known = self.chunks.get
-            ids = {c: known(c) for c in set().union(*rows)}
-            ids[""] = b""
-            new = [c for c, x in ids.items() if x is None]
-            if new:
-                ids.update(self._made(new))
-            look_up = ids.__getitem__
-            for row in rows:
-                yield b"".join(map(look_up, row))
+            found = [list(map(known, row)) for row in rows]
+            gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+            new = {row[i] for row, missing in zip(rows, gaps) for i in missing}
+            made = self._made(list(new)) if new else {}
+            for row, ids, missing in zip(rows, found, gaps):
+                for i in missing:
+                    ids[i] = made[row[i]]
+                yield b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

@@ -246,6 +246,18 @@ def test_ids_of_random_strings():
     assert len(own.tails) > 100
 
 
+def test_new_chunks_among_known_ones_take_their_places(monkeypatch):
+    own, library = ChunkEncoder(queries.WORDS), Tokenizer.from_file(queries.WORDS)
+    list(own.encode_all(["one two three", ""]))
+    asked, make = [], own._made
+    monkeypatch.setattr(own, "_made", lambda chunks: (asked.append(sorted(chunks)), make(chunks))[1])
+    texts = ["one  zyxel two", "zyxel\n", "", "  ", "two one", "three quuxly zyxel quuxly one"]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+        assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert asked == [["quuxly", "zyxel"]]  # once, though they come again
+
+
 def test_plan_is_best_fit_over_counts():
     rng = random.Random(10)
     for _ in range(60):
