@@ -189,6 +189,42 @@ def test_model_round_trip_and_monotone_calibration(spark, sf_dir, tmp_path):
     assert len(stacked) == len(model.stages[0].vocabulary) + len(model.stages[4].vocabulary) + 22
 
 
+def counted_scores(spark, monkeypatch):
+    """Scores that say how many rows were scored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(url, model):
+        seen.add(1)
+        return len(url) / 10
+
+    monkeypatch.setattr(L, "score_batch", lambda model, df: df.withColumn("prob", scored("url", F.lit(model))))
+    return seen
+
+
+def test_two_versions_score_each_row_once(spark, monkeypatch):
+    seen = counted_scores(spark, monkeypatch)
+    table = spark.createDataFrame([("a" * n, n % 2) for n in range(1, 10)] + [("a.com", None)], "url string, label int")
+    lines = L.compare_model_versions("new", "old", table).collect()
+    assert seen.value == 2 * 10
+    assert [(r.version, r.legit, r.false_positives, r.threshold_milli) for r in lines] == [
+        (v, 4, 1, 800) for v in ("candidate", "shipped")
+    ]
+
+
+def test_percentiles_of_sources_score_each_row_once(spark, monkeypatch):
+    from registry import q_models as Q
+
+    seen = counted_scores(spark, monkeypatch)
+    rows = [("http://" + "a" * n + ".com", 1, "one", "r", "train") for n in range(1, 8)] + [("b.com", 0, "two", "q", "train")]
+    table = spark.createDataFrame(rows, "url string, label int, source string, root string, split string")
+    monkeypatch.setattr(Q, "plain", lambda spark, sf: table)
+    monkeypatch.setattr(Q, "model", lambda spark, sf: None)
+    found = {(r.source, r.stat): r.value for r in Q.evaluate_source_percentiles(spark, "").collect()}
+    assert seen.value == 7
+    assert found["one", "p50"] == found["one", "mean"] == 1.5 and len(found) == 6
+
+
 def separable(spark, n=300):
     from pyspark.ml.linalg import Vectors
 
