@@ -1,10 +1,11 @@
 """Brand look-alikes against a table of brands of any size, by signatures instead of trying every pair.
 
-Similarity above a ratio bounds the letters that two strings have to insert and delete, by ``d`` say. Cut the brand into d + 1
-segments: d letters can't touch all of them, so one stands unchanged in the piece, and no farther from its place than the
-letters before and after it allow. So a brand offers its segments and a piece all its substrings that could be one, both for each
-pair of lengths that the ratio admits; equal ones join, and what meets is measured. For one edit (the typo test) both offer
-themselves and what is left when a letter is deleted.
+Similarity above a ratio bounds the letters that two strings have to insert and delete, by ``d`` say. Cut the brand into parts of
+six letters or more, and the piece wherever the letters fall: one of ``m`` parts then takes at most ``d / m`` of them. So a brand
+offers its parts and a piece all its substrings that could be one, each also without the letters that such a part may lose or
+gain, for each pair of lengths that the ratio admits; equal ones join, and what meets is measured. Shorter parts that have to stand
+unchanged would be fewer keys, but common words then meet in numbers that grow with the square of the table. For one edit (the typo
+test) both offer themselves and what is left when a letter is deleted.
 
 A string makes up to hundreds of keys, which Spark's sizes, taken before they are made, don't know of: so strings are dealt over
 all partitions before, and the keys always meet by sorting.
@@ -19,6 +20,8 @@ from hostsift.functions.brands import RATIO_PERCENT, host_pieces, lcs_length
 
 #: The measure holds a brand's letters as bits of a long.
 LONGEST = 62
+#: Letters that a part has at least.
+PART = 6
 
 
 def most_edits(a: Column, b: Column, percent: int = RATIO_PERCENT) -> Column:
@@ -37,12 +40,32 @@ def _signature(a: str, b: str, i: str, text: Column) -> Column:
     return F.xxhash64(a, b, i, text).alias("signature")
 
 
-def _segments(pairs: DataFrame) -> DataFrame:
-    """``i``, ``start`` (from 0) and ``size`` of each of the ``edits + 1`` segments of a string of length ``b``."""
-    parts = F.col("edits") + 1
-    start = F.floor(F.col("i") * F.col("b") / parts).cast("int")
-    end = F.floor((F.col("i") + 1) * F.col("b") / parts).cast("int")
-    return pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumns({"start": start, "size": end - start})
+def _parts(sized: DataFrame, percent: int) -> DataFrame:
+    """``i``, ``start`` (from 0) and ``size`` of each of the ``m`` parts of a string of length ``b``, for strings of length ``a``.
+
+    ``less`` and ``more`` are the letters that ``a`` is without or has beside, in all; a part has ``few`` of both at most.
+    """
+    pairs = sized.withColumn("edits", most_edits(F.col("a"), F.col("b"), percent)).where("edits >= 0")
+    pairs = pairs.selectExpr("*", "(edits + b - a) div 2 AS less", "(edits + a - b) div 2 AS more", f"greatest(1, least(edits + 1, b div {PART})) AS m")
+    each = pairs.selectExpr("*", "edits div m AS few", "explode(sequence(0, CAST(m - 1 AS INT))) AS i")
+    return each.selectExpr("*", "CAST(i * b div m AS INT) AS start", "CAST((i + 1) * b div m - i * b div m AS INT) AS size")
+
+
+def _gained(by: str) -> str:
+    """Letters that a part gains at most when its length changes by ``by``; what it loses are these less ``by``."""
+    return f"CAST(least((few + {by}) div 2, more, less + {by}) AS INT)"
+
+
+def _without(text: Column, n: Column) -> Column:
+    """All that is left of a string when ``n`` of its letters are deleted."""
+
+    def one_less(t: Column) -> Column:
+        places = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+
+    again = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    texts = F.aggregate(again, F.array(text), lambda held, _: F.array_distinct(F.flatten(F.transform(held, one_less))))
+    return F.when(n == 0, F.array(text)).otherwise(texts)
 
 
 def _dealt(strings: DataFrame, column: str) -> DataFrame:
@@ -54,23 +77,29 @@ def _dealt(strings: DataFrame, column: str) -> DataFrame:
 
 
 def brand_signatures(brands: DataFrame, percent: int = RATIO_PERCENT) -> DataFrame:
-    """``brand`` and ``signature`` of its segments for all lengths of pieces."""
+    """``brand`` and ``signature`` of its parts, and of what is left of them, for all lengths of pieces."""
     sized = _dealt(brands, "brand").withColumn("b", F.length("brand")).withColumn("a", F.explode(_other_lengths(F.col("b"), percent)))
-    pairs = sized.withColumn("edits", most_edits(F.col("a"), F.col("b"), percent)).where("edits >= 0")
-    text = F.substring("brand", F.col("start") + 1, F.col("size"))
-    return _segments(pairs).select("brand", _signature("a", "b", "i", text))
+    changes = "sequence(CAST(-least(few, less) AS INT), CAST(least(few, more) AS INT))"
+    lost = f"explode(array_distinct(transform({changes}, by -> {_gained('by')} - by))) AS lost"
+    at = _parts(sized, percent).selectExpr("*", lost)
+    texts = _without(F.substring("brand", F.col("start") + 1, F.col("size")), F.col("lost"))
+    return at.withColumn("text", F.explode(texts)).select("brand", _signature("a", "b", "i", F.col("text")))
 
 
 def piece_signatures(pieces: DataFrame, percent: int = RATIO_PERCENT) -> DataFrame:
-    """``piece`` and ``signature`` of its substrings that can be a brand's segment."""
+    """``piece`` and ``signature`` of its substrings that can be a brand's part, without the letters they may have beside."""
     sized = _dealt(pieces, "piece").withColumn("a", F.length("piece")).withColumn("b", F.explode(_other_lengths(F.col("a"), percent)))
-    pairs = sized.withColumn("edits", most_edits(F.col("a"), F.col("b"), percent)).where("edits >= 0")
-    longer = F.col("a") - F.col("b")
-    # What is inserted less what is deleted, before the segment and in all.
-    first = F.greatest(F.lit(0), F.col("start") - F.floor((F.col("edits") - longer) / 2)).cast("int")
-    last = F.least(F.col("a") - F.col("size"), F.col("start") + F.floor((F.col("edits") + longer) / 2)).cast("int")
-    at = _segments(pairs).withColumns({"first": first, "last": last}).where("first <= last")
-    texts = F.transform(F.sequence("first", "last"), lambda start: F.substring(F.col("piece"), start + 1, F.col("size")))
+    at = _parts(sized, percent).selectExpr("*", "explode(sequence(CAST(-least(few, less) AS INT), CAST(least(few, more) AS INT))) AS by")
+    # The first part begins where the piece does, and the last one ends there.
+    at = at.selectExpr(
+        "*", f"{_gained('by')} AS gained", "size + by AS long",
+        "greatest(0, start - less, start - less - by, IF(i = m - 1, a - size - by, 0)) AS first",
+        "least(start + more, start + more - by, a - size - by, IF(i = 0, 0, a)) AS last",
+    ).where("first <= last")
+    found = F.transform(
+        F.expr("sequence(CAST(first AS INT), CAST(last AS INT))"), lambda start: F.substring(F.col("piece"), start + 1, F.col("long"))
+    )
+    texts = F.flatten(F.transform(found, lambda text: _without(text, F.col("gained"))))
     return at.withColumn("text", F.explode(F.array_distinct(texts))).select("piece", _signature("a", "b", "i", F.col("text")))
 
 

@@ -109,3 +109,14 @@ def test_no_table_of_keys_is_broadcast(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         meet = [line for line in plan.splitlines() if "Join [" in line and ("key#" in line or "signature#" in line)]
         assert len(meet) == 1 and "SortMergeJoin" in meet[0], plan
+
+
+def test_a_common_word_does_not_make_strings_meet(spark):
+    rng = random.Random(9)
+    numbers = rng.sample(range(1_000_000, 10_000_000), 3_000)
+    brands = spark.createDataFrame([(f"hotbolt{n}",) for n in numbers], "brand string")
+    pieces = spark.createDataFrame([(f"bolt{n}",) for n in numbers[:300] + rng.sample(range(1_000_000, 10_000_000), 200)], "piece string")
+    met = B.piece_signatures(pieces).join(B.brand_signatures(brands), "signature").count()
+    assert 300 <= met < 20 * 500  # of 3,000 each that have the word in its place
+    found = {(r.piece, r.brand) for r in B.candidates(pieces.distinct(), brands.distinct()).collect()}
+    assert {(f"bolt{n}", f"hotbolt{n}") for n in numbers[:300]} <= found
